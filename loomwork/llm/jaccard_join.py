@@ -9,9 +9,10 @@ case; the whole sequence where there are fewer words). Linked sets A and B (simi
    fixed number of cells and a cell keeps the XOR of its shingles' hashes. Two sets differ in at most as many cells as
    shingles. A set emits its first ``max d + 1`` non-empty cells; as the band has so many cells that more than ``max d``
    of them are filled, linked sets share one of those (sets too small in filled cells meet under a common key instead).
-3. In a bucket of equal cells every class is first paired with the smallest and the largest only; pairs whose 1024-bit
-   parity sketches (each shingle flips one bit) differ in more than d bits are dropped, since that distance is a lower
-   bound of the symmetric difference; the rest is verified on the whole sets, and links are joined to components.
+3. In a bucket of equal cells every class is first paired with the smallest only; pairs whose 1024-bit parity sketches (each
+   shingle flips one bit) differ in more than d bits are dropped, since that distance is a lower bound of the symmetric
+   difference; of what is left each class keeps the partner that it shares most buckets with, those pairs are verified on
+   the whole sets, and links are joined to components.
 4. What remains are buckets whose classes are in different components: there all pairs across components whose sketches
    pass are verified too. So no link is lost, though a group of near copies never expands into all its pairs.
 
@@ -42,7 +43,6 @@ BAND = 4
 SKETCH_WORDS = 16
 _U = np.uint64
 FEATURES = "doc_id long, n_shingles long, k1 long, k2 long, sketch array<long>, cells array<long>"
-SETS = "k1 long, k2 long, grams array<long>"
 
 
 def sets_of(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -136,15 +136,23 @@ def _features(n: int):
     return run
 
 
-def _grams(n: int):
+def _links(n: int):
+    """Pairs (a, b, a_text, b_text) whose sets have a similarity of 3/4 or more."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, str | None, np.ndarray] | None = None
         for batch in batches:
-            sets = list(sets_of(batch.column(0), n))
-            keys = [key_of(g) for g in sets]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([g.view(np.int64) for g in sets], pa.list_(pa.int64()))],
-                names=["k1", "k2", "grams"],
-            )
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keep = []
+            for i, other in enumerate(sets_of(batch.column(3), n)):
+                own = batch.column(2)[i].as_py()
+                if last is None or last[0] != a[i] or last[1] != own:  # rows come sorted by a
+                    last = a[i], own, next(sets_of(batch.column(2).slice(i, 1), n))
+                both = len(np.intersect1d(last[2], other, assume_unique=True))
+                # Where an id repeats, a text of another class may have come along.
+                right = key_of(last[2])[0] == a[i] and key_of(other)[0] == b[i]
+                keep.append(right and 100 * both >= 75 * (len(last[2]) + len(other) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -161,23 +169,14 @@ def _may_link(a: str, b: str) -> Column:
 def _sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Those of pairs(a, b) that sizes and sketches allow."""
     side = lambda p: classes.select(F.col("k1").alias(p), F.col("n").alias(f"{p}_n"), *(F.col(f"s{i}").alias(f"{p}_s{i}") for i in range(SKETCH_WORDS)))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link("a_", "b_")).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link("a_", "b_")).select(*pairs.columns)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, features: DataFrame, folder: str, n: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, n: int, path: str) -> DataFrame:
     """Those of pairs(a, b) whose sets have a similarity of 3/4 or more, stored."""
-    pairs = common.stored(pairs, f"{folder}-pairs")
-    keys = pairs.select(F.col("a").alias("k1")).union(pairs.select(F.col("b").alias("k1"))).distinct()
-    # One document of each class, the row whose task emitted its cells: any of them has the whole set.
-    ids = features.where("cells is not null and doc_id is not null").join(keys, "k1").groupBy("k1").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-    made = texts.mapInArrow(_grams(n), SETS).join(keys, "k1", "left_semi").dropDuplicates(["k1"]).select("k1", "grams")
-    sets = common.stored(made, f"{folder}-sets")
-    side = lambda p: sets.select(F.col("k1").alias(p), F.col("grams").alias(f"{p}_g"))
-    both = F.size(F.array_intersect("a_g", "b_g"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    links = joined.where(100 * both >= 75 * (F.size("a_g") + F.size("b_g") - both)).select("a", "b")
-    return common.stored(links, f"{folder}-links")
+    side = lambda p: texts.select(F.col("k1").alias(p), F.col("text").alias(f"{p}_text"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_text", "b_text")
+    return common.stored(both.mapInArrow(_links(n), "a long, b long").distinct(), path)
 
 
 def linked_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
@@ -191,34 +190,30 @@ def linked_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         in_cell = "OVER (PARTITION BY cell)"
         spread = cells.select("cell", "k1", F.expr(f"min(k1) {in_cell}").alias("low"), F.expr(f"max(k1) {in_cell}").alias("high"))
         live = common.stored(spread.where("low < high").distinct(), f"{folder}/live")
-        # Classes that share a cell with another, with their sketch.
+        # Classes that share a cell with another, with their sketch and the text of one document.
         met = live.select("k1").distinct()
-        sketches = features.where("cells is not null").select("k1", F.col("n_shingles").alias("n"), *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)))
+        sketches = features.where("cells is not null and doc_id is not null").select("k1", "doc_id", F.col("n_shingles").alias("n"), *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)))
         classes = common.stored(sketches.join(met, "k1", "left_semi").dropDuplicates(["k1"]), f"{folder}/classes")
-        low = live.where("k1 > low").select(F.col("low").alias("a"), F.col("k1").alias("b"))
-        high = live.where("k1 > low and k1 < high").select(F.col("k1").alias("a"), F.col("high").alias("b"))
-        stars = _sketched(low.union(high).distinct(), classes)
-        links = _verified(stars, base, features, f"{folder}/stars", n)
+        texts = common.stored(base.join(classes.select("doc_id", "k1"), "doc_id").select("k1", "text"), f"{folder}/texts")
+        # The hub of a class is that smallest member of its buckets with which it shares most of them.
+        shared = live.where("k1 > low").groupBy(F.col("low").alias("a"), F.col("k1").alias("b")).agg(F.count("*").alias("m"))
+        hubs = _sketched(shared, classes).groupBy("b").agg(F.max(F.struct("m", "a")).alias("hub")).select("hub.a", "b")
+        stars = common.stored(hubs, f"{folder}/stars")
+        links = _verified(stars, texts, n, f"{folder}/links")
         first = common.stored(connected_components(links, f"{folder}/cc1"), f"{folder}/first")
         # Buckets that still hold several components: one row for each class in them.
         named = live.join(first.select(F.col("id").alias("k1"), "component"), "k1", "left").select("cell", "k1", F.coalesce("component", "k1").alias("c"))
         in_cell = "OVER (PARTITION BY cell)"
         open_cells = named.select("*", F.expr(f"min(c) {in_cell}").alias("_low"), F.expr(f"max(c) {in_cell}").alias("_high")).where("_low < _high").select("cell", "k1", "c")
-        rest = common.stored(open_cells.join(classes, "k1"), f"{folder}/open")
+        rest = common.stored(open_cells.join(classes.drop("doc_id"), "k1"), f"{folder}/open")
         side = lambda p: rest.select("cell", *(F.col(x).alias(f"{p}{x}") for x in rest.columns if x != "cell"))
         across = side("a_").join(side("b_"), "cell").where((F.col("a_c") != F.col("b_c")) & (F.col("a_k1") < F.col("b_k1")) & _may_link("a_", "b_"))
-        across = across.select(F.col("a_k1").alias("a"), F.col("b_k1").alias("b")).distinct()
-        across = across.join(stars_seen(low, high), ["a", "b"], "left_anti")
-        more = _verified(across, base, features, f"{folder}/across", n)
+        across = across.select(F.col("a_k1").alias("a"), F.col("b_k1").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+        more = _verified(across, texts, n, f"{folder}/more")
         components = common.stored(connected_components(links.union(more), f"{folder}/cc2"), f"{folder}/components")
     return features.select("doc_id", "n_shingles", "k1", "k2"), components.select(F.col("id").alias("k1"), "component")
 
 
-def stars_seen(low: DataFrame, high: DataFrame) -> DataFrame:
-    """The pairs that the first round looked at."""
-    return low.union(high).distinct()
-
-
 def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs."""
     features, linked = linked_classes(docs, text, doc_id, n)
