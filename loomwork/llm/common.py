@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -31,20 +31,12 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, path: str) -> DataFrame:
     """Writes df below the shared folder and reads it back: this cuts the lineage and survives lost executors."""
+    spark, schema = df.sparkSession, df.schema
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-@contextlib.contextmanager
-def short_lived_shuffles(spark: SparkSession):
-    """Within the block, shuffle files go when the query that made them ends; each frame in it must be used once."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    # Shuffle files go once the driver's JVM has collected the plan that made them.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def word_count(text: Column) -> Column:

@@ -12,7 +12,7 @@ case; the whole sequence where there are fewer words). Linked sets A and B (simi
 3. In a bucket of equal cells every class is first paired with the smallest only; pairs whose 1024-bit parity sketches (each
    shingle flips one bit) differ in more than d bits are dropped, since that distance is a lower bound of the symmetric
    difference; of what is left each class keeps the partner that it shares most buckets with, those pairs are verified on
-   the whole sets, and links are joined to components.
+   the whole sets, and links are joined to components. (Large sets have a sketch of as many bits as shingles besides.)
 4. What remains are buckets whose classes are in different components: there all pairs across components whose sketches
    pass are verified too. So no link is lost, though a group of near copies never expands into all its pairs.
 
@@ -42,7 +42,9 @@ BAND = 4
 #: Bits of the parity sketch, in 64-bit words.
 SKETCH_WORDS = 16
 _U = np.uint64
-FEATURES = "doc_id long, n_shingles long, k1 long, k2 long, sketch array<long>, cells array<long>"
+#: Sets of more shingles have a wide sketch besides, of as many bits as shingles, rounded up to a power of two.
+WIDE_FROM = 64 * SKETCH_WORDS
+FEATURES = "doc_id long, n_shingles long, k1 long, k2 long, sketch array<long>, wide array<long>, cells array<long>"
 
 
 def sets_of(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -68,11 +70,16 @@ def key_of(grams: np.ndarray) -> tuple[int, int]:
     return tuple(tokens.mix(two).view(np.int64).tolist())
 
 
-def sketch_of(grams: np.ndarray) -> np.ndarray:
-    bits = np.bincount((grams >> _U(7)).astype(np.int64) & (64 * SKETCH_WORDS - 1), minlength=64 * SKETCH_WORDS) & 1
+def sketch_of(grams: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
+    """Parity bits in a power of two of 64-bit words; the halves of a sketch XOR to the sketch of half the words."""
+    bits = np.bincount((grams >> _U(7)).astype(np.int64) & (64 * words - 1), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def wide_sketch_of(grams: np.ndarray) -> np.ndarray | None:
+    return sketch_of(grams, 1 << (len(grams) - 1).bit_length() - 6) if len(grams) > WIDE_FROM else None
+
+
 def band_of(size: int) -> int:
     """Bands hold the sizes from BAND ** b on."""
     b = 0
@@ -116,7 +123,7 @@ def _features(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [], [])
+            rows: tuple[list, ...] = ([], [], [], [], [], [])
             for grams in sets_of(batch.column(1), n):
                 key = key_of(grams)
                 # Cells of a set that this task has emitted, of late, would only repeat.
@@ -125,12 +132,12 @@ def _features(n: int):
                     if len(seen) >= 200_000:
                         seen.clear()
                     seen.add(key)
-                for own, x in zip(rows, (len(grams), key[0], key[1], sketch_of(grams) if new else None, cells_of(grams) if new else None), strict=True):
+                for own, x in zip(rows, (len(grams), key[0], key[1], sketch_of(grams) if new else None, wide_sketch_of(grams) if new else None, cells_of(grams) if new else None), strict=True):
                     own.append(x)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(x, pa.int64()) for x in rows[:3]), *(pa.array(x, longs) for x in rows[3:])],
-                names=["doc_id", "n_shingles", "k1", "k2", "sketch", "cells"],
+                names=["doc_id", "n_shingles", "k1", "k2", "sketch", "wide", "cells"],
             )
 
     return run
@@ -166,10 +173,24 @@ def _may_link(a: str, b: str) -> Column:
     return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * distance <= n + m)
 
 
-def _sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of pairs(a, b) that sizes and sketches allow."""
-    side = lambda p: classes.select(F.col("k1").alias(p), F.col("n").alias(f"{p}_n"), *(F.col(f"s{i}").alias(f"{p}_s{i}") for i in range(SKETCH_WORDS)))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link("a_", "b_")).select(*pairs.columns)
+def _wide_allows() -> Column:
+    """The wide sketches of a and b (a wider one folded to the other's width) allow a similarity of 3/4."""
+    def half(x: str) -> Column:
+        m = (F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, F.lit(1), m), F.slice(x, m + 1, m), lambda p, q: p.bitwiseXOR(q))
+
+    a = F.when(F.size("a_wide") > F.size("b_wide"), half("a_wide")).otherwise(F.col("a_wide"))
+    b = F.when(F.size("b_wide") > F.size("a_wide"), half("b_wide")).otherwise(F.col("b_wide"))
+    distance = F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, x: t + x)
+    return F.col("a_wide").isNull() | F.col("b_wide").isNull() | (7 * distance <= F.col("a_n") + F.col("b_n"))
+
+
+def _sketched(pairs: DataFrame, classes: DataFrame, narrow: bool = True) -> DataFrame:
+    """Those of pairs(a, b, ...) that sizes and sketches allow."""
+    words = [f"s{i}" for i in range(SKETCH_WORDS)] if narrow else []
+    side = lambda p: classes.select(F.col("k1").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ["n", "wide", *words]))
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    return (met.where(_may_link("a_", "b_")) if narrow else met).where(_wide_allows()).select(*pairs.columns)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, path: str) -> DataFrame:
@@ -184,33 +205,33 @@ def linked_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     spark = docs.sparkSession
     folder = common.work_folder(spark, "jaccard")
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    with common.short_lived_shuffles(spark):
-        features = common.stored(base.mapInArrow(_features(n), FEATURES), f"{folder}/features")
-        cells = features.where("cells is not null").select("k1", F.explode("cells").alias("cell"))
-        in_cell = "OVER (PARTITION BY cell)"
-        spread = cells.select("cell", "k1", F.expr(f"min(k1) {in_cell}").alias("low"), F.expr(f"max(k1) {in_cell}").alias("high"))
-        live = common.stored(spread.where("low < high").distinct(), f"{folder}/live")
-        # Classes that share a cell with another, with their sketch and the text of one document.
-        met = live.select("k1").distinct()
-        sketches = features.where("cells is not null and doc_id is not null").select("k1", "doc_id", F.col("n_shingles").alias("n"), *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)))
-        classes = common.stored(sketches.join(met, "k1", "left_semi").dropDuplicates(["k1"]), f"{folder}/classes")
-        texts = common.stored(base.join(classes.select("doc_id", "k1"), "doc_id").select("k1", "text"), f"{folder}/texts")
-        # The hub of a class is that smallest member of its buckets with which it shares most of them.
-        shared = live.where("k1 > low").groupBy(F.col("low").alias("a"), F.col("k1").alias("b")).agg(F.count("*").alias("m"))
-        hubs = _sketched(shared, classes).groupBy("b").agg(F.max(F.struct("m", "a")).alias("hub")).select("hub.a", "b")
-        stars = common.stored(hubs, f"{folder}/stars")
-        links = _verified(stars, texts, n, f"{folder}/links")
-        first = common.stored(connected_components(links, f"{folder}/cc1"), f"{folder}/first")
-        # Buckets that still hold several components: one row for each class in them.
-        named = live.join(first.select(F.col("id").alias("k1"), "component"), "k1", "left").select("cell", "k1", F.coalesce("component", "k1").alias("c"))
-        in_cell = "OVER (PARTITION BY cell)"
-        open_cells = named.select("*", F.expr(f"min(c) {in_cell}").alias("_low"), F.expr(f"max(c) {in_cell}").alias("_high")).where("_low < _high").select("cell", "k1", "c")
-        rest = common.stored(open_cells.join(classes.drop("doc_id"), "k1"), f"{folder}/open")
-        side = lambda p: rest.select("cell", *(F.col(x).alias(f"{p}{x}") for x in rest.columns if x != "cell"))
-        across = side("a_").join(side("b_"), "cell").where((F.col("a_c") != F.col("b_c")) & (F.col("a_k1") < F.col("b_k1")) & _may_link("a_", "b_"))
-        across = across.select(F.col("a_k1").alias("a"), F.col("b_k1").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-        more = _verified(across, texts, n, f"{folder}/more")
-        components = common.stored(connected_components(links.union(more), f"{folder}/cc2"), f"{folder}/components")
+    features = common.stored(base.mapInArrow(_features(n), FEATURES), f"{folder}/features")
+    cells = features.where("cells is not null").select("k1", F.explode("cells").alias("cell"))
+    in_cell = "OVER (PARTITION BY cell)"
+    spread = cells.select("cell", "k1", F.expr(f"min(k1) {in_cell}").alias("low"), F.expr(f"max(k1) {in_cell}").alias("high"))
+    live = common.stored(spread.where("low < high").distinct(), f"{folder}/live")
+    # Classes that share a cell with another, with their sketch and the text of one document.
+    met = live.select("k1").distinct()
+    sketches = features.where("cells is not null and doc_id is not null").select("k1", "doc_id", F.col("n_shingles").alias("n"), "wide", *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)))
+    classes = common.stored(sketches.join(met, "k1", "left_semi").dropDuplicates(["k1"]), f"{folder}/classes")
+    texts = common.stored(base.join(classes.select("doc_id", "k1"), "doc_id").select("k1", "text"), f"{folder}/texts")
+    # The hub of a class is that smallest member of its buckets with which it shares most of them.
+    shared = live.where("k1 > low").groupBy(F.col("low").alias("a"), F.col("k1").alias("b")).agg(F.count("*").alias("m"))
+    hubs = _sketched(shared, classes).groupBy("b").agg(F.max(F.struct("m", "a")).alias("hub")).select("hub.a", "b")
+    stars = common.stored(hubs, f"{folder}/stars")
+    links = _verified(stars, texts, n, f"{folder}/links")
+    first = common.stored(connected_components(links, f"{folder}/cc1"), f"{folder}/first")
+    # Buckets that still hold several components: one row for each class in them.
+    named = live.join(first.select(F.col("id").alias("k1"), "component"), "k1", "left").select("cell", "k1", F.coalesce("component", "k1").alias("c"))
+    in_cell = "OVER (PARTITION BY cell)"
+    open_cells = named.select("*", F.expr(f"min(c) {in_cell}").alias("_low"), F.expr(f"max(c) {in_cell}").alias("_high")).where("_low < _high").select("cell", "k1", "c")
+    rest = common.stored(open_cells.join(classes.drop("doc_id", "wide"), "k1"), f"{folder}/open")
+    side = lambda p: rest.select("cell", *(F.col(x).alias(f"{p}{x}") for x in rest.columns if x != "cell"))
+    across = side("a_").join(side("b_"), "cell").where((F.col("a_c") != F.col("b_c")) & (F.col("a_k1") < F.col("b_k1")) & _may_link("a_", "b_"))
+    across = across.select(F.col("a_k1").alias("a"), F.col("b_k1").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    across = _sketched(common.stored(across, f"{folder}/across"), classes, narrow=False)
+    more = _verified(across, texts, n, f"{folder}/more")
+    components = common.stored(connected_components(links.union(more), f"{folder}/cc2"), f"{folder}/components")
     return features.select("doc_id", "n_shingles", "k1", "k2"), components.select(F.col("id").alias("k1"), "component")
 
 
