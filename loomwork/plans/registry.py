@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import learning, search, web, words
+from .book import Book
 
-from pyspark.sql import DataFrame, SparkSession
+BOOK = Book()
+for module in (words, web, search, learning):
+    module.register(BOOK)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = BOOK.queries
+ORACLE_SQL = BOOK.oracle
