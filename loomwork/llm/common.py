@@ -54,3 +54,9 @@ def row_key(*cols: str | Column) -> list[Column]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def inner_names(docs: DataFrame, *roles: str) -> tuple[DataFrame, list[Column]]:
+    """docs with all columns but roles under names of their own, and the columns that give the old names back."""
+    names = {c: c if c in roles else f"_c{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), [F.col(n).alias(c) for c, n in names.items()]

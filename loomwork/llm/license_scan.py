@@ -11,7 +11,8 @@ Scanning is one projection without a shuffle: n-grams meet the model's (some hun
 only paragraphs with such n-grams are scored.
 
 Defined results: null and empty texts have no paragraphs; repeated paragraphs are reported each by its number (from 0);
-repeated documents are scanned one by one; ordinary paragraphs give no row; an empty table gives no rows.
+repeated documents are scanned one by one; ordinary paragraphs give no row; an empty table gives no rows; input
+columns named like an added one, or with a leading underscore, are dropped.
 """
 
 from __future__ import annotations
@@ -204,7 +205,7 @@ def _held(df: DataFrame, keep: list[str], made: list[str]) -> DataFrame:
 def scan(docs: DataFrame, model: LicenceModel, text: str = "text") -> DataFrame:
     """docs without text, a row for each paragraph that isn't ordinary: paragraph, family, predicted, probability, contained."""
     made = ["paragraph", "family", "predicted", "probability", "contained", "notice"]
-    keep = [c for c in docs.columns if c not in (text, *made)]
+    keep = [c for c in docs.columns if c not in (text, *made) and not c.startswith("_")]
     lines = docs.select(*keep, F.posexplode(F.split(text, "\n")).alias("paragraph", "notice")).where(F.length("notice") > 0)
     hits = F.array_intersect(_longs(model.grams), F.col("_g"))
     known = with_grams(lines, "notice").select(*keep, "paragraph", "notice", "_g", hits.alias("_hits"))

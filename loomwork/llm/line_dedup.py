@@ -68,7 +68,7 @@ def recurring_lines(docs: DataFrame, text: str = "text", depth: int = DEPTH, min
 
 def drop_recurring(docs: DataFrame, text: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
     """docs with the recurring templates' lines cut from text, n_lines (before) and n_dropped."""
-    base = docs.drop("n_lines", "n_dropped")
+    base, back = common.inner_names(docs.drop("n_lines", "n_dropped"), text)
     gone = recurring_lines(base, text, depth, min_docs, similarity)
     keyed = base.select("*", *common.row_key(*[c for c, kind in base.dtypes if not kind.startswith(("map", "variant"))]))
     lines = keyed.select("_k1", "_k2", F.posexplode(masked_lines(text)).alias("_no", "_line")).where("_line <> ''")
@@ -80,7 +80,7 @@ def drop_recurring(docs: DataFrame, text: str = "text", depth: int = DEPTH, min_
     left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("_gone", i)), "\n")
     out = joined.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(split)).cast("long"))
     out = out.withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    return out.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left)).select(*base.columns, "n_lines", "n_dropped")
+    return out.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left)).select(*back, "n_lines", "n_dropped")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

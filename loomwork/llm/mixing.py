@@ -15,7 +15,7 @@ rows meet in one task. Everything is built-in expressions; only the number of sl
 
 Defined results: null or wordless texts have size 0 and are never taken; a null source is one source, the last; repeated rows
 are documents of their own (which of them a cut falls on is arbitrary, the set of results is not); an empty table gives no
-rows; input columns named like an added column are replaced.
+rows; ``mixed_documents`` keeps other columns as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -151,7 +151,8 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     A pass takes a source's blocks from the first on, so that all but a few rows (one for each source and pass) hold whole
     texts, unchanged; a cut text has its words joined by spaces. ``n_chars``, where there is one, follows the cut text.
     """
-    sized, _, taken = mix(docs, **how)
+    inner, back = common.inner_names(docs, "doc_id", "text", "source", "n_chars")
+    sized, _, taken = mix(inner, **how)
     parts = taken.groupBy("_uid", "pass").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
     joined = sized.join(parts, "_uid")
     whole = (F.col("_from") == 0) & (F.col("_to") == F.col("size"))
@@ -160,7 +161,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     out = joined.withColumn("_cut", ~whole).withColumn("text", F.when(whole, F.col("text")).otherwise(part))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*back)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ learning, on at most ``train_rows`` labelled rows (in expectation, chosen by has
 
 Words are runs of ``[^\x20\x09-\x0D]``. Defined results: null text has no words, hence ``n_words`` 0 and base_failed;
 repeated or tied rows are judged one by one; without labels of both kinds the list is empty and keeps what passes the base
-rules; an empty table gives no rows; input columns named like a statistic are replaced.
+rules; an empty table gives no rows; input columns named like a statistic are replaced, and
+``_w``, ``_l``, ``_h`` and ``_s`` are dropped (clean_documents keeps all).
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ FEATURES = {
 def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_upper (A to Z), all long."""
     made = [*BASE, "n_upper"]
-    keep = [c for c in docs.columns if c not in made]
+    keep = [c for c in docs.columns if c not in (*made, "_w", "_l", "_h", "_s")]
     whole = F.coalesce(F.col(text), F.lit(""))
     inner = F.btrim(whole, F.lit(common.SPACE_CHARS))
     words = F.when(F.length(inner) > 0, F.split(inner, f"{common.SPACE}+")).otherwise(F.array().cast("array<string>"))
@@ -213,10 +214,8 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """The rows of docs that rules keep, with their columns."""
-    named = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    inner = docs.select(F.col("text").alias("text"), *(F.col(c).alias(n) for c, n in named.items() if c != "text"))
-    kept = judge(inner, rules).where("kept")
-    return kept.select(*(F.col("text") if c == "text" else F.col(n).alias(c) for c, n in named.items()))
+    inner, back = common.inner_names(docs, "text")
+    return judge(inner, rules).where("kept").select(*back)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
