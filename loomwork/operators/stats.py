@@ -147,3 +147,30 @@ def label_encode(df: DataFrame, col: str) -> DataFrame:
 def one_hot(df: DataFrame, key: str, col: str, values: list[str]) -> DataFrame:
     """key and a 0/1 column for each value."""
     return df.select(key, *(F.when(F.col(col) == v, 1).otherwise(0).cast("long").alias(f"{col}_{v}") for v in values))
+
+
+def class_borders(df: DataFrame, x: str, y: str) -> DataFrame:
+    """threshold between neighbours in order of x (then y) whose classes differ, half way between their values."""
+    w = Window.orderBy("x", "y")
+    rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).alias("y")).withColumn("_px", F.lag("x").over(w)).withColumn("_py", F.lag("y").over(w))
+    return rows.where("y <> _py").select(((F.col("x") + F.col("_px")) / 2).alias("threshold"))
+
+
+def sample_rows(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
+    """About share of the rows, the same ones each time."""
+    return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < int(share * 1_000_000))
+
+
+def elite(df: DataFrame, score: str, key: str, n: int) -> DataFrame:
+    """The n best rows, ties by key."""
+    return df.orderBy(F.desc(score), key).limit(n)
+
+
+def crop_windows(vector: str | Column, skip: int, size: int, seed: int = 0) -> Column:
+    """Of a long array without skip values at both ends, fragments of size: one of each four by a seeded choice, and one of the rest."""
+    v = F.col(vector) if isinstance(vector, str) else vector
+    inner = F.slice(v, F.lit(skip + 1), F.greatest(F.size(v) - 2 * skip, F.lit(0)))
+    count = F.floor(F.size(inner) / size).cast("int")
+    groups = F.sequence(F.lit(0), F.greatest(F.ceil(count / 4) - 1, F.lit(0)).cast("int"))
+    pick = F.transform(groups, lambda g: (g * 4 + F.pmod(F.xxhash64(F.lit(seed), g), F.greatest(F.least(F.lit(4), count - g * 4), F.lit(1)))).cast("int"))
+    return F.when(count > 0, F.transform(pick, lambda i: F.slice(inner, i * size + 1, F.lit(size)))).otherwise(F.array(v))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features as fx
 from ..operators import cluster, ctr, models, stats, tree
+from ..sources.readers import rename_columns
 from .book import Book, Tables
 
 FIELDS = ["l_returnflag", "l_linestatus", "l_quantity", "l_suppkey"]
@@ -138,6 +139,15 @@ def _stats(book: Book) -> None:
     book.add("f12_drop_leading_rows", lambda t: ctr.row_numbers(t.customer.select("c_custkey"), "c_custkey").where("row >= 100"), "SELECT * FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS row FROM customer) WHERE row >= 100")
 
 
+    book.add("w2_class_borders", lambda t: stats.class_borders(t.documents.join(t.labels, "doc_id"), "n_chars", "quality"),
+             "SELECT (x + px) / 2 AS threshold FROM (SELECT n_chars::DOUBLE AS x, quality AS y, lag(n_chars) OVER w AS px, lag(quality) OVER w AS py FROM documents JOIN labels USING (doc_id) WINDOW w AS (ORDER BY n_chars, quality)) WHERE y <> py")
+    book.add("t5_count_listing", lambda t: ctr.value_counts(t.events, ["event_type"]).orderBy(F.desc("n"), "value"), "SELECT 'event_type' AS field, event_type AS value, count(*) AS n FROM events GROUP BY event_type")
+    book.add("t7_sample", lambda t: stats.sample_rows(t.orders.select("o_orderkey"), "o_orderkey", 0.2))
+    book.add("t9_elite", lambda t: stats.elite(t.customer.select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey", 10), "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10")
+    book.add("e32_crop_windows", lambda t: t.embeddings.select("vec_id", F.size(stats.crop_windows("embedding", 4, 8)).cast("long").alias("n")), "SELECT vec_id, CAST(2 AS BIGINT) AS n FROM embeddings")
+    book.add("f14_renamed_columns", lambda t: rename_columns(t.nation.select(F.col("n_nationkey").alias("n.key"), F.col("n_name").alias("n.name"))), "SELECT n_nationkey AS n_key, n_name FROM nation")
+
+
 def _clusters(book: Book) -> None:
     book.add("j14_nearest_centroid", lambda t: near(t).select("vec_id", "cluster", F.round("distance", 5).alias("distance")), f"WITH {CENTERS}, {NEAR} SELECT vec_id, cluster, round(distance, 5) AS distance FROM near")
     book.add("g10_kmeans_step", lambda t: cluster.kmeans_step(t.embeddings, centers(t), "vec_id", "embedding").select("cluster", F.posexplode("center").alias("i", "x")).select("cluster", F.col("i").cast("long").alias("i"), F.round("x", 5).alias("x")),

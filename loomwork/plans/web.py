@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import url as u
 from ..operators import clicks, graph, robots
+from ..sources.readers import packed_html, page_html
 from .book import Book, Tables
 
 #: The driver's tables have no click log: events name the query, pages the URL.
@@ -92,6 +93,7 @@ def register(book: Book) -> None:
              f"WITH {SITES_SQL} SELECT page_id, CASE WHEN is_disabled THEN 'Y' END AS disabled FROM judged")
     book.add("j1_duplicate_sites", lambda t: robots.duplicate_sites(site_table(t).union(site_table(t).where("site like 'm.%'"))),
              f"WITH {SITES_SQL} SELECT host AS site, CAST(2 AS BIGINT) AS n FROM hosts WHERE host LIKE 'm.%'")
+    book.add("s8_packed_pages", lambda t: t.pages.select("page_id", F.md5(page_html(packed_html("html"))).alias("page")), "SELECT page_id, md5(html) AS page FROM pages")
     book.add("e7_links_per_page", lambda t: t.pages.select("page_id", F.size(u.anchors("html")).cast("long").alias("n")),
              """SELECT page_id, CAST(len(list_filter(regexp_extract_all(html, '(<a.*?href=")(.*?)(")', 0), lambda x: NOT contains(x, 'mailto:'))) AS BIGINT) AS n FROM pages""")
     book.add("e6_extract_links", lambda t: graph.extract_links(t.pages), f"WITH {LINKS_SQL} SELECT * FROM links")

@@ -38,6 +38,14 @@ def page_html(column: str | Column) -> Column:
     return F.arrow_udf(lambda a: pa.array([one(x) for x in a.to_pylist()], pa.string()), "string")(F.unbase64(c))
 
 
+def packed_html(column: str | Column) -> Column:
+    """HTML as base64 of its zlib compression."""
+    import pyarrow as pa
+
+    pack = F.arrow_udf(lambda a: pa.array([None if x is None else zlib.compress(x.encode()) for x in a.to_pylist()], pa.binary()), "binary")
+    return F.base64(pack(F.col(column) if isinstance(column, str) else column))
+
+
 def read_crawl(spark: SparkSession, path: str) -> DataFrame:
     """page_id, html of lines with an id, a tab and the packed page."""
     parts = F.split("value", "\t", 2)
