@@ -66,10 +66,25 @@ def text_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, row[middle], has
 
 
+def _pieces(text: str, size: int = 1 << 21) -> Iterator[str]:
+    """text in pieces of about size characters, cut at spaces, where no n-gram with a letter in its middle is lost."""
+    at = 0
+    while len(text) - at > size:
+        cut = text.find(" ", at + size)
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
 def _chunks(column: pa.Array) -> Iterator[list[str]]:
     """Whole texts in lists of about a million characters."""
     part, size = [], 0
     for t in column.to_pylist():
+        if part and len(t or "") >= 1 << 20:  # by itself
+            yield part
+            part, size = [], 0
         part.append(t or "")
         size += len(part[-1])
         if size >= 1 << 20:
@@ -110,18 +125,27 @@ class LanguageFilter:
             out = out & self.cells[at]
         return out
 
+    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hits by language, n-grams, and whether there is a letter, for each text."""
+        grams, row, has = text_grams(texts)
+        masks, n, one = self.masks(grams), len(texts), self.cells.dtype.type(1)
+        got = [np.bincount(row, weights=(masks >> self.cells.dtype.type(i)) & one, minlength=n) for i in range(len(self.languages))]
+        return np.stack(got), np.bincount(row, minlength=n), has
+
     def decide(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text."""
-        grams, row, has = text_grams(texts)
         n = len(texts)
         if not self.languages:
             return [UNKNOWN] * n, np.zeros(n)
-        masks, total = self.masks(grams), np.bincount(row, minlength=n)
+        if n == 1:  # a text that may be very long
+            parts = [self.counts([p]) for p in _pieces(texts[0])]
+            found, total, has = (np.sum([p[k] for p in parts], axis=0) for k in range(3))
+            has = has > 0
+        else:
+            found, total, has = self.counts(texts)
         hits = np.empty((len(self.languages), n))
-        for i in range(len(self.languages)):
-            got = np.bincount(row, weights=(masks >> masks.dtype.type(i)) & masks.dtype.type(1), minlength=n)
-            rate = self.false_positive[i]
-            hits[i] = np.maximum(0, got - rate * total) / (1 - rate) if rate < 1 else 0
+        for i, rate in enumerate(self.false_positive):
+            hits[i] = np.maximum(0, found[i] - rate * total) / (1 - rate) if rate < 1 else 0
         best = hits.argmax(axis=0)
         score = np.clip(hits[best, np.arange(n)] / np.maximum(total, 1), 0, 1)
         best = np.where(score > 0, best, self.usual)
