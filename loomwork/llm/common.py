@@ -39,6 +39,12 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a work folder that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def word_count(text: Column) -> Column:
     """Number of runs of other than white space; null counts 0."""
     inner = F.regexp_replace(text, f"^{SPACE}+", "")

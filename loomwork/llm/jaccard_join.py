@@ -9,10 +9,12 @@ case; the whole sequence where there are fewer words). Linked sets A and B (simi
    fixed number of cells and a cell keeps the XOR of its shingles' hashes. Two sets differ in at most as many cells as
    shingles. A set emits its first ``max d + 1`` non-empty cells; as the band has so many cells that more than ``max d``
    of them are filled, linked sets share one of those (sets too small in filled cells meet under a common key instead).
-3. In a bucket of equal cells every class is first paired with the smallest only; pairs whose 1024-bit parity sketches (each
-   shingle flips one bit) differ in more than d bits are dropped, since that distance is a lower bound of the symmetric
-   difference; of what is left each class keeps the partner that it shares most buckets with, those pairs are verified on
-   the whole sets, and links are joined to components. (Large sets have a sketch of as many bits as shingles besides.)
+3. In a bucket of equal cells every class is first paired with the first by three hash orders only; pairs whose 1024-bit
+   parity sketches (each shingle flips one bit) differ in more than d bits are dropped, since that distance is a lower bound
+   of the symmetric difference; of what is left each class keeps, by order, the partner that it shares most buckets with,
+   those pairs are verified on the whole sets, and links are joined to components. (Large sets, for which 1024 bits say
+   little, have a sketch of as many bits as shingles besides, and emit spare cells, so that they may leave out their most
+   common ones: passages that many long documents share then make no pairs.)
 4. What remains are buckets whose classes are in different components: there all pairs across components whose sketches
    pass are verified too. So no link is lost, though a group of near copies never expands into all its pairs.
 
@@ -44,7 +46,13 @@ SKETCH_WORDS = 16
 _U = np.uint64
 #: Sets of more shingles have a wide sketch besides, of as many bits as shingles, rounded up to a power of two.
 WIDE_FROM = 64 * SKETCH_WORDS
-FEATURES = "doc_id long, n_shingles long, k1 long, k2 long, sketch array<long>, wide array<long>, cells array<long>"
+#: Cells that sets above WIDE_FROM emit besides; those whose partners all do may leave out half as many of their most common ones.
+SPARE = 128
+#: Classes that share a cell, from which it may be left out.
+COMMON = 4
+#: Orders of classes by which hubs are chosen.
+ORDERS = 3
+FEATURES = "doc_id long, n_shingles long, k1 long, k2 long, may_skip boolean, sketch array<long>, wide array<long>, cells array<long>"
 
 
 def sets_of(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -88,19 +96,26 @@ def band_of(size: int) -> int:
     return b
 
 
-def cells_of(grams: np.ndarray) -> np.ndarray:
-    """Keys of the cells that a set emits: for its band, and for the next if a linked set may lie there."""
+def cells_of(grams: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Keys of the cells that a set emits, for its band and for the next if a linked set may lie there; whether it may leave
+    out SPARE / 2 of them.
+
+    Of two linked sets, take the one whose emitted cells end first: of its max d + 1 + spare cells at most d differ, so
+    that 1 + spare are common to both. A set without so many filled cells emits them all and the band's common key.
+    """
     size = len(grams)
     if not size:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), False
     own, out = band_of(size), []
+    spare = SPARE if size > WIDE_FROM else 0
+    enough = 3 * size > 4 * WIDE_FROM + 3
     for band in (own, own + 1):
         # The largest set that this one may be linked with has 4/3 of its shingles.
         if band > own and 4 * size < 3 * BAND**band:
             break
         top = BAND ** (band + 1) - 1
         count = max(64, -(-2 * top // 3))
-        most = (size + min(4 * size // 3, top)) // 7
+        most = (size + min(4 * size // 3, top)) // 7 + spare
         cell = ((grams >> _U(33)) * _U(count)) >> _U(31)
         order = np.argsort(cell, kind="stable")
         cell, sorted_grams = cell[order], grams[order]
@@ -114,16 +129,17 @@ def cells_of(grams: np.ndarray) -> np.ndarray:
         value = np.bitwise_xor.reduceat(sorted_grams[:end], start)
         keys = tokens.mix(value ^ tokens.mix(cell[start] * _U(64) + _U(band)))
         if len(start) <= most:
+            enough = False
             keys = np.concatenate((keys, tokens.mix(np.array([band], _U) ^ _U(0x2545F4914F6CDD1D))))
         out.append(keys)
-    return np.unique(np.concatenate(out)).view(np.int64)
+    return np.unique(np.concatenate(out)).view(np.int64), enough
 
 
 def _features(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [], [], [])
+            rows: tuple[list, ...] = ([], [], [], [], [], [], [])
             for grams in sets_of(batch.column(1), n):
                 key = key_of(grams)
                 # Cells of a set that this task has emitted, of late, would only repeat.
@@ -132,12 +148,14 @@ def _features(n: int):
                     if len(seen) >= 200_000:
                         seen.clear()
                     seen.add(key)
-                for own, x in zip(rows, (len(grams), key[0], key[1], sketch_of(grams) if new else None, wide_sketch_of(grams) if new else None, cells_of(grams) if new else None), strict=True):
+                cells, may_skip = cells_of(grams) if new else (None, False)
+                made = (len(grams), key[0], key[1], may_skip, sketch_of(grams) if new else None, wide_sketch_of(grams) if new else None, cells)
+                for own, x in zip(rows, made, strict=True):
                     own.append(x)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.int64()) for x in rows[:3]), *(pa.array(x, longs) for x in rows[3:])],
-                names=["doc_id", "n_shingles", "k1", "k2", "sketch", "wide", "cells"],
+                [batch.column(0), *(pa.array(x, pa.int64()) for x in rows[:3]), pa.array(rows[3], pa.bool_()), *(pa.array(x, longs) for x in rows[4:])],
+                names=["doc_id", "n_shingles", "k1", "k2", "may_skip", "sketch", "wide", "cells"],
             )
 
     return run
@@ -205,20 +223,28 @@ def linked_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     spark = docs.sparkSession
     folder = common.work_folder(spark, "jaccard")
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    features = common.stored(base.mapInArrow(_features(n), FEATURES), f"{folder}/features")
-    cells = features.where("cells is not null").select("k1", F.explode("cells").alias("cell"))
+    raw = common.stored(base.mapInArrow(_features(n), FEATURES), f"{folder}/raw")
+    cells = raw.where("cells is not null").select("k1", "may_skip", F.explode("cells").alias("cell"))
     in_cell = "OVER (PARTITION BY cell)"
-    spread = cells.select("cell", "k1", F.expr(f"min(k1) {in_cell}").alias("low"), F.expr(f"max(k1) {in_cell}").alias("high"))
-    live = common.stored(spread.where("low < high").distinct(), f"{folder}/live")
+    spread = cells.select("*", F.expr(f"min(k1) {in_cell}").alias("low"), F.expr(f"max(k1) {in_cell}").alias("high"), F.expr(f"count(*) {in_cell}").alias("m"))
+    met = common.stored(spread.where("low < high").select("cell", "k1", "may_skip", "m").distinct(), f"{folder}/met")
+    # The cells were the bulk of the features and have done their work.
+    features = common.stored(raw.withColumn("is_first", F.col("cells").isNotNull()).drop("cells", "may_skip"), f"{folder}/features")
+    common.delete(spark, f"{folder}/raw")
+    place = F.row_number().over(Window.partitionBy("k1").orderBy(F.desc("m"), "cell"))
+    kept = met.withColumn("_place", place).where(~F.col("may_skip") | (F.col("m") < COMMON) | (F.col("_place") > SPARE // 2)).select("cell", "k1")
+    hub = lambda r: F.expr(f"min(struct(xxhash64({r}, k1) as h, k1)) {in_cell}")["k1"].alias(f"hub{r}")
+    shared = kept.select("cell", "k1", *map(hub, range(ORDERS)), F.expr(f"count(*) {in_cell}").alias("m")).where("m > 1")
+    live = common.stored(shared.drop("m"), f"{folder}/live")
     # Classes that share a cell with another, with their sketch and the text of one document.
-    met = live.select("k1").distinct()
-    sketches = features.where("cells is not null and doc_id is not null").select("k1", "doc_id", F.col("n_shingles").alias("n"), "wide", *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)))
-    classes = common.stored(sketches.join(met, "k1", "left_semi").dropDuplicates(["k1"]), f"{folder}/classes")
+    sketches = features.where("is_first and doc_id is not null").select("k1", "doc_id", F.col("n_shingles").alias("n"), "wide", *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)))
+    classes = common.stored(sketches.join(live.select("k1").distinct(), "k1", "left_semi").dropDuplicates(["k1"]), f"{folder}/classes")
     texts = common.stored(base.join(classes.select("doc_id", "k1"), "doc_id").select("k1", "text"), f"{folder}/texts")
-    # The hub of a class is that smallest member of its buckets with which it shares most of them.
-    shared = live.where("k1 > low").groupBy(F.col("low").alias("a"), F.col("k1").alias("b")).agg(F.count("*").alias("m"))
-    hubs = _sketched(shared, classes).groupBy("b").agg(F.max(F.struct("m", "a")).alias("hub")).select("hub.a", "b")
-    stars = common.stored(hubs, f"{folder}/stars")
+    # By each order the hub of a class is that first member of its buckets with which it shares most of them.
+    met_hubs = live.select(F.col("k1").alias("b"), F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.col(f"hub{r}").alias("a")) for r in range(ORDERS)))).alias("x")).select("x.a", "b", "x.r").where("a <> b")
+    counted = met_hubs.groupBy("a", "b", "r").agg(F.count("*").alias("m"))
+    hubs = _sketched(counted, classes).groupBy("b", "r").agg(F.max(F.struct("m", "a")).alias("hub")).select(F.least("hub.a", "b").alias("a"), F.greatest("hub.a", "b").alias("b"))
+    stars = common.stored(hubs.distinct(), f"{folder}/stars")
     links = _verified(stars, texts, n, f"{folder}/links")
     first = common.stored(connected_components(links, f"{folder}/cc1"), f"{folder}/first")
     # Buckets that still hold several components: one row for each class in them.
