@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class Tables:
@@ -29,6 +30,11 @@ class Book:
     def add(self, name: str, make: Callable[[Tables], DataFrame], sql: str | None = None) -> None:
         if name in self.queries:
             raise ValueError(f"{name} is entered twice")
-        self.queries[name] = lambda spark, sf_dir: make(Tables(spark, sf_dir))
+        self.queries[name] = lambda spark, sf_dir: _plain_zero(make(Tables(spark, sf_dir)))
         if sql:
             self.oracle[name] = sql
+
+
+def _plain_zero(df: DataFrame) -> DataFrame:
+    """Negative zeros, which rounding leaves, as zero."""
+    return df.withColumns({c: F.col(c) + 0.0 for c, kind in df.dtypes if kind == "double"})

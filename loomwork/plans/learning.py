@@ -99,15 +99,15 @@ def _clicks(book: Book) -> None:
 
 
 def _stats(book: Book) -> None:
-    book.add("a17_zscore", lambda t: stats.zscore(t.customer.select("c_custkey", "c_acctbal"), ["c_acctbal"]).select("c_custkey", F.round("z_c_acctbal", 6).alias("z")), "SELECT c_custkey, round((c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER (), 6) AS z FROM customer")
+    book.add("a17_zscore", lambda t: stats.zscore(t.customer.select("c_custkey", "c_acctbal"), ["c_acctbal"]).select("c_custkey", F.round("z_c_acctbal", 6).alias("z")), "SELECT c_custkey, round((c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER (), 6) + 0.0 AS z FROM customer")
     book.add("a18_group_profile", lambda t: stats.group_profile(t.customer, "c_mktsegment", ["c_acctbal", "c_nationkey"]).select("c_mktsegment", "n", F.round("mean_c_acctbal", 6).alias("b"), F.round("mean_c_nationkey", 6).alias("k")),
              "SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 6) AS b, round(avg(c_nationkey), 6) AS k FROM customer GROUP BY 1")
     book.add("a16_value_counts_nunique", lambda t: t.orders.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("nunique"), F.round(F.avg("o_totalprice"), 4).alias("mean")),
              "SELECT o_orderstatus, count(*) AS n, count(DISTINCT o_custkey) AS nunique, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1")
     book.add("a19_vector_statistics", lambda t: stats.vector_statistics(t.embeddings, "vec_id", "embedding").select("vec_id", *(F.round(c, 5).alias(f"v_{c}") for c in ("mean", "std", "max", "min", "diff_mean", "diff_std"))),
-             "WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(generate_series(1, len(embedding))) AS i FROM embeddings), d AS (SELECT *, x - lag(x) OVER (PARTITION BY vec_id ORDER BY i) AS d FROM v) SELECT vec_id, round(avg(x), 5) AS v_mean, round(stddev_pop(x), 5) AS v_std, round(max(x), 5) AS v_max, round(min(x), 5) AS v_min, round(avg(d), 5) AS v_diff_mean, round(stddev_pop(d), 5) AS v_diff_std FROM d GROUP BY vec_id")
+             "WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(generate_series(1, len(embedding))) AS i FROM embeddings), d AS (SELECT *, x - lag(x) OVER (PARTITION BY vec_id ORDER BY i) AS d FROM v) SELECT vec_id, round(avg(x), 5) + 0.0 AS v_mean, round(stddev_pop(x), 5) AS v_std, round(max(x), 5) AS v_max, round(min(x), 5) AS v_min, round(avg(d), 5) + 0.0 AS v_diff_mean, round(stddev_pop(d), 5) AS v_diff_std FROM d GROUP BY vec_id")
     book.add("a20_group_vector_profile", lambda t: stats.group_vector_profile(t.embeddings, "label", "embedding").select("label", F.col("i").cast("long").alias("i"), F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std")),
-             "SELECT label, i - 1 AS i, round(avg(x), 5) AS mean, round(stddev_pop(x), 5) AS std FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(generate_series(1, len(embedding))) AS i FROM embeddings) GROUP BY ALL")
+             "SELECT label, i - 1 AS i, round(avg(x), 5) + 0.0 AS mean, round(stddev_pop(x), 5) AS std FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(generate_series(1, len(embedding))) AS i FROM embeddings) GROUP BY ALL")
     book.add("a21_row_mean_pivot", lambda t: stats.row_mean_pivot(t.lineitem, "l_suppkey", "l_returnflag", ["l_quantity", "l_linenumber"], ["A", "N", "R"]).select("l_suppkey", *(F.round(c, 5).alias(c) for c in "ANR")),
              "SELECT l_suppkey, " + ", ".join(f"round(coalesce(avg(CASE WHEN l_returnflag = '{c}' THEN (l_quantity + l_linenumber) / 2 END), 0), 5) AS \"{c}\"" for c in "ANR") + " FROM lineitem GROUP BY 1")
     book.add("a23_logloss", lambda t: stats.logloss(judged(t), "quality", "p").select(F.round("logloss", 6).alias("logloss")), f"WITH {JUDGED} SELECT round(avg(-ln(CASE WHEN quality > 0 THEN p ELSE 1 - p END)), 6) AS logloss FROM j")
@@ -128,7 +128,7 @@ def _stats(book: Book) -> None:
     book.add("a30_mae", lambda t: stats.mae(judged(t), "quality", "p").select(F.round("mae", 6).alias("mae")), f"WITH {JUDGED} SELECT round(avg(abs(quality - p)), 6) AS mae FROM j")
     book.add("a31_trailing_mean", lambda t: stats.telemetry_trailing_mean(t.events, "event_id", "value").select("event_id", F.round("trailing_mean", 5).alias("trailing_mean")),
              "SELECT event_id, round(m, 5) AS trailing_mean FROM (SELECT event_id, avg(value) OVER w AS m, row_number() OVER (ORDER BY event_id) AS r FROM events WINDOW w AS (ORDER BY event_id ROWS 99 PRECEDING)) WHERE r % 100 = 0")
-    book.add("w1_adjacent_differences", lambda t: stats.adjacent_differences(t.events, "user_id", "event_id", "value").select("event_id", F.round("diff", 6).alias("diff")), "SELECT event_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id), 6) AS diff FROM events")
+    book.add("w1_adjacent_differences", lambda t: stats.adjacent_differences(t.events, "user_id", "event_id", "value").select("event_id", F.round("diff", 6).alias("diff")), "SELECT event_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id), 6) + 0.0 AS diff FROM events")
     book.add("w4_step_decay", lambda t: t.part.select("p_partkey", F.round(stats.step_decay("p_size", 0.5, 10), 6).alias("rate")), "SELECT p_partkey, round(pow(0.5, floor(p_size / 10)), 6) AS rate FROM part")
     book.add("w5_best_so_far", lambda t: stats.best_so_far(t.events, "user_id", "event_id", "value").select("event_id", "best"), "SELECT event_id, min(value) OVER (PARTITION BY user_id ORDER BY event_id) AS best FROM events")
     book.add("e30_label_encode", lambda t: stats.label_encode(t.part.select("p_partkey", "p_brand"), "p_brand").select("p_partkey", "code"), "SELECT p_partkey, dense_rank() OVER (ORDER BY p_brand) - 1 AS code FROM part")
@@ -151,7 +151,7 @@ def _stats(book: Book) -> None:
 def _clusters(book: Book) -> None:
     book.add("j14_nearest_centroid", lambda t: near(t).select("vec_id", "cluster", F.round("distance", 5).alias("distance")), f"WITH {CENTERS}, {NEAR} SELECT vec_id, cluster, round(distance, 5) AS distance FROM near")
     book.add("g10_kmeans_step", lambda t: cluster.kmeans_step(t.embeddings, centers(t), "vec_id", "embedding").select("cluster", F.posexplode("center").alias("i", "x")).select("cluster", F.col("i").cast("long").alias("i"), F.round("x", 5).alias("x")),
-             f"WITH {CENTERS}, {NEAR} SELECT cluster, i - 1 AS i, round(avg(x), 5) AS x FROM (SELECT cluster, unnest(embedding)::DOUBLE AS x, unnest(generate_series(1, len(embedding))) AS i FROM near) GROUP BY ALL")
+             f"WITH {CENTERS}, {NEAR} SELECT cluster, i - 1 AS i, round(avg(x), 5) + 0.0 AS x FROM (SELECT cluster, unnest(embedding)::DOUBLE AS x, unnest(generate_series(1, len(embedding))) AS i FROM near) GROUP BY ALL")
     book.add("j15_distance_matrix", lambda t: cluster.distance_matrix(t.embeddings.where("vec_id < 100"), "vec_id", "embedding").select("a", "b", F.round("distance", 5).alias("distance")),
              f"SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt({DIST.format('a.embedding', 'b.embedding')}), 5) AS distance FROM embeddings a, embeddings b WHERE a.vec_id < 100 AND b.vec_id < 100 AND a.vec_id < b.vec_id")
     book.add("g10_kmeans", lambda t: cluster.kmeans(t.embeddings, 5, "vec_id", "embedding", iterations=5))

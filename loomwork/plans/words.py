@@ -89,7 +89,7 @@ def register(book: Book) -> None:
     book.add(
         "e29_float_list",
         lambda t: t.embeddings.select("vec_id", F.concat(F.lit("[ "), F.array_join(F.transform(F.slice("embedding", 1, 5), lambda x: F.round(x.cast("double"), 3).cast("string")), "\n "), F.lit("]")).alias("s")).select("vec_id", F.round(F.aggregate(tx.float_list("s"), F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.size(tx.float_list("s")).cast("long").alias("n")),
-        "SELECT vec_id, round(list_sum(list_transform(embedding[1:5], lambda x: round(CAST(x AS DOUBLE), 3))), 6) AS total, CAST(5 AS BIGINT) AS n FROM embeddings",
+        "SELECT vec_id, round(list_sum(list_transform(embedding[1:5], lambda x: round(CAST(x AS DOUBLE), 3))), 6) + 0.0 AS total, CAST(5 AS BIGINT) AS n FROM embeddings",
     )
 
 
