@@ -18,7 +18,7 @@ case; the whole sequence where there are fewer words). Linked sets A and B (simi
 4. What remains are buckets whose classes are in different components: there all pairs across components whose sketches
    pass are verified too. So no link is lost, though a group of near copies never expands into all its pairs.
 
-Intermediate tables are stored in the shared folder; only the largest class of figures, row counts, reaches the driver.
+Intermediate tables are stored in the shared folder; only counts and check sums reach the driver.
 
 Defined results: null and wordless texts have empty sets, linked with nothing; repeated ids are compared by their text and
 share the component of either; a row whose id is null is in its copies' component, and is linked with other texts only if a
