@@ -87,7 +87,7 @@ def distance_matrix(points: DataFrame, key: str, vector: str) -> DataFrame:
 def _linkage(x: np.ndarray, k: int, method: str) -> np.ndarray:
     """Labels of k clusters by single, complete or average linkage."""
     n = len(x)
-    d = np.sqrt(np.maximum(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2), 0))
+    d = np.sqrt(np.stack([((x - row) ** 2).sum(axis=1) for row in x]))
     np.fill_diagonal(d, np.inf)
     label, size = np.arange(n), np.ones(n)
     alive = np.ones(n, bool)

@@ -57,6 +57,12 @@ def edge_table(t: Tables) -> DataFrame:
     return one.union(two).distinct()
 
 
+def whole_edges(t: Tables) -> DataFrame:
+    """Every supplier and part of lineitem, with links both ways; parts are numbered below zero."""
+    one = t.lineitem.select(F.col("l_suppkey").alias("src"), (-1 - F.col("l_partkey")).alias("dst")).distinct()
+    return one.union(one.select("dst", "src"))
+
+
 def _pagerank_sql(rounds: int) -> str:
     steps = [f"""r{i} AS (SELECT v.id, v.is_source, (1 - 0.9) / (SELECT count(*) FROM nodes) + 0.9 * (SELECT coalesce(sum(rank), 0) FROM r{i - 1} WHERE NOT is_source) / (SELECT count(*) FROM nodes)
        + 0.9 * coalesce(x.s, 0) AS rank FROM nodes v LEFT JOIN (SELECT e.dst AS id, sum(r.rank / d.deg) AS s FROM edges e JOIN r{i - 1} r ON r.id = e.src JOIN deg d ON d.src = e.src GROUP BY e.dst) x USING (id))""" for i in range(1, rounds + 1)]
@@ -108,4 +114,7 @@ def register(book: Book) -> None:
     book.add("g1_pagerank", lambda t: graph.pagerank(edge_table(t), max_iter=4, tol=0.0).select("id", F.round("rank", 9).alias("rank")), _pagerank_sql(4))
     book.add("g2_hits", lambda t: graph.hits(edge_table(t)), _hits_sql(3))
     book.add("t4_top_pagerank", lambda t: graph.top_nodes(graph.pagerank(edge_table(t), max_iter=4, tol=0.0).select("id", F.round("rank", 9).alias("rank")), "rank"), _pagerank_sql(4) + " ORDER BY rank DESC, id LIMIT 30")
-
+    book.add("a4_adjacency_all", lambda t: graph.adjacency_text(whole_edges(t)))
+    book.add("g1_pagerank_all", lambda t: graph.pagerank(whole_edges(t), max_iter=4, tol=0.0).select("id", F.round("rank", 9).alias("rank")))
+    book.add("g2_hits_all", lambda t: graph.hits(whole_edges(t)))
+    book.add("t4_top_pagerank_all", lambda t: graph.top_nodes(graph.pagerank(whole_edges(t), max_iter=4, tol=0.0).select("id", F.round("rank", 9).alias("rank")), "rank"))
