@@ -2,11 +2,12 @@ r"""Line deduplication by a log-template tree: recurring line templates are drop
 
 A line's tokens are its runs of other than white space, those with a digit masked as ``<*>``. The tree has a fixed depth: a
 line goes to the leaf of its token count and its first ``depth`` masked tokens. Within a leaf a token stays in the template if
-it stands at its position in lines of at least ``min_docs`` documents (each distinct line of a document counts); other tokens
-are variable fields, ``<*>``. A template that keeps at least ``similarity`` of its tokens and whose lines are in at least
-``min_docs`` documents is recurring, and its lines are dropped wherever they stand, the first time too.
+it stands at its position in lines of at least ``min_docs`` documents; other tokens are variable fields, ``<*>``. A template that
+keeps at least ``similarity`` of its tokens and whose lines are in at least ``min_docs`` documents is recurring, and its lines are
+dropped wherever they stand, the first time too. A document counts once, however many of its lines a token or template has.
 
-Masked lines are counted once for each document before the shuffle, tokens are only unfolded for distinct lines of leaves that
+Masked lines are counted once for each document before the shuffle; documents with several lines in a leaf also give these by
+themselves, and what they count too often is taken off. Tokens are only unfolded for distinct lines of leaves that
 recur, and a document's lines come together again by its own key, so that neither a frequent line nor a large leaf meets in
 one task. Everything is built-in expressions.
 
@@ -40,29 +41,46 @@ def _line_key(line: str) -> list[Column]:
     return [F.xxhash64(F.lit(1), line).alias("l1"), F.xxhash64(F.lit(2), line).alias("l2")]
 
 
+def _documents_over(groups: DataFrame, several: DataFrame, keys: list[str], min_docs: int) -> DataFrame:
+    """keys of the groups(keys, m) in at least min_docs documents; several(id, keys): the lines of documents with more than one in a leaf."""
+    sums = groups.groupBy(*keys).agg(F.sum("m").alias("_m")).where(f"_m >= {min_docs}")
+    again = several.groupBy("id", *keys).agg((F.count("*") - 1).alias("_n")).where("_n > 0").groupBy(*keys).agg(F.sum("_n").alias("_n"))
+    return sums.join(again, keys, "left").where(F.col("_m") - F.coalesce("_n", F.lit(0)) >= min_docs).select(*keys)
+
+
 def recurring_lines(docs: DataFrame, text: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
     """l1, l2: hashes of the masked lines of recurring templates."""
     folder = common.work_folder(docs.sparkSession, "templates")
-    lines = docs.select(F.explode(F.array_distinct(masked_lines(text))).alias("line")).where("line <> ''")
-    counted = lines.groupBy("line").agg(F.count("*").alias("m"))
     # Leading tokens by substring_index, the token count by the spaces.
-    tokens = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    leaf = F.xxhash64(tokens, F.substring_index("line", " ", depth))
-    distinct = common.stored(counted.select("line", "m", leaf.alias("leaf"), tokens.alias("n")), f"{folder}/lines")
+    tokens = lambda line: F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    leaf_of = lambda line: F.xxhash64(tokens(line), F.substring_index(line, " ", depth))
+    own = docs.select(F.monotonically_increasing_id().alias("id"), F.array_distinct(F.filter(masked_lines(text), lambda x: x != "")).alias("_all")).select("id", F.inline_outer(F.array(F.struct("_all"))))
+    own = own.select("id", "_all", F.inline_outer(F.array(F.struct(F.transform("_all", leaf_of).alias("_leaves")))))
+    # Lines under a null id count documents; documents with several lines in a leaf give theirs under their id too.
+    ids = F.when(F.size(F.array_distinct("_leaves")) < F.size("_leaves"), F.array(F.lit(None).cast("long"), F.col("id"))).otherwise(F.array(F.lit(None).cast("long")))
+    lines = own.select(ids.alias("_ids"), F.explode("_all").alias("line")).select(F.explode("_ids").alias("id"), "line")
+    counted = lines.groupBy("id", "line").agg(F.count("*").alias("m"))
+    both = common.stored(counted.select("id", "line", "m", leaf_of(F.col("line")).alias("leaf"), tokens(F.col("line")).alias("n")), f"{folder}/lines")
+    distinct = both.where("id is null").drop("id")
     leaves = distinct.groupBy("leaf").agg(F.sum("m").alias("_m"), F.max("m").alias("_most")).where(f"_m >= {min_docs}")
     # A leaf of one line, or whose lines all recur as they are, needs no more.
     alike = distinct.where(f"m >= {min_docs}").select(*_line_key("line"))
     mixed = distinct.where(f"m < {min_docs}").groupBy("leaf").count().select("leaf").join(leaves.select("leaf"), "leaf", "left_semi")
     inner = common.stored(distinct.join(mixed, "leaf", "left_semi"), f"{folder}/mixed")
-    parts = inner.select("leaf", "m", "n", *_line_key("line"), F.posexplode(F.split("line", " ")).alias("pos", "token"))
-    constant = parts.where(F.col("pos") >= depth).groupBy("leaf", "pos", "token").agg(F.sum("m").alias("_m")).where(f"_m >= {min_docs}").select("leaf", "pos", "token", F.lit(True).alias("_c"))
+    many = both.where("id is not null").join(mixed, "leaf", "left_semi")
+    several = common.stored(many.join(many.groupBy("id", "leaf").count().where("count > 1").select("id", "leaf"), ["id", "leaf"], "left_semi"), f"{folder}/several")
+    place = F.posexplode(F.split("line", " ")).alias("pos", "token")
+    parts = inner.select("leaf", "m", "n", *_line_key("line"), place)
+    behind = F.col("pos") >= depth
+    constant = _documents_over(parts.where(behind), several.select("id", "leaf", place).where(behind), ["leaf", "pos", "token"], min_docs).withColumn("_c", F.lit(True))
     rest = parts.where(f"m < {min_docs}")
     marked = rest.join(constant, ["leaf", "pos", "token"], "left").withColumn("_c", F.coalesce("_c", F.col("pos") < depth))
     piece = F.xxhash64("pos", F.when(F.col("_c"), F.col("token")).otherwise(FIELD))
     kept = F.sum(F.when(F.col("_c") & (F.col("token") != FIELD), 1).otherwise(0))
     made = marked.groupBy("leaf", "l1", "l2").agg(F.bit_xor(piece).alias("template"), kept.alias("_kept"), F.max("m").alias("m"), F.max("n").alias("n"))
     made = common.stored(made.where(F.col("_kept") >= similarity * F.col("n")), f"{folder}/templates")
-    often = made.groupBy("leaf", "template").agg(F.sum("m").alias("_m")).where(f"_m >= {min_docs}").select("leaf", "template")
+    placed = several.select("id", *_line_key("line")).join(made.select("leaf", "l1", "l2", "template"), ["l1", "l2"])
+    often = _documents_over(made, placed, ["leaf", "template"], min_docs)
     return alike.union(made.join(often, ["leaf", "template"], "left_semi").select("l1", "l2"))
 
 

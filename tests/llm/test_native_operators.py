@@ -203,6 +203,17 @@ def test_recurring_templates(spark):
     assert line_dedup.drop_recurring(df.where("false")).count() == 0
 
 
+def test_lines_of_one_document_are_no_recurrence(spark):
+    names = "alpha beta gamma delta epsilon zeta eta theta".split()
+    lines = [f"Add the chopped {x} into the bowl now" for x in names]
+    rows = [(1, "\n".join(lines)), (2, "other words"), (3, "\n".join(lines[:2]))]
+    rows += [(10 + i, f"Read more about {x} on our page today\nRead more about {x}{x} on our page today") for i, x in enumerate(names[:5])]
+    out = line_dedup.drop_recurring(spark.createDataFrame(rows, "doc_id int, text string"), min_docs=5, similarity=0.6)
+    assert {r.doc_id: r.n_dropped for r in out.collect()} == {1: 0, 2: 0, 3: 0} | {10 + i: 2 for i in range(5)}
+    again = spark.createDataFrame(rows[:1] * 5, "doc_id int, text string")
+    assert [r.n_dropped for r in line_dedup.drop_recurring(again, min_docs=5).collect()] == [8] * 5
+
+
 def fill(sizes, weights, epochs=1.5, cap=2):
     target, free = dict.fromkeys(sizes, 0.0), set(sizes)
     left = epochs * sum(sizes.values())
