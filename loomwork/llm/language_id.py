@@ -1,7 +1,7 @@
 """Language identification by language-bitmask n-gram filters.
 
 For each language the character n-grams that are frequent in its labelled texts are learned. A bit-sliced Bloom filter holds
-them all: each cell is a mask with a bit for each language, an n-gram sets its language's bit in ``hashes`` cells, and the AND
+them all: each cell is a mask with a bit for each language, in words of 64 languages, an n-gram sets its language's bit in ``hashes`` cells, and the AND
 of an n-gram's cells gives every language that has it at once. A text's language is that with the most hits after the hits
 expected from false positives are taken away (a language's false positive rate is the share of set bits to the power of
 ``hashes``); ties go to the first language by name. The score is the winner's corrected share of
@@ -36,8 +36,8 @@ TRAIN_ROWS = 4000
 MIN_SHARE, MIN_RATIO = 2e-5, 0.1
 #: Cells in the filter for each kept n-gram, and hash functions.
 CELLS_EACH, HASHES = 12, 3
-#: Languages that one filter tells apart: bits of a cell.
-MOST_LANGUAGES = 64
+#: Languages in a word of a cell, at most; a cell has as many words as the languages need.
+WORD_BITS = 64
 UNKNOWN = "und"
 _U = np.uint64
 _letters: list[np.ndarray] = []
@@ -105,31 +105,29 @@ class LanguageFilter:
 
     @classmethod
     def build(cls, languages: list[str], grams: list[np.ndarray], usual: int) -> LanguageFilter:
-        if len(languages) > MOST_LANGUAGES:
-            raise ValueError(f"a filter tells {MOST_LANGUAGES} languages apart")
         most = max([len(g) for g in grams], default=0)
         bits = max(12, int(most * CELLS_EACH).bit_length())
-        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= np.dtype(k).itemsize * 8)
-        cells = np.zeros(1 << bits, kind)
+        kind = next((k for k in (np.uint8, np.uint16, np.uint32) if len(languages) <= np.dtype(k).itemsize * 8), np.uint64)
+        cells = np.zeros((max(1, -(-len(languages) // WORD_BITS)), 1 << bits), kind)
         for i, g in enumerate(grams):
             for at in _places(g, bits):
-                cells[at] |= kind(1 << i)
-        rate = np.array([float(((cells >> kind(i)) & kind(1)).mean()) for i in range(len(languages))])
+                cells[i // WORD_BITS][at] |= kind(1 << i % WORD_BITS)
+        rate = np.array([float(((cells[i // WORD_BITS] >> kind(i % WORD_BITS)) & kind(1)).mean()) for i in range(len(languages))])
         return cls(languages, cells, rate**HASHES, usual)
 
     def masks(self, grams: np.ndarray) -> np.ndarray:
-        """The languages that have each n-gram."""
-        places = _places(grams, int(len(self.cells)).bit_length() - 1)
-        out = self.cells[next(places)]
+        """The languages that have each n-gram, in words of WORD_BITS languages."""
+        places = _places(grams, int(self.cells.shape[1]).bit_length() - 1)
+        out = self.cells[:, next(places)]
         for at in places:
-            out = out & self.cells[at]
+            out &= self.cells[:, at]
         return out
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hits by language, n-grams, and whether there is a letter, for each text."""
         grams, row, has = text_grams(texts)
         masks, n, one = self.masks(grams), len(texts), self.cells.dtype.type(1)
-        got = [np.bincount(row, weights=(masks >> self.cells.dtype.type(i)) & one, minlength=n) for i in range(len(self.languages))]
+        got = [np.bincount(row, weights=(masks[i // WORD_BITS] >> self.cells.dtype.type(i % WORD_BITS)) & one, minlength=n) for i in range(len(self.languages))]
         return np.stack(got), np.bincount(row, minlength=n), has
 
     def decide(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -184,22 +182,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", train_rows: int = TRAIN_ROWS) -> LanguageFilter:
     """A filter from labelled rows with a doc_id; of each language about train_rows are read at most."""
     rows = labelled.where(F.col(lang).isNotNull()).select("doc_id", F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return LanguageFilter.build([], [], 0)
     languages = sorted(counts)
     million = 1_000_000
-    keep = F.lit(0)
+    # Flat, as there may be many languages.
+    keep = F
     for x in languages:
-        keep = F.when(F.col("lang") == x, int(min(1, train_rows / counts[x]) * million)).otherwise(keep)
+        keep = keep.when(F.col("lang") == x, int(min(1, train_rows / counts[x]) * million))
     chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < keep).where("text is not null").select("text", "lang")
     counted = chosen.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     grams = common.stored(counted, common.work_folder(labelled.sparkSession, "language") + "/grams")
     sums = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     # What is collected is bounded: min_share keeps 1/min_share n-grams a language at most.
-    least = F.lit(0.0)
+    least = F.when(F.col("lang").isNull(), 0.0)
     for x, n in sums.items():
-        least = F.when(F.col("lang") == x, F.greatest(F.lit(2.0), F.lit(n * MIN_SHARE))).otherwise(least)
+        least = least.when(F.col("lang") == x, max(2.0, n * MIN_SHARE))
     found = grams.where(F.col("n") >= least).toPandas()
     found["share"] = found["n"] / found["lang"].map(sums)
     found = found[found["share"] >= MIN_RATIO * found.groupby("gram")["share"].transform("max")]

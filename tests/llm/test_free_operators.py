@@ -251,3 +251,12 @@ def test_connected_components(spark, tmp_path):
     links = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 200), (7, 7)] + [(500, 500 + k) for k in range(1, 60)]
     got = {r.id: r.component for r in components.connected_components(spark.createDataFrame(links, "a long, b long"), f"{tmp_path}/cc").collect()}
     assert all(got[i] == 0 for i in range(41)) and got[300] == got[200] == 100 and got[559] == 500
+
+
+def test_more_than_64_languages_are_told_apart(spark):
+    words = [f"{a}{b}{a}{c}" for a in "bcdfg" for b in "aeiou" for c in "klm"][:70]
+    rows = [(10 * i + k, " ".join([w] * (6 + k)), f"x{i:02}") for i, w in enumerate(words) for k in range(2)]
+    model = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 70
+    names, scores = model.decide([f"{w} {w} {w}" for w in words])
+    assert names == [f"x{i:02}" for i in range(70)] and scores.min() > 0.5
