@@ -8,7 +8,7 @@ Benchmarks are broadcast in blocks of at most ``block_words`` words (about 60 by
 scanned for in several passes, with the found spans kept on the rows between them.
 
 Defined results: null or wordless texts have no words and no hits; wordless items have no windows; items that share a
-window are all named; repeated item ids count once; rows of documents are judged one by one, so repeated rows repeat; an
+window are all named; repeated item ids count once, and so do all items without an id together, which items_sha256 leaves out; rows of documents are judged one by one, so repeated rows repeat; an
 empty benchmark leaves all clean, an empty table gives no rows. Columns of the input named like an added column are
 replaced.
 """
@@ -34,7 +34,7 @@ BLOCK_WORDS = 1_000_000
 class NgramSet:
     """The windows of some items by hash, with their words for verification."""
 
-    def __init__(self, items: list[tuple[str, str]], n: int):
+    def __init__(self, items: list[tuple[str | None, str]], n: int):
         self.n, self.windows, words = n, {}, []
         by_length: dict[int, list[np.ndarray]] = {}
         for item, text in items:
@@ -96,7 +96,7 @@ def _scan(text_at: int, earlier: tuple[int, int] | None, block, schema: pa.Schem
             rows = range(batch.num_rows)
             merged = [_merged(spans.get(i)) for i in rows]
             columns = [c for k, c in enumerate(batch.columns) if not earlier or k < len(batch.columns) - 3]
-            columns += [pa.array(counts), pa.array(merged, schema.field("_spans").type), pa.array([sorted(items.get(i, ())) for i in rows], schema.field("_items").type)]
+            columns += [pa.array(counts), pa.array(merged, schema.field("_spans").type), pa.array([sorted(items.get(i, ()), key=lambda x: (x is None, x or "")) for i in rows], schema.field("_items").type)]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
@@ -117,7 +117,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")).where("id is not null and text is not null")
+    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")).where("text is not null")
     # Half the characters is a bound on the words of a text.
     size = items.agg(F.coalesce(F.sum((F.length("text") + 1) / 2), F.lit(0))).first()[0]
     blocks = max(1, -(-int(size) // block_words))

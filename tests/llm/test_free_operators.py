@@ -260,3 +260,14 @@ def test_more_than_64_languages_are_told_apart(spark):
     assert len(model.languages) == 70
     names, scores = model.decide([f"{w} {w} {w}" for w in words])
     assert names == [f"x{i:02}" for i in range(70)] and scores.min() > 0.5
+
+
+@pytest.mark.parametrize("block_words", [1_000_000, 8])
+def test_items_without_an_id_are_found(spark, block_words):
+    passage, other, named = (" ".join(f"{x}{i}" for i in range(12)) for x in ("no", "un", "id"))
+    items = spark.createDataFrame([(None, passage), (None, other), (7, named)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"so {passage} it"), (2, f"{passage} and {other} and {named}"), (3, named), (4, "clean")], DOCS)
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.report(docs, items, block_words=block_words).collect()}
+    none, seven = decontaminate.items_digest([]), decontaminate.items_digest(["7"])
+    assert got == {1: (12, 1, none, True), 2: (36, 2, seven, True), 3: (12, 1, seven, True), 4: (0, 0, none, False)}
+    assert [r.doc_id for r in decontaminate.clean_documents(docs, items, block_words=block_words).collect()] == [4]
