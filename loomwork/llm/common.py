@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -16,27 +15,26 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without that setting, which then gets a temporary one."""
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not given:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         given = "file://" + tempfile.mkdtemp(prefix="loomwork-")
         spark.sparkContext.setCheckpointDir(given)
     return given.rstrip("/")
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder. Its files stay until the folder is purged, as results may read them lazily."""
+    """A new path below the shared folder. Its files stay until purge() or delete(), as results may read them lazily."""
     return f"{shared_folder(spark)}/loomwork/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
     """Writes df below the shared folder and reads it back: this cuts the lineage and survives lost executors."""
-    spark, schema = df.sparkSession, df.schema
+    schema = df.schema
     df.write.mode("overwrite").parquet(path)
-    # Shuffle files go once the driver's JVM has collected the plan that made them.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -45,6 +43,11 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def purge(spark: SparkSession) -> None:
+    """Removes all work folders. Call it once the results that were wanted are written."""
+    delete(spark, f"{shared_folder(spark)}/loomwork")
+
+
 def word_count(text: Column) -> Column:
     """Number of runs of other than white space; null counts 0."""
     inner = F.regexp_replace(text, f"^{SPACE}+", "")

@@ -1,19 +1,20 @@
 r"""Line deduplication by a log-template tree: recurring line templates are dropped from all documents.
 
 A line's tokens are its runs of other than white space, those with a digit masked as ``<*>``. The tree has a fixed depth: a
-line goes to the leaf of its token count and its first ``depth`` masked tokens. Within a leaf a token stays in the template if
-it stands at its position in lines of at least ``min_docs`` documents; other tokens are variable fields, ``<*>``. A template that
-keeps at least ``similarity`` of its tokens and whose lines are in at least ``min_docs`` documents is recurring, and its lines are
-dropped wherever they stand, the first time too. A document counts once, however many of its lines a token or template has.
-
-Masked lines are counted once for each document before the shuffle; documents with several lines in a leaf also give these by
-themselves, and what they count too often is taken off. Tokens are only unfolded for distinct lines of leaves that
-recur, and a document's lines come together again by its own key, so that neither a frequent line nor a large leaf meets in
-one task. Everything is built-in expressions.
-
-Defined results: null text stays null (no lines); blank lines never are dropped and keep their place; repeated rows count as
-documents and are cleaned alike; ties don't arise, as all lines of a template go; an empty table gives no rows; input columns
-named ``n_lines`` or ``n_dropped`` are replaced.
+line goes to the leaf of its token count and its first ``depth`` masked tokens. Within a leaf a token is constant at its
+position if lines of at least ``min_docs`` documents have it there; all others are variable fields, ``<*>``. A line is an
+instance of a recurring template if ``similarity`` of its tokens behind the leading ones are constant, or if the line itself
+(masked) is in ``min_docs`` documents; such lines are dropped wherever they stand, the first time too. Lines of more than
+``long_tokens`` tokens are passages rather than furniture and need only ``long_docs`` documents. A document counts once,
+however many of its lines have a token.
+
+Texts are masked once: lines are stored with their hashes and leaf, and from then on only hashes move, but for the lines of
+leaves that recur without all being the same. Counts are summed on the map side, joins that a frequent line, leaf or token may
+make uneven have stored tables on both sides, which Spark can split. Everything is built-in expressions.
+
+Defined results: null text stays null (no lines); blank lines never are dropped and keep their place; very long texts are
+lines like any other; repeated rows count as documents and are cleaned alike; ties don't arise, as all lines of a template go;
+an empty table gives no rows; input columns named ``n_lines`` or ``n_dropped`` are replaced, others keep their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Leading tokens in the tree; documents that a token or line recurs in; share of constant tokens behind the leading ones.
 DEPTH, MIN_DOCS, SIMILARITY = 3, 20, 0.6
+#: Lines of more tokens are passages, which recur from LONG_DOCS documents on.
+LONG_TOKENS, LONG_DOCS = 50, 2
 FIELD = "<*>"
 
 
@@ -31,79 +35,84 @@ def masked_lines(text: str) -> Column:
     """Each line with single spaces between its tokens and FIELD for those with a digit; blank lines are empty."""
 
     def mask(line: Column) -> Column:
-        tidy = F.regexp_replace(F.btrim(line, F.lit(common.SPACE_CHARS)), f"{common.SPACE}+", " ")
+        bare = F.btrim(line, F.lit(common.SPACE_CHARS))
+        tidy = F.when(bare.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(bare, f"{common.SPACE}+", " ")).otherwise(bare)
         return F.when(tidy.rlike("[0-9]"), F.regexp_replace(tidy, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(tidy)
 
     return F.transform(F.split(F.col(text), "\n"), mask)
 
 
-def _line_key(line: str) -> list[Column]:
-    return [F.xxhash64(F.lit(1), line).alias("l1"), F.xxhash64(F.lit(2), line).alias("l2")]
-
-
-def _documents_over(groups: DataFrame, several: DataFrame, keys: list[str], min_docs: int) -> DataFrame:
-    """keys of the groups(keys, m) in at least min_docs documents; several(id, keys): the lines of documents with more than one in a leaf."""
-    sums = groups.groupBy(*keys).agg(F.sum("m").alias("_m")).where(f"_m >= {min_docs}")
+def hashed_lines(docs: DataFrame, keys: list[str], text: str = "text", depth: int = DEPTH) -> DataFrame:
+    """keys and, for each line that isn't blank: _no, line (masked), l1 and l2 (its hashes), n (tokens), leaf, new (not seen before in its text)."""
+    own = docs.select(*keys, F.inline_outer(F.array(F.struct(masked_lines(text).alias("_all")))))
+    numbered = F.transform("_all", lambda x, i: F.struct(F.xxhash64(F.lit(1), x).alias("l1"), F.xxhash64(F.lit(2), x).alias("l2"), i.alias("_no")))
+    filled = F.filter(numbered, lambda x: F.get("_all", x["_no"]) != "")
+    own = own.select(*keys, "_all", F.inline_outer(F.array(F.struct(filled.alias("_s")))))
+    repeats = F.size(F.array_distinct(F.transform("_s", lambda x: x["l1"]))) < F.size("_s")
+    own = own.select(*keys, "_all", F.inline_outer(F.array(F.struct(F.when(repeats, F.array_sort("_s")).otherwise(F.col("_s")).alias("_s")))))
+    before = lambda k: F.get("_s", k - 1)
+    same = lambda x, k: F.coalesce((before(k)["l1"] == x["l1"]) & (before(k)["l2"] == x["l2"]), F.lit(False))
+    made = F.transform("_s", lambda x, k: F.struct(x["l1"].alias("l1"), x["l2"].alias("l2"), x["_no"].alias("_no"), F.get("_all", x["_no"]).alias("line"), (~same(x, k)).alias("new")))
+    lines = own.select(*keys, F.inline(made))
+    tokens = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
+    return lines.withColumn("n", tokens).withColumn("leaf", F.xxhash64("n", F.substring_index("line", " ", depth)))
+
+
+def _documents_over(parts: DataFrame, several: DataFrame, need: Column) -> DataFrame:
+    """leaf, pos and token of parts(..., m) in at least need documents; several(id, ...): what documents with more than one line in a leaf have."""
+    keys = ["leaf", "n", "pos", "token"]
+    sums = parts.groupBy(*keys).agg(F.sum("m").alias("_m")).where(F.col("_m") >= need)
     again = several.groupBy("id", *keys).agg((F.count("*") - 1).alias("_n")).where("_n > 0").groupBy(*keys).agg(F.sum("_n").alias("_n"))
-    return sums.join(again, keys, "left").where(F.col("_m") - F.coalesce("_n", F.lit(0)) >= min_docs).select(*keys)
+    return sums.join(again, keys, "left").where(F.col("_m") - F.coalesce("_n", F.lit(0)) >= need).select("leaf", "pos", "token")
 
 
-def recurring_lines(docs: DataFrame, text: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
-    """l1, l2: hashes of the masked lines of recurring templates."""
-    folder = common.work_folder(docs.sparkSession, "templates")
-    # Leading tokens by substring_index, the token count by the spaces.
-    tokens = lambda line: F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-    leaf_of = lambda line: F.xxhash64(tokens(line), F.substring_index(line, " ", depth))
-    own = docs.select(F.monotonically_increasing_id().alias("id"), F.array_distinct(F.filter(masked_lines(text), lambda x: x != "")).alias("_all")).select("id", F.inline_outer(F.array(F.struct("_all"))))
-    own = own.select("id", "_all", F.inline_outer(F.array(F.struct(F.transform("_all", leaf_of).alias("_leaves")))))
-    # Lines under a null id count documents; documents with several lines in a leaf give theirs under their id too.
-    ids = F.when(F.size(F.array_distinct("_leaves")) < F.size("_leaves"), F.array(F.lit(None).cast("long"), F.col("id"))).otherwise(F.array(F.lit(None).cast("long")))
-    lines = own.select(ids.alias("_ids"), F.explode("_all").alias("line")).select(F.explode("_ids").alias("id"), "line")
-    counted = lines.groupBy("id", "line").agg(F.count("*").alias("m"))
-    both = common.stored(counted.select("id", "line", "m", leaf_of(F.col("line")).alias("leaf"), tokens(F.col("line")).alias("n")), f"{folder}/lines")
-    distinct = both.where("id is null").drop("id")
-    leaves = distinct.groupBy("leaf").agg(F.sum("m").alias("_m"), F.max("m").alias("_most")).where(f"_m >= {min_docs}")
+def recurring_lines(lines: DataFrame, folder: str, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, long_tokens: int = LONG_TOKENS, long_docs: int = LONG_DOCS) -> DataFrame:
+    """l1, l2: hashes of the lines of recurring templates, stored below folder; lines as hashed_lines() gives, stored, with id, a number for each document."""
+    need = F.when(F.col("n") > long_tokens, long_docs).otherwise(min_docs)
+    new = lines.where("new")
+    counted = common.stored(new.groupBy("l1", "l2", "leaf", "n").agg(F.count("*").alias("m")), f"{folder}/counted")
     # A leaf of one line, or whose lines all recur as they are, needs no more.
-    alike = distinct.where(f"m >= {min_docs}").select(*_line_key("line"))
-    mixed = distinct.where(f"m < {min_docs}").groupBy("leaf").count().select("leaf").join(leaves.select("leaf"), "leaf", "left_semi")
-    inner = common.stored(distinct.join(mixed, "leaf", "left_semi"), f"{folder}/mixed")
-    many = both.where("id is not null").join(mixed, "leaf", "left_semi")
-    several = common.stored(many.join(many.groupBy("id", "leaf").count().where("count > 1").select("id", "leaf"), ["id", "leaf"], "left_semi"), f"{folder}/several")
-    place = F.posexplode(F.split("line", " ")).alias("pos", "token")
-    parts = inner.select("leaf", "m", "n", *_line_key("line"), place)
-    behind = F.col("pos") >= depth
-    constant = _documents_over(parts.where(behind), several.select("id", "leaf", place).where(behind), ["leaf", "pos", "token"], min_docs).withColumn("_c", F.lit(True))
-    rest = parts.where(f"m < {min_docs}")
-    marked = rest.join(constant, ["leaf", "pos", "token"], "left").withColumn("_c", F.coalesce("_c", F.col("pos") < depth))
-    piece = F.xxhash64("pos", F.when(F.col("_c"), F.col("token")).otherwise(FIELD))
-    kept = F.sum(F.when(F.col("_c") & (F.col("token") != FIELD), 1).otherwise(0))
-    made = marked.groupBy("leaf", "l1", "l2").agg(F.bit_xor(piece).alias("template"), kept.alias("_kept"), F.max("m").alias("m"), F.max("n").alias("n"))
-    made = common.stored(made.where(F.col("_kept") >= similarity * F.col("n")), f"{folder}/templates")
-    placed = several.select("id", *_line_key("line")).join(made.select("leaf", "l1", "l2", "template"), ["l1", "l2"])
-    often = _documents_over(made, placed, ["leaf", "template"], min_docs)
-    return alike.union(made.join(often, ["leaf", "template"], "left_semi").select("l1", "l2"))
-
-
-def drop_recurring(docs: DataFrame, text: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with the recurring templates' lines cut from text, n_lines (before) and n_dropped."""
+    leaves = counted.groupBy("leaf", "n").agg(F.sum("m").alias("_m"), F.min("m").alias("_least"), F.count("*").alias("_lines"))
+    mixed = common.stored(leaves.where((F.col("_lines") > 1) & (F.col("_m") >= need) & (F.col("_least") < need) & (F.col("n") > depth)).select("leaf"), f"{folder}/mixed")
+    inner = common.stored(new.select("id", "leaf", "n", "l1", "l2", "line").join(mixed, "leaf", "left_semi"), f"{folder}/inner")
+    token = F.posexplode(F.split("line", " ")).alias("pos", "token")
+    field = (F.col("pos") >= depth) & (F.col("token") != FIELD)
+    distinct = inner.groupBy("leaf", "n", "l1", "l2", "line").agg(F.count("*").alias("m"))
+    parts = distinct.select("leaf", "n", "l1", "l2", "m", token).where(field)
+    twice = inner.groupBy("id", "leaf").agg(F.count("*").alias("_n")).where("_n > 1").select("id", "leaf")
+    several = inner.join(twice, ["id", "leaf"], "left_semi").select("id", "leaf", "n", token).where(field)
+    constant = common.stored(_documents_over(parts, several, need), f"{folder}/constant")
+    kept = parts.where(F.col("m") < need).join(constant, ["leaf", "pos", "token"], "left_semi").groupBy("l1", "l2", "n").agg(F.count("*").alias("_kept"))
+    alike = counted.where(F.col("m") >= need).select("l1", "l2")
+    return common.stored(alike.union(kept.where(F.col("_kept") >= similarity * (F.col("n") - depth)).select("l1", "l2")), f"{folder}/gone")
+
+
+def drop_recurring(docs: DataFrame, text: str = "text", depth: int = DEPTH, **how) -> DataFrame:
+    """docs with the recurring templates' lines cut from text, n_lines (before) and n_dropped; how as in recurring_lines()."""
+    folder = common.work_folder(docs.sparkSession, "templates")
     base, back = common.inner_names(docs.drop("n_lines", "n_dropped"), text)
-    gone = recurring_lines(base, text, depth, min_docs, similarity)
     keyed = base.select("*", *common.row_key(*[c for c, kind in base.dtypes if not kind.startswith(("map", "variant"))]))
-    lines = keyed.select("_k1", "_k2", F.posexplode(masked_lines(text)).alias("_no", "_line")).where("_line <> ''")
-    hits = lines.select("_k1", "_k2", "_no", *_line_key("_line")).join(gone, ["l1", "l2"], "left_semi")
+    numbered = keyed.select("_k1", "_k2", text, F.monotonically_increasing_id().alias("id"))
+    lines = common.stored(hashed_lines(numbered, ["id", "_k1", "_k2"], text, depth), f"{folder}/lines")
+    gone = recurring_lines(lines, folder, depth, **how)
+    hits = lines.select("_k1", "_k2", "_no", "l1", "l2").join(gone, ["l1", "l2"], "left_semi")
     # Repeated rows have the same key, and so the same lines, which count once.
-    by_row = hits.groupBy("_k1", "_k2").agg(F.collect_set("_no").alias("_gone"))
+    by_row = common.stored(hits.groupBy("_k1", "_k2").agg(F.collect_set("_no").alias("_gone")), f"{folder}/rows")
+    common.delete(docs.sparkSession, f"{folder}/lines")
     joined = keyed.join(by_row, ["_k1", "_k2"], "left")
-    split = F.split(F.col(text), "\n")
-    left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = joined.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(split)).cast("long"))
-    out = out.withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
+    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1)
+    # Through the generator a text is split once, and only if it loses lines.
+    split = F.when(F.col("_gone").isNotNull(), F.split(F.col(text), "\n"))
+    out = joined.select(*base.columns, "_gone", n_lines.cast("long").alias("n_lines"), F.inline_outer(F.array(F.struct(split.alias("_lines")))))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
+    left = F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")
+    out = out.withColumn("n_dropped", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"))
     return out.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left)).select(*back, "n_lines", "n_dropped")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     cleaned = drop_recurring(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return cleaned.select("doc_id", "n_lines", F.greatest("n_dropped", F.lit(0)).alias("n_dropped"), F.sha2("text", 256).alias("clean_sha256"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("clean_sha256"))
 
 
 ORACLE_SQL = r"""
@@ -111,17 +120,15 @@ WITH d AS (SELECT row_number() OVER () AS k, doc_id, text FROM documents),
 raw AS (SELECT k, unnest(generate_series(1, len(string_split(text, chr(10))))) AS no, unnest(string_split(text, chr(10))) AS line FROM d WHERE text IS NOT NULL),
 tidy AS (SELECT k, no, line, regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM raw),
 masked AS (SELECT k, no, line, regexp_replace(t, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS t FROM tidy),
-u AS (SELECT t, count(DISTINCT k) AS m, len(string_split(t, ' ')) AS n,
+u AS (SELECT t, count(DISTINCT k) AS m, len(string_split(t, ' ')) AS n, CASE WHEN len(string_split(t, ' ')) > 50 THEN 2 ELSE 20 END AS need,
              CAST(len(string_split(t, ' ')) AS VARCHAR) || ' ' || array_to_string(string_split(t, ' ')[1:3], ' ') AS leaf
       FROM masked WHERE t <> '' GROUP BY t),
-parts AS (SELECT t, m, n, leaf, unnest(generate_series(1, n)) AS pos, unnest(string_split(t, ' ')) AS token FROM u),
-const AS (SELECT leaf, pos, token FROM parts WHERE pos > 3 GROUP BY ALL HAVING sum(m) >= 20),
-marked AS (SELECT p.t, p.m, p.n, p.leaf, p.pos, p.token, p.pos <= 3 OR c.token IS NOT NULL AS c
-           FROM parts p LEFT JOIN const c ON c.leaf = p.leaf AND c.pos = p.pos AND c.token = p.token WHERE p.m < 20),
-made AS (SELECT t, m, leaf, string_agg(CASE WHEN c THEN token ELSE '<*>' END, ' ' ORDER BY pos) AS template
-         FROM marked GROUP BY t, m, n, leaf HAVING count(*) FILTER (WHERE c AND token <> '<*>') >= 0.6 * n),
-often AS (SELECT leaf, template FROM made GROUP BY ALL HAVING sum(m) >= 20),
-gone AS (SELECT t FROM u WHERE m >= 20 UNION SELECT made.t FROM made JOIN often USING (leaf, template)),
+busy AS (SELECT leaf FROM u GROUP BY leaf, need HAVING sum(m) >= need AND count(*) > 1),
+parts AS (SELECT t, m, n, need, leaf, unnest(generate_series(1, n)) AS pos, unnest(string_split(t, ' ')) AS token FROM u WHERE leaf IN (SELECT leaf FROM busy)),
+const AS (SELECT p.leaf, p.pos, p.token FROM parts p JOIN (SELECT DISTINCT k, t FROM masked) x ON x.t = p.t
+          WHERE p.pos > 3 AND p.token <> '<*>' GROUP BY p.leaf, p.pos, p.token, p.need HAVING count(DISTINCT x.k) >= p.need),
+alike AS (SELECT p.t FROM parts p JOIN const c ON c.leaf = p.leaf AND c.pos = p.pos AND c.token = p.token GROUP BY p.t, p.n HAVING count(*) >= 0.6 * (p.n - 3)),
+gone AS (SELECT t FROM u WHERE m >= need UNION SELECT t FROM alike),
 clean AS (
   SELECT k, count(*) AS n_lines, count(g.t) AS n_dropped,
          coalesce(string_agg(x.line, chr(10) ORDER BY x.no) FILTER (WHERE g.t IS NULL), '') AS text

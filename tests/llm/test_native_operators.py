@@ -281,3 +281,13 @@ def test_schedule_spreads_sources_evenly(spark):
     share = (slots["_sid"] == 0).mean()
     running = np.abs(np.cumsum(slots["_sid"] == 0) - share * (np.arange(len(slots)) + 1))
     assert running.max() < 5
+
+
+def test_long_passages_recur_from_two_documents_on(spark):
+    words = lambda tag, n: [f"{tag}{'abcdefghij'[i % 10]}{'klmnop'[i // 10]}" for i in range(n)]
+    passage = words("p", 51)
+    other = passage[:20] + ["changed"] + passage[21:]
+    rows = [(1, "own one\n" + " ".join(passage)), (2, " ".join(other) + "\nown two"), (3, " ".join(words("q", 60))), (4, " ".join(words("r", 50))), (5, " ".join(words("r", 50))), (6, "\t ".join(passage) + "\n" + "lonely " * 20_000)]
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in line_dedup.drop_recurring(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {1: (2, 1), 2: (2, 1), 3: (1, 0), 4: (1, 0), 5: (1, 0), 6: (2, 1)}
+    assert got[1][2] == "own one" and got[2][2] == "own two" and got[3][2] == rows[2][1] and got[6][2] == "lonely " * 20_000
