@@ -5,24 +5,29 @@ case; the whole sequence where there are fewer words). Linked sets A and B (simi
 ``d = (|A| + |B|) / 7`` shingles.
 
 1. Equal sets form one class; from here on classes are compared, so exact copies cost one row each.
-2. Cells: in each band of sizes (a factor of 4; sets at the upper end also serve the next band) shingles are hashed to a
-   fixed number of cells and a cell keeps the XOR of its shingles' hashes. Two sets differ in at most as many cells as
-   shingles. A set emits its first ``max d + 1`` non-empty cells; as the band has so many cells that more than ``max d``
-   of them are filled, linked sets share one of those (sets too small in filled cells meet under a common key instead).
-3. In a bucket of equal cells every class is first paired with the first by three hash orders only; pairs whose 1024-bit
+2. Cells: in each band of sizes (a factor of 2; sets at the lower end also serve the band below) shingles are hashed to a fixed
+   number of cells and a filled cell keeps the XOR of its shingles' hashes. Two sets differ in at most as many cells as
+   shingles, so of any d + 1 filled cells of one the other has at least one. (Sets with no more than d filled cells have the
+   band's common key besides, under which they meet.)
+3. Cells are counted over all sets, and a set keeps its d + 1 rarest (by count, then key): as the order is the same for all, the
+   rarest cell that two linked sets share is among those of both. Cells that nobody else has come first and make no pairs, so
+   that documents that share a passage, but not most of their text, don't meet at all.
+4. In a bucket of equal cells every class is first paired with the first by three orders of keys only; pairs whose 1024-bit
    parity sketches (each shingle flips one bit) differ in more than d bits are dropped, since that distance is a lower bound
    of the symmetric difference; of what is left each class keeps, by order, the partner that it shares most buckets with,
    those pairs are verified on the whole sets, and links are joined to components. (Large sets, for which 1024 bits say
-   little, have a sketch of as many bits as shingles besides, and emit spare cells, so that they may leave out their most
-   common ones: passages that many long documents share then make no pairs.)
-4. What remains are buckets whose classes are in different components: there all pairs across components whose sketches
+   little, have a sketch of as many bits as shingles besides.)
+5. What remains are buckets whose classes are in different components: there all pairs across components whose sketches
    pass are verified too. So no link is lost, though a group of near copies never expands into all its pairs.
 
-Intermediate tables are stored in the shared folder; only counts and check sums reach the driver.
+A cell, hub, class or text that a third of the rows share is summed on the map side, and joined from stored tables on both
+sides, which Spark splits; no window runs over a cell. Cells are counted in two halves, so that only half of them are in a
+shuffle at once. Intermediate tables are stored in the shared folder; only check sums and whether a table is empty reach the driver.
 
 Defined results: null and wordless texts have empty sets, linked with nothing; repeated ids are compared by their text and
-share the component of either; a row whose id is null is in its copies' component, and is linked with other texts only if a
-copy has an id; an empty table gives no rows.
+share the component of either; a row without id links others like any row, and its component is null if no id is reachable;
+very long texts are compared whole; ties don't arise; an empty table gives no rows; other columns, whatever their names,
+are not looked at, and one_of_each() returns them as they are.
 """
 
 from __future__ import annotations
@@ -39,20 +44,16 @@ from .components import connected_components
 
 #: Words in a shingle.
 SHINGLE = 5
-#: Sizes of a band lie within this factor.
-BAND = 4
+#: Cells of a band for each shingle of its largest sets, and at least.
+CELLS_EACH, LEAST_CELLS = 0.5, 64
 #: Bits of the parity sketch, in 64-bit words.
 SKETCH_WORDS = 16
 _U = np.uint64
 #: Sets of more shingles have a wide sketch besides, of as many bits as shingles, rounded up to a power of two.
 WIDE_FROM = 64 * SKETCH_WORDS
-#: Cells that sets above WIDE_FROM emit besides; those whose partners all do may leave out half as many of their most common ones.
-SPARE = 128
-#: Classes that share a cell, from which it may be left out.
-COMMON = 4
-#: Orders of classes by which hubs are chosen.
-ORDERS = 3
-FEATURES = "doc_id long, n_shingles long, k1 long, k2 long, may_skip boolean, sketch array<long>, wide array<long>, cells array<long>"
+#: Orders of classes by which hubs are chosen: that of k1 XOR each of these.
+ORDERS = (0, -1, 0x5555555555555555)
+FEATURES = "doc_id long, n_shingles long, k1 long, k2 long, tag long, allow array<int>, sketch array<long>, wide array<long>, cells array<long>"
 
 
 def sets_of(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -88,75 +89,63 @@ def wide_sketch_of(grams: np.ndarray) -> np.ndarray | None:
     return sketch_of(grams, 1 << (len(grams) - 1).bit_length() - 6) if len(grams) > WIDE_FROM else None
 
 
-def band_of(size: int) -> int:
-    """Bands hold the sizes from BAND ** b on."""
-    b = 0
-    while BAND ** (b + 1) <= size:
-        b += 1
-    return b
+def _filled(grams: np.ndarray, band: int, most: int) -> np.ndarray:
+    """Keys of the set's filled cells in a band, whose lowest bit is the band's; with the band's common key if there are no more than most."""
+    count = max(LEAST_CELLS, int(CELLS_EACH * ((2 << band) - 1)) + 1)
+    cell = ((grams >> _U(33)) * _U(count)) >> _U(31)
+    order = np.argsort(cell, kind="stable")
+    cell, ordered = cell[order], grams[order]
+    start = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+    # A filled cell may XOR to nothing: it then equals an empty one, so its number alone makes the key.
+    keys = tokens.mix(np.bitwise_xor.reduceat(ordered, start) ^ tokens.mix(cell[start] * _U(64) + _U(band)))
+    if len(start) <= most:
+        keys = np.concatenate((keys, tokens.mix(np.array([band], _U) ^ _U(0x2545F4914F6CDD1D))))
+    return (keys << _U(1)) | _U(band & 1)
 
 
-def cells_of(grams: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Keys of the cells that a set emits, for its band and for the next if a linked set may lie there; whether it may leave
-    out SPARE / 2 of them.
-
-    Of two linked sets, take the one whose emitted cells end first: of its max d + 1 + spare cells at most d differ, so
-    that 1 + spare are common to both. A set without so many filled cells emits them all and the band's common key.
-    """
+def cells_of(grams: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Keys of a set's cells in its band, and in the band below if a linked set may lie there; by lowest bit of the key (the two
+    bands differ in it) how many cells the set keeps, less all that it has."""
     size = len(grams)
     if not size:
-        return np.zeros(0, np.int64), False
-    own, out = band_of(size), []
-    spare = SPARE if size > WIDE_FROM else 0
-    enough = 3 * size > 4 * WIDE_FROM + 3
-    for band in (own, own + 1):
-        # The largest set that this one may be linked with has 4/3 of its shingles.
-        if band > own and 4 * size < 3 * BAND**band:
-            break
-        top = BAND ** (band + 1) - 1
-        count = max(64, -(-2 * top // 3))
-        most = (size + min(4 * size // 3, top)) // 7 + spare
-        cell = ((grams >> _U(33)) * _U(count)) >> _U(31)
-        order = np.argsort(cell, kind="stable")
-        cell, sorted_grams = cell[order], grams[order]
-        start = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))[: most + 2]
-        if len(start) > most + 1:
-            end = int(start[-1])
-            start = start[:-1]
-        else:
-            end = size
-        # A filled cell may XOR to nothing: it then equals an empty one, so its number alone makes the key.
-        value = np.bitwise_xor.reduceat(sorted_grams[:end], start)
-        keys = tokens.mix(value ^ tokens.mix(cell[start] * _U(64) + _U(band)))
-        if len(start) <= most:
-            enough = False
-            keys = np.concatenate((keys, tokens.mix(np.array([band], _U) ^ _U(0x2545F4914F6CDD1D))))
-        out.append(keys)
-    return np.unique(np.concatenate(out)).view(np.int64), enough
+        return np.zeros(0, np.int64), [0, 0]
+    band = size.bit_length() - 1
+    least, allow = 1 << band, [0, 0]
+    # The largest set that this one may be linked with has 4/3 of its shingles, and comes down to this band if it is of the next.
+    most = (size + 4 * size // 3) // 7
+    keys = _filled(grams, band, most)
+    allow[band & 1] = most + 1 - len(keys)
+    if 3 * size <= 4 * (least - 1):
+        most = (size + least - 1) // 7
+        below = _filled(grams, band - 1, most)
+        allow[1 - (band & 1)] = most + 1 - len(below)
+        keys = np.concatenate((keys, below))
+    return keys.view(np.int64), allow
 
 
 def _features(n: int):
+    """A function for mapInArrow over doc_id, text, tag."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
+        longs = pa.list_(pa.int64())
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), longs, longs, longs]
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [], [], [])
             for grams in sets_of(batch.column(1), n):
                 key = key_of(grams)
+                made = (len(grams), *key, None, None, None, None)
                 # Cells of a set that this task has emitted, of late, would only repeat.
-                new = len(grams) > 0 and key not in seen
-                if new:
+                if len(grams) and key not in seen:
                     if len(seen) >= 200_000:
                         seen.clear()
                     seen.add(key)
-                cells, may_skip = cells_of(grams) if new else (None, False)
-                made = (len(grams), key[0], key[1], may_skip, sketch_of(grams) if new else None, wide_sketch_of(grams) if new else None, cells)
+                    cells, allow = cells_of(grams)
+                    made = (*made[:3], allow, sketch_of(grams), wide_sketch_of(grams), cells)
                 for own, x in zip(rows, made, strict=True):
                     own.append(x)
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.int64()) for x in rows[:3]), pa.array(rows[3], pa.bool_()), *(pa.array(x, longs) for x in rows[4:])],
-                names=["doc_id", "n_shingles", "k1", "k2", "may_skip", "sketch", "wide", "cells"],
-            )
+            columns = [pa.array(x, kind) for x, kind in zip(rows, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns[:3], batch.column(2), *columns[3:]], names=[f.split()[0] for f in FEATURES.split(", ")])
 
     return run
 
@@ -165,18 +154,15 @@ def _links(n: int):
     """Pairs (a, b, a_text, b_text) whose sets have a similarity of 3/4 or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, str | None, np.ndarray] | None = None
+        last: tuple[int, np.ndarray] | None = None
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            a = batch.column(0).to_pylist()
             keep = []
             for i, other in enumerate(sets_of(batch.column(3), n)):
-                own = batch.column(2)[i].as_py()
-                if last is None or last[0] != a[i] or last[1] != own:  # rows come sorted by a
-                    last = a[i], own, next(sets_of(batch.column(2).slice(i, 1), n))
-                both = len(np.intersect1d(last[2], other, assume_unique=True))
-                # Where an id repeats, a text of another class may have come along.
-                right = key_of(last[2])[0] == a[i] and key_of(other)[0] == b[i]
-                keep.append(right and 100 * both >= 75 * (len(last[2]) + len(other) - both))
+                if last is None or last[0] != a[i]:  # rows come sorted by a
+                    last = a[i], next(sets_of(batch.column(2).slice(i, 1), n))
+                both = len(np.intersect1d(last[1], other, assume_unique=True))
+                keep.append(100 * both >= 75 * (len(last[1]) + len(other) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -218,57 +204,77 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, path: str) -> DataFram
     return common.stored(both.mapInArrow(_links(n), "a long, b long").distinct(), path)
 
 
+def _met_cells(raw: DataFrame, folder: str) -> DataFrame:
+    """cell, k1 and m (emitted so often) of all cells that are emitted more than once."""
+    cells = raw.where("cells is not null").select("k1", F.explode("cells").alias("cell"))
+    halves = []
+    for half in range(2):
+        part = cells.where(F.col("cell").bitwiseAND(F.lit(2)) == 2 * half)
+        often = common.stored(part.groupBy("cell").agg(F.count("*").alias("m")).where("m > 1"), f"{folder}/often{half}")
+        halves.append(common.stored(part.join(often.hint("shuffle_hash"), "cell").select("cell", "k1", "m"), f"{folder}/met{half}"))
+    return halves[0].union(halves[1])
+
+
+def _rarest(met: DataFrame, raw: DataFrame) -> DataFrame:
+    """cell and k1: of each class the rarest cells that it keeps, less those that nobody else has."""
+    allow = raw.where("cells is not null").select("k1", F.col("allow")[0].alias("_a0"), F.col("allow")[1].alias("_a1")).dropDuplicates(["k1"])
+    bit = F.col("cell").bitwiseAND(F.lit(1))
+    own = met.repartition("k1").distinct().join(allow, "k1").withColumn("_bit", bit)
+    in_band = Window.partitionBy("k1", "_bit")
+    ranked = own.withColumn("_place", F.row_number().over(in_band.orderBy("m", "cell"))).withColumn("_met", F.count("*").over(in_band))
+    return ranked.where(F.col("_place") <= F.col("_met") + F.when(F.col("_bit") == 0, F.col("_a0")).otherwise(F.col("_a1"))).select("cell", "k1")
+
+
 def linked_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """Features of each document (doc_id, n_shingles, k1, k2) and the component of each class that has links (k1, component)."""
     spark = docs.sparkSession
     folder = common.work_folder(spark, "jaccard")
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text, F.col(doc_id).cast("long")).alias("tag"))
     raw = common.stored(base.mapInArrow(_features(n), FEATURES), f"{folder}/raw")
-    cells = raw.where("cells is not null").select("k1", "may_skip", F.explode("cells").alias("cell"))
-    in_cell = "OVER (PARTITION BY cell)"
-    spread = cells.select("*", F.expr(f"min(k1) {in_cell}").alias("low"), F.expr(f"max(k1) {in_cell}").alias("high"), F.expr(f"count(*) {in_cell}").alias("m"))
-    met = common.stored(spread.where("low < high").select("cell", "k1", "may_skip", "m").distinct(), f"{folder}/met")
+    kept = common.stored(_rarest(_met_cells(raw, folder), raw), f"{folder}/kept")
     # The cells were the bulk of the features and have done their work.
-    features = common.stored(raw.withColumn("is_first", F.col("cells").isNotNull()).drop("cells", "may_skip"), f"{folder}/features")
-    common.delete(spark, f"{folder}/raw")
-    place = F.row_number().over(Window.partitionBy("k1").orderBy(F.desc("m"), "cell"))
-    kept = met.withColumn("_place", place).where(~F.col("may_skip") | (F.col("m") < COMMON) | (F.col("_place") > SPARE // 2)).select("cell", "k1")
-    hub = lambda r: F.expr(f"min(struct(xxhash64({r}, k1) as h, k1)) {in_cell}")["k1"].alias(f"hub{r}")
-    shared = kept.select("cell", "k1", *map(hub, range(ORDERS)), F.expr(f"count(*) {in_cell}").alias("m")).where("m > 1")
-    live = common.stored(shared.drop("m"), f"{folder}/live")
+    features = common.stored(raw.withColumn("is_first", F.col("cells").isNotNull()).drop("cells", "allow"), f"{folder}/features")
+    for name in ("raw", "often0", "often1", "met0", "met1"):
+        common.delete(spark, f"{folder}/{name}")
+    ordered = lambda i, k1="k1": F.col(k1).bitwiseXOR(F.lit(ORDERS[i]).cast("long"))
+    buckets = kept.groupBy("cell").agg(F.count("*").alias("_m"), *(F.min(ordered(i)).alias(f"h{i}") for i in range(len(ORDERS)))).where("_m > 1")
+    buckets = common.stored(buckets.select("cell", *(ordered(i, f"h{i}").alias(f"hub{i}") for i in range(len(ORDERS)))), f"{folder}/buckets")
+    live = common.stored(kept.join(buckets, "cell"), f"{folder}/live")
     # Classes that share a cell with another, with their sketch and the text of one document.
-    sketches = features.where("is_first and doc_id is not null").select("k1", "doc_id", F.col("n_shingles").alias("n"), "wide", *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)))
+    sketches = features.where("is_first").select("k1", "tag", F.col("n_shingles").alias("n"), "wide", *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)))
     classes = common.stored(sketches.join(live.select("k1").distinct(), "k1", "left_semi").dropDuplicates(["k1"]), f"{folder}/classes")
-    texts = common.stored(base.join(classes.select("doc_id", "k1"), "doc_id").select("k1", "text"), f"{folder}/texts")
+    texts = common.stored(base.select("tag", "text").join(classes.select("tag", "k1"), "tag").select("k1", "text").dropDuplicates(["k1"]), f"{folder}/texts")
     # By each order the hub of a class is that first member of its buckets with which it shares most of them.
-    met_hubs = live.select(F.col("k1").alias("b"), F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.col(f"hub{r}").alias("a")) for r in range(ORDERS)))).alias("x")).select("x.a", "b", "x.r").where("a <> b")
-    counted = met_hubs.groupBy("a", "b", "r").agg(F.count("*").alias("m"))
-    hubs = _sketched(counted, classes).groupBy("b", "r").agg(F.max(F.struct("m", "a")).alias("hub")).select(F.least("hub.a", "b").alias("a"), F.greatest("hub.a", "b").alias("b"))
-    stars = common.stored(hubs.distinct(), f"{folder}/stars")
-    links = _verified(stars, texts, n, f"{folder}/links")
-    first = common.stored(connected_components(links, f"{folder}/cc1"), f"{folder}/first")
+    hubs = F.explode(F.array(*(F.struct(F.lit(i).alias("r"), F.col(f"hub{i}").alias("a")) for i in range(len(ORDERS))))).alias("x")
+    counted = live.select(F.col("k1").alias("b"), hubs).select("x.a", "b", "x.r").where("a <> b").groupBy("a", "b", "r").agg(F.count("*").alias("m"))
+    best = _sketched(counted, classes).groupBy("b", "r").agg(F.max(F.struct("m", "a")).alias("hub")).select(F.least("hub.a", "b").alias("a"), F.greatest("hub.a", "b").alias("b"))
+    stars = common.stored(best.distinct(), f"{folder}/stars")
+    first = common.stored(connected_components(_verified(stars, texts, n, f"{folder}/links"), f"{folder}/cc1"), f"{folder}/first")
     # Buckets that still hold several components: one row for each class in them.
-    named = live.join(first.select(F.col("id").alias("k1"), "component"), "k1", "left").select("cell", "k1", F.coalesce("component", "k1").alias("c"))
-    in_cell = "OVER (PARTITION BY cell)"
-    open_cells = named.select("*", F.expr(f"min(c) {in_cell}").alias("_low"), F.expr(f"max(c) {in_cell}").alias("_high")).where("_low < _high").select("cell", "k1", "c")
-    rest = common.stored(open_cells.join(classes.drop("doc_id", "wide"), "k1"), f"{folder}/open")
+    named = common.stored(live.join(first.select(F.col("id").alias("k1"), "component"), "k1", "left").select("cell", "k1", F.coalesce("component", "k1").alias("c")), f"{folder}/named")
+    several = common.stored(named.groupBy("cell").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low < _high").select("cell"), f"{folder}/several")
+    rest = common.stored(named.join(several, "cell").join(classes.drop("tag", "wide"), "k1"), f"{folder}/open")
     side = lambda p: rest.select("cell", *(F.col(x).alias(f"{p}{x}") for x in rest.columns if x != "cell"))
     across = side("a_").join(side("b_"), "cell").where((F.col("a_c") != F.col("b_c")) & (F.col("a_k1") < F.col("b_k1")) & _may_link("a_", "b_"))
-    across = across.select(F.col("a_k1").alias("a"), F.col("b_k1").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    across = _sketched(common.stored(across, f"{folder}/across"), classes, narrow=False)
-    more = _verified(across, texts, n, f"{folder}/more")
-    components = common.stored(connected_components(links.union(more), f"{folder}/cc2"), f"{folder}/components")
+    across = common.stored(across.select(F.col("a_k1").alias("a"), F.col("b_k1").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), f"{folder}/across")
+    more = _verified(_sketched(across, classes, narrow=False), texts, n, f"{folder}/more")
+    if more.isEmpty():
+        return features.select("doc_id", "n_shingles", "k1", "k2"), first.select(F.col("id").alias("k1"), "component")
+    both = first.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)
+    components = common.stored(connected_components(both, f"{folder}/cc2"), f"{folder}/components")
     return features.select("doc_id", "n_shingles", "k1", "k2"), components.select(F.col("id").alias("k1"), "component")
 
 
 def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs."""
     features, linked = linked_classes(docs, text, doc_id, n)
-    named = features.join(linked, "k1", "left")
-    group = F.when(F.col("n_shingles") > 0, F.coalesce("component", "k1"))
-    named = named.select("doc_id", "n_shingles", group.alias("g"))
-    smallest = named.where("g is not null").groupBy("g").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_m")).where("_m > 1").select("g", "_least")
-    return named.join(smallest, "g", "left").select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
+    # The least id goes from rows to classes (both hashes tell sets apart) to components and back, so that rows of a group never meet.
+    classes = features.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_m")).join(linked, "k1", "left")
+    folder = common.work_folder(docs.sparkSession, "components")
+    classes = common.stored(classes.where("_m > 1 or component is not null"), f"{folder}/classes")
+    smallest = common.stored(classes.where("component is not null").groupBy("component").agg(F.min("_least").alias("_first")), f"{folder}/smallest")
+    named = common.stored(classes.join(smallest, "component", "left").select("k1", "k2", F.coalesce("_first", "_least").alias("_id")), f"{folder}/named")
+    return features.join(named, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -276,14 +282,16 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows without id or without words all stay.
     """
-    gone = components(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = common.stored(components(docs).where("doc_id <> component_id").select("doc_id").distinct(), common.work_folder(docs.sparkSession, "copies"))
     twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
         return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     single = docs.join(gone.union(twice), "doc_id", "left_anti")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*common.row_key(*docs.columns)))
-    repeated = docs.join(twice, "doc_id", "left_semi").join(gone, "doc_id", "left_anti").withColumn("_place", place).where("_place = 1")
-    return single.select(*docs.columns).union(repeated.select(*docs.columns))
+    columns = [f"`{c}`" for c in docs.columns]
+    keys = common.row_key(*(f"`{c}`" for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))))
+    # Summed on the map side, however often an id repeats.
+    repeated = docs.join(twice, "doc_id", "left_semi").join(gone, "doc_id", "left_anti").groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.struct(*keys)).alias("_row")).select("_row.*")
+    return single.select(*columns).union(repeated.select(*columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

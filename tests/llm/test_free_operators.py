@@ -224,6 +224,21 @@ def test_components_with_long_texts_repeats_and_clashing_columns(spark):
     assert jaccard_join.components(docs.where("false")).count() == 0
 
 
+def shared_rarest(a, b, rare):
+    """Whether two sets keep a common cell where counts order cells in any way."""
+    sides = [jaccard_join.cells_of(x) for x in (a, b)]
+    every = np.unique(np.concatenate([cells for cells, _ in sides]))
+    count = dict(zip(every.tolist(), rare(len(every)).tolist(), strict=True))
+    kept = []
+    for cells, allow in sides:
+        own = set()
+        for bit in (0, 1):
+            mine = sorted((c for c in cells.tolist() if c & 1 == bit), key=lambda c: (count[c], c))
+            own |= set(mine[: max(0, len(mine) + allow[bit])] if mine else ())
+        kept.append(own)
+    return bool(kept[0] & kept[1])
+
+
 def test_linked_sets_share_a_cell_and_pass_the_sketch():
     rng = np.random.default_rng(5)
     for size in [3, 4, 5, 7, 11, 15, 16, 17, 40, 63, 64, 200, 255, 256, 900, 1023, 1024, 1500, 4095, 5000]:
@@ -235,9 +250,8 @@ def test_linked_sets_share_a_cell_and_pass_the_sketch():
             both = len(np.intersect1d(a, b))
             if 100 * both < 75 * (len(a) + len(b) - both):
                 continue
-            cells = [jaccard_join.cells_of(x) for x in (a, b)]
-            left_out = sum(may for _, may in cells) * jaccard_join.SPARE // 2
-            assert len(np.intersect1d(cells[0][0], cells[1][0])) > left_out
+            for rare in (np.arange, rng.permutation):
+                assert shared_rarest(a, b, rare)
             distance = int(np.bitwise_count((jaccard_join.sketch_of(a) ^ jaccard_join.sketch_of(b)).view(np.uint64)).sum())
             assert distance <= len(a) + len(b) - 2 * both <= (len(a) + len(b)) / 7
             wide = [jaccard_join.wide_sketch_of(x) for x in (a, b)]
@@ -271,3 +285,36 @@ def test_items_without_an_id_are_found(spark, block_words):
     none, seven = decontaminate.items_digest([]), decontaminate.items_digest(["7"])
     assert got == {1: (12, 1, none, True), 2: (36, 2, seven, True), 3: (12, 1, seven, True), 4: (0, 0, none, False)}
     assert [r.doc_id for r in decontaminate.clean_documents(docs, items, block_words=block_words).collect()] == [4]
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (1, 0, 2), (2, 1, 0)])
+def test_rows_without_an_id_link_others(spark, order):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, text), (1, text), (2, text + " more")]
+    bridge = [(None, text), (4, "x y z " + text), (5, text + " a b c")]
+    for some in ([rows[i] for i in order], [bridge[i] for i in order]):
+        got = sorted(map(tuple, jaccard_join.components(spark.createDataFrame(some, DOCS)).collect()), key=repr)
+        assert got == sorted(python_components_with_nulls(some), key=repr)
+
+
+def python_components_with_nulls(rows):
+    numbered = python_components([(i, t) for i, (_, t) in enumerate(rows)])
+    groups = {}
+    for i, _, c in numbered:
+        if rows[i][0] is not None:
+            groups[c] = min(groups.get(c, rows[i][0]), rows[i][0])
+    return [(rows[i][0], n, groups.get(c)) for i, n, c in numbered]
+
+
+def test_documents_that_share_a_passage_make_no_pairs(spark):
+    import time
+
+    passage = " ".join(f"c{i}" for i in range(40))
+    took = []
+    for n in (2_000, 20_000):
+        rows = [(i, passage + " " + " ".join(f"w{i}x{k}" for k in range(40))) for i in range(n)] + [(n, passage + " " + " ".join(f"w7x{k}" for k in range(38)))]
+        began = time.time()
+        got = {r.doc_id: r.component_id for r in jaccard_join.components(spark.createDataFrame(rows, DOCS)).collect()}
+        took.append(time.time() - began)
+        assert got[n] == 7 and sum(d == c for d, c in got.items()) == n
+    assert took[1] < 4 * took[0] + 10
