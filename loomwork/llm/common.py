@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 #: The same six characters for translate().
 SPACE_CHARS = " \t\n\x0b\x0c\r"
+#: Spark's setting by which shuffle files go when the query that made them ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,9 +34,14 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, path: str) -> DataFrame:
     """Writes df below the shared folder and reads it back: this cuts the lineage and survives lost executors."""
-    schema = df.schema
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    spark, schema = df.sparkSession, df.schema
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(schema).parquet(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
