@@ -68,6 +68,11 @@ def row_key(*cols: str | Column) -> list[Column]:
     return [F.xxhash64(F.lit(1), *cols).alias("_k1"), F.xxhash64(F.lit(2), *cols).alias("_k2")]
 
 
+def least_hash(share: float) -> int:
+    """The bound below which a share of all 64-bit hashes lies; however small the share, some do."""
+    return max(-(1 << 63) + 1, int(min(1.0, share) * (1 << 64)) - (1 << 63)) if share < 1 else (1 << 63) - 1
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -4,13 +4,15 @@ Words are runs of ASCII letters, digits and non-ASCII characters, A to Z in lowe
 runs of ``n`` words; an item of fewer words, but not none, is one window. Each task hashes its words and windows with
 numpy from the text's bytes, looks them up in the broadcast set and compares the words of every hit with the item's.
 
-Benchmarks are broadcast in blocks of at most ``block_words`` words (about 60 bytes of memory each): a larger benchmark is
-scanned for in several passes, with the found spans kept on the rows between them.
+Benchmarks are broadcast in blocks of at most ``block_words`` words, as arrays (about 60 bytes of memory a word: hash, place,
+bytes and look-up table): a larger benchmark is scanned for in several passes, with the found spans kept on the rows between
+them.
 
 Defined results: null or wordless texts have no words and no hits; wordless items have no windows; items that share a
-window are all named; repeated item ids count once, and so do all items without an id together, which items_sha256 leaves out; rows of documents are judged one by one, so repeated rows repeat; an
-empty benchmark leaves all clean, an empty table gives no rows. Columns of the input named like an added column are
-replaced.
+window are all named; repeated item ids count once, and so do all items without an id together, which items_sha256 leaves
+out; rows of documents are judged one by one, so repeated rows repeat; very long texts are scanned whole; an empty benchmark
+leaves all clean, an empty table gives no rows. Other columns are kept, whatever their names; only find_hits() replaces those
+named like what it adds.
 """
 
 from __future__ import annotations
@@ -32,45 +34,52 @@ BLOCK_WORDS = 1_000_000
 
 
 class NgramSet:
-    """The windows of some items by hash, with their words for verification."""
+    """The windows of some items by hash, with their words for verification, all in arrays."""
 
     def __init__(self, items: list[tuple[str | None, str]], n: int):
-        self.n, self.windows, words = n, {}, []
-        by_length: dict[int, list[np.ndarray]] = {}
-        for item, text in items:
-            raw = (text or "").encode()
-            w = tokens.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), tokens.alnum_table())
-            if not len(w.start):
-                continue
-            length = min(n, len(w.start))
-            hashes = w.grams(length)
-            by_length.setdefault(length, []).append(hashes)
-            words = w.text(0, len(w.start))
-            for i, h in enumerate(hashes.tolist()):
-                self.windows.setdefault((length, h), {}).setdefault(tuple(words[i : i + length]), set()).add(item)
-        self.hashes = {k: np.unique(np.concatenate(v)) for k, v in by_length.items()}
-        self.filters = {k: self._filter(v) for k, v in self.hashes.items()}
+        self.n, self.items = n, [item for item, _ in items]
+        raw = [(text or "").encode() for _, text in items]
+        self.data = np.frombuffer(b"".join(raw), np.uint8)
+        w = tokens.Words(self.data, np.cumsum([0, *map(len, raw)]), tokens.alnum_table())
+        kind = np.int32 if len(self.data) < 1 << 31 else np.int64
+        self.start, self.end, self.row = w.start.astype(kind), w.end.astype(kind), w.row.astype(np.int32)
+        bounds = w.bounds()
+        count = np.diff(bounds)
+        #: By number of words in a window: its hashes in order, the first word of each, and a look-up table.
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for length in sorted({int(min(n, c)) for c in count if c}):
+            # Items of fewer than n words have one window, others one at each word but the last.
+            many = (count >= n) if length == n else count == length
+            at = np.flatnonzero(np.repeat(many, count))
+            at = at[at + length <= bounds[self.row[at] + 1]]
+            hashes = w.grams(length)[at]
+            order = np.argsort(hashes, kind="stable")
+            self.windows[length] = hashes[order], at[order].astype(kind), self._seen(hashes)
 
     @staticmethod
-    def _filter(hashes: np.ndarray) -> tuple[int, np.ndarray]:
-        bits = max(16, int(len(hashes) * 32).bit_length())
+    def _seen(hashes: np.ndarray) -> np.ndarray:
+        """Whether any hash begins with these bits; 8 to 16 cells a hash."""
+        bits = max(16, int(len(hashes) * 8).bit_length())
         seen = np.zeros(1 << bits, bool)
         seen[hashes >> np.uint64(64 - bits)] = True
-        return bits, seen
+        return seen
+
+    def words(self, i: int, j: int) -> list[bytes]:
+        return [self.data[self.start[k] : self.end[k]].tobytes().lower() for k in range(i, j)]
 
     def find(self, w: tokens.Words) -> Iterator[tuple[int, int, int, set[str]]]:
         """Row, first word, end word and items of each verified window; words count within the row."""
         bounds = w.bounds()
-        for length, known in self.hashes.items():
+        for length, (known, places, seen) in self.windows.items():
             hashes = w.grams(length)
             if not len(hashes):
                 continue
-            bits, seen = self.filters[length]
-            at = np.flatnonzero(seen[hashes >> np.uint64(64 - bits)])
+            at = np.flatnonzero(seen[hashes >> np.uint64(65 - len(seen).bit_length())])
             at = at[w.row[at] == w.row[at + length - 1]]
-            at = at[known[np.minimum(np.searchsorted(known, hashes[at]), len(known) - 1)] == hashes[at]]
-            for i in at.tolist():
-                items = self.windows[length, int(hashes[i])].get(tuple(w.text(i, i + length)))
+            low, high = np.searchsorted(known, hashes[at], "left"), np.searchsorted(known, hashes[at], "right")
+            for i, a, b in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
+                words = w.text(i, i + length)
+                items = {self.items[self.row[p]] for p in places[a:b].tolist() if self.words(p, p + length) == words}
                 if items:
                     row = int(w.row[i])
                     yield row, i - int(bounds[row]), i - int(bounds[row]) + length, items
@@ -133,7 +142,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id
         earlier = None if b == 0 else (len(base.columns) + 1, len(base.columns) + 2)
         out = out.mapInArrow(_scan(base.columns.index(text), earlier, block, arrow), schema)
         if b < blocks - 1:
-            out = out.checkpoint()
+            out = common.stored(out, f"{common.work_folder(spark, 'decontamination')}/{b}")
     return out
 
 
@@ -149,7 +158,8 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_words: int
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs that no window hits, with their columns."""
-    return find_hits(docs, benchmark, n=n, block_words=block_words).where(F.size("_spans") == 0).select(*docs.columns)
+    base, back = common.inner_names(docs, "text")
+    return find_hits(base, benchmark, n=n, block_words=block_words).where(F.size("_spans") == 0).select(*back)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -170,9 +180,10 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_words
         return pa.array(out, pa.string())
 
     cutter = F.arrow_udf(cut, T.StringType())
-    found = find_hits(docs, benchmark, n=n, block_words=block_words)
+    base, back = common.inner_names(docs, "text")
+    found = find_hits(base, benchmark, n=n, block_words=block_words)
     kept = F.when(F.size("_spans") > 0, cutter(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
-    return found.withColumn("text", kept).select(*docs.columns)
+    return found.withColumn("text", kept).select(*back)
 
 
 def items_digest(items: list[str]) -> str:

@@ -9,11 +9,13 @@ the text's n-grams.
 
 N-grams are runs of three characters, lower-cased, with every non-letter as a space, that have a letter in the middle. The
 filter's size follows from the number of kept n-grams, which ``min_share`` bounds by 1/min_share a language, so it may be
-broadcast. Learning reads at most about ``train_rows`` labelled rows of each language, chosen by hash.
+broadcast. Learning reads at most about ``train_rows`` labelled rows of each language, chosen by hash (however many rows there
+are, the share that is read never becomes nothing).
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; a text without any known n-gram gets the
 language with most labelled rows and score 0; if nothing is learned all are ``und``; repeated rows are judged one by one;
-an empty table gives no rows.
+very long texts are worked through whole, in slices; an empty table gives no rows; input columns named ``lang_pred`` or
+``score`` are replaced, others are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -50,32 +52,38 @@ def letter_table() -> np.ndarray:
     return _letters[0]
 
 
+#: Characters of one text that are worked on at a time.
+SLICE = 1 << 20
+
+
+def _grams(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of code points, the first and last of which are no middles: hashes, places of the middles, and which are letters."""
+    letter = letter_table()[points]
+    p = np.where(letter, points, 32).astype(_U)
+    middle = np.flatnonzero(letter[1:-1]) + 1
+    return tokens.mix((p[middle - 1] << _U(42)) | (p[middle] << _U(21)) | p[middle + 1]), middle, letter
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def text_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all texts' n-grams, the row of each, and whether each row has a letter."""
     lowered = [t.lower() for t in texts]
     # Texts are parted by two spaces, so that no n-gram with a letter in its middle crosses them.
-    points = np.frombuffer("".join(f" {t} " for t in lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.array([len(t) + 2 for t in lowered], np.int64)
-    letter = letter_table()[points]
-    p = np.where(letter, points, 32).astype(_U)
-    row = np.repeat(np.arange(len(texts)), lengths)
+    h, middle, letter = _grams(_points("".join(f" {t} " for t in lowered)))
+    row = np.repeat(np.arange(len(texts)), np.array([len(t) + 2 for t in lowered], np.int64))
     has = np.zeros(len(texts), bool)
     has[row[letter]] = True
-    middle = np.flatnonzero(letter[1:-1]) + 1
-    h = tokens.mix((p[middle - 1] << _U(42)) | (p[middle] << _U(21)) | p[middle + 1])
     return h, row[middle], has
 
 
-def _pieces(text: str, size: int = 1 << 21) -> Iterator[str]:
-    """text in pieces of about size characters, cut at spaces, where no n-gram with a letter in its middle is lost."""
-    at = 0
-    while len(text) - at > size:
-        cut = text.find(" ", at + size)
-        if cut < 0:
-            break
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
+def slices(text: str, size: int | None = None) -> Iterator[np.ndarray]:
+    """Hashes of a text's n-grams, in pieces of at most size n-grams; the pieces together are those of text_grams()."""
+    low, size = f" {text.lower()} ", size or SLICE
+    for at in range(1, len(low) - 1, size):
+        yield _grams(_points(low[at - 1 : min(at + size, len(low) - 1) + 1]))[0]
 
 
 def _chunks(column: pa.Array) -> Iterator[list[str]]:
@@ -123,12 +131,11 @@ class LanguageFilter:
             out &= self.cells[:, at]
         return out
 
-    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hits by language, n-grams, and whether there is a letter, for each text."""
-        grams, row, has = text_grams(texts)
-        masks, n, one = self.masks(grams), len(texts), self.cells.dtype.type(1)
+    def counts(self, grams: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hits by language and n-grams of each of n texts."""
+        masks, one = self.masks(grams), self.cells.dtype.type(1)
         got = [np.bincount(row, weights=(masks[i // WORD_BITS] >> self.cells.dtype.type(i % WORD_BITS)) & one, minlength=n) for i in range(len(self.languages))]
-        return np.stack(got), np.bincount(row, minlength=n), has
+        return np.stack(got), np.bincount(row, minlength=n)
 
     def decide(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text."""
@@ -136,11 +143,14 @@ class LanguageFilter:
         if not self.languages:
             return [UNKNOWN] * n, np.zeros(n)
         if n == 1:  # a text that may be very long
-            parts = [self.counts([p]) for p in _pieces(texts[0])]
-            found, total, has = (np.sum([p[k] for p in parts], axis=0) for k in range(3))
-            has = has > 0
+            found, total = np.zeros((len(self.languages), 1)), np.zeros(1, np.int64)
+            for grams in slices(texts[0]):
+                more = self.counts(grams, np.zeros(len(grams), np.int64), 1)
+                found, total = found + more[0], total + more[1]
+            has = total > 0
         else:
-            found, total, has = self.counts(texts)
+            grams, row, has = text_grams(texts)
+            found, total = self.counts(grams, row, n)
         hits = np.empty((len(self.languages), n))
         for i, rate in enumerate(self.false_positive):
             hits[i] = np.maximum(0, found[i] - rate * total) / (1 - rate) if rate < 1 else 0
@@ -170,11 +180,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang in set(langs):
             own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
             for part in _chunks(pa.array(own, pa.string())):
-                h, c = np.unique(text_grams(part)[0], return_counts=True)
-                if lang in total:
-                    both, where = np.unique(np.concatenate((total[lang][0], h)), return_inverse=True)
-                    h, c = both, np.bincount(where, weights=np.concatenate((total[lang][1], c))).astype(np.int64)
-                total[lang] = h, c
+                for grams in slices(part[0]) if len(part) == 1 else [text_grams(part)[0]]:
+                    h, c = np.unique(grams, return_counts=True)
+                    if lang in total:
+                        both, where = np.unique(np.concatenate((total[lang][0], h)), return_inverse=True)
+                        h, c = both, np.bincount(where, weights=np.concatenate((total[lang][1], c))).astype(np.int64)
+                    total[lang] = h, c
     for lang, (h, c) in total.items():
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["lang", "gram", "n"])
 
@@ -186,20 +197,14 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", train_row
     if not counts:
         return LanguageFilter.build([], [], 0)
     languages = sorted(counts)
-    million = 1_000_000
-    # Flat, as there may be many languages.
-    keep = F
-    for x in languages:
-        keep = keep.when(F.col("lang") == x, int(min(1, train_rows / counts[x]) * million))
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < keep).where("text is not null").select("text", "lang")
+    bounds = labelled.sparkSession.createDataFrame([(x, common.least_hash(train_rows / n)) for x, n in counts.items()], "lang string, bound long")
+    chosen = rows.join(F.broadcast(bounds), "lang").where("text is not null").where(F.xxhash64("doc_id", "text") <= F.col("bound")).select("text", "lang")
     counted = chosen.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     grams = common.stored(counted, common.work_folder(labelled.sparkSession, "language") + "/grams")
     sums = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     # What is collected is bounded: min_share keeps 1/min_share n-grams a language at most.
-    least = F.when(F.col("lang").isNull(), 0.0)
-    for x, n in sums.items():
-        least = least.when(F.col("lang") == x, max(2.0, n * MIN_SHARE))
-    found = grams.where(F.col("n") >= least).toPandas()
+    least = labelled.sparkSession.createDataFrame([(x, max(2.0, n * MIN_SHARE)) for x, n in sums.items()], "lang string, least double")
+    found = grams.join(F.broadcast(least), "lang").where("n >= least").select("lang", "gram", "n").toPandas()
     found["share"] = found["n"] / found["lang"].map(sums)
     found = found[found["share"] >= MIN_RATIO * found.groupby("gram")["share"].transform("max")]
     lists = [found["gram"][found["lang"] == x].to_numpy(np.int64).view(_U) for x in languages]
@@ -220,8 +225,8 @@ def predict(docs: DataFrame, model: LanguageFilter, text: str = "text") -> DataF
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["lang_pred", "score"])
 
     judge = F.arrow_udf(run, "lang_pred string, score double")
-    base = docs.drop("lang_pred", "score")
-    return base.withColumn("_found", judge(F.col(text))).select(*base.columns, "_found.lang_pred", "_found.score")
+    base, back = common.inner_names(docs.drop("lang_pred", "score"), text)
+    return base.withColumn("_found", judge(F.col(text))).select(*back, "_found.lang_pred", "_found.score")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -4,12 +4,13 @@ r"""Quality rules: ordered threshold conjunctions learned by sequential covering
 threshold of the best information gain until it covers no good row of the growing part, then drops final conditions
 while that improves it on the pruning part, and is kept if it is precise there); ``DecisionList.verdict`` is a
 ``CASE WHEN rule THEN 'drop' ... ELSE 'keep'`` column. Statistics are built-in expressions over the whole text; only the
-learning, on at most ``train_rows`` labelled rows (in expectation, chosen by hash), happens on the driver.
+learning, on at most ``train_rows`` labelled rows (in expectation, chosen by hash), happens on the driver. Which rows grow and
+which prune is decided by hash too, so that the list depends on the rows, not on their order or files.
 
 Words are runs of ``[^\x20\x09-\x0D]``. Defined results: null text has no words, hence ``n_words`` 0 and base_failed;
 repeated or tied rows are judged one by one; without labels of both kinds the list is empty and keeps what passes the base
-rules; an empty table gives no rows; input columns named like a statistic are replaced, and
-``_w``, ``_l``, ``_h`` and ``_s`` are dropped (clean_documents keeps all).
+rules; very long texts are counted whole; an empty table gives no rows; input columns named like a statistic are replaced
+(clean_documents keeps all), others are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -41,13 +42,13 @@ FEATURES = {
 def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_upper (A to Z), all long."""
     made = [*BASE, "n_upper"]
-    keep = [c for c in docs.columns if c not in (*made, "_w", "_l", "_h", "_s")]
-    whole = F.coalesce(F.col(text), F.lit(""))
-    inner = F.btrim(whole, F.lit(common.SPACE_CHARS))
-    words = F.when(F.length(inner) > 0, F.split(inner, f"{common.SPACE}+")).otherwise(F.array().cast("array<string>"))
+    inner, back = common.inner_names(docs.drop(*made))
+    keep, whole = inner.columns, F.coalesce(F.col(inner.columns[docs.drop(*made).columns.index(text)]), F.lit(""))
+    bare = F.btrim(whole, F.lit(common.SPACE_CHARS))
+    words = F.when(F.length(bare) > 0, F.split(bare, f"{common.SPACE}+")).otherwise(F.array().cast("array<string>"))
     count = lambda pattern: (F.size(F.split(whole, pattern)) - 1).cast("long")
     lines = F.filter(F.split(whole, "\n"), lambda x: F.length(F.btrim(x, F.lit(common.SPACE_CHARS))) > 0)
-    one = docs.select(*keep, words.alias("_w"), lines.alias("_l"), count(r"[#*$%&|<>]").alias("n_symbols"), count("[A-Z]").alias("n_upper"))
+    one = inner.select(*keep, words.alias("_w"), lines.alias("_l"), count(r"[#*$%&|<>]").alias("n_symbols"), count("[A-Z]").alias("n_upper"))
     two = one.select(
         *keep, "n_symbols", "n_upper", F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
@@ -73,7 +74,8 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     covered = F.aggregate(at, start, lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
     repeated = F.when(F.col("_s").isNull(), F.lit(0).cast("long")).otherwise(covered)
     # Through the generator no filter on a statistic is pushed down, which would work it out anew for each use.
-    return four.select(*keep, F.inline_outer(F.array(F.struct(*(repeated.alias(c) if c == "n_repeat_words" else F.col(c) for c in made)))))
+    out = four.select(*keep, F.inline_outer(F.array(F.struct(*(repeated.alias(c) if c == "n_repeat_words" else F.col(c) for c in made)))))
+    return out.select(*back, *made)
 
 
 def base_failed() -> Column:
@@ -151,11 +153,11 @@ def _best_condition(x: dict[str, np.ndarray], bad: np.ndarray, rows: np.ndarray)
     return best
 
 
-def grow_rules(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.9, support: int = 5, most: int = 12, seed: int = 7) -> DecisionList:
-    """Sequential covering: grows on two thirds of the rows, prunes on the rest, stops when a rule isn't precise there."""
+def grow_rules(x: dict[str, np.ndarray], bad: np.ndarray, prune_part: np.ndarray | None = None, precision: float = 0.95, support: int = 5, most: int = 12) -> DecisionList:
+    """Sequential covering: grows on the rows that are not in prune_part (by default every third), prunes on the rest, stops when a rule isn't precise there."""
     out = DecisionList()
     left = np.arange(len(bad))
-    prune_part = np.random.default_rng(seed).random(len(bad)) < 1 / 3
+    prune_part = left % 3 == 0 if prune_part is None else prune_part
     while len(out.rules) < most:
         grow, prune = left[~prune_part[left]], left[prune_part[left]]
         if bad[grow].sum() < support:
@@ -192,13 +194,13 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, **ho
     """A list learned from at most about train_rows labelled documents; labels: doc_id and quality (0 is bad)."""
     usable = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     total = usable.count()
-    share = min(1.0, train_rows / max(total, 1))
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = usable.where(F.xxhash64("doc_id") <= F.lit(common.least_hash(train_rows / max(total, 1))))
     # The sample's size is bounded by train_rows, so it may be broadcast.
     sample = text_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
-    rows = sample.where(~base_failed()).select(F.col("quality").alias("_q"), *(F.expr(e).cast("double").alias(f) for f, e in FEATURES.items())).toPandas()
+    prunes = (F.pmod(F.xxhash64(F.lit("prune"), F.col("doc_id")), F.lit(3)) == 0).alias("_prune")
+    rows = sample.where(~base_failed()).select(F.col("quality").alias("_q"), prunes, *(F.expr(e).cast("double").alias(f) for f, e in FEATURES.items())).toPandas()
     x = {f: rows[f].to_numpy(float) for f in FEATURES}
-    return grow_rules(x, (rows["_q"] == 0).to_numpy(bool), **how) if len(rows) else DecisionList()
+    return grow_rules(x, (rows["_q"] == 0).to_numpy(bool), rows["_prune"].to_numpy(bool), **how) if len(rows) else DecisionList()
 
 
 def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:

@@ -1,19 +1,22 @@
 """URL filters: rules by host and path, then gradient-boosted trees on lexical features.
 
-Features of a URL are built-in expressions: its length, host and path length, depth, digit share, character entropy, number
-of parameters, hyphens, and, as suffix statistic, the smoothed share of blocked URLs among labelled ones with that last host
-label. Trees are fitted on labelled URLs (logistic loss, histogram-free exact splits, Newton leaves) on the driver, from at
-most ``TRAIN_ROWS`` rows, and run as nested SQL conditionals, so that judging is one narrow projection.
+Features of a URL are built-in expressions: its length, host and path length, depth, the digit shares of the whole and of its
+host, the character entropies of both, number of parameters, and, as suffix statistic, the smoothed share of blocked URLs
+among labelled ones with that last host label. Trees are fitted on labelled URLs (logistic loss, exact splits, Newton leaves)
+on the driver, from about ``TRAIN_ROWS`` rows at most, chosen by hash, and run as nested SQL conditionals, so that judging is
+one narrow projection.
 
-Without labelled URLs of one's own, ``labelled_urls`` makes a deterministic set of spam-like and ordinary ones from a seed.
+Without labelled URLs of one's own, ``labelled_urls`` makes a deterministic set from a seed: ordinary pages (front pages, dated
+articles, manuals, shops, searches, forums) and link spam (redirect chains, random hosts, doorway pages, numbered hosts), with
+hyphens, digits, parameters, depth and every suffix on both sides, so that no one feature decides.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A to Z in lower case; path: then up to ``?``, ``#`` or the
 end. A rule (host and path, like ``example.net/en/``) fits its host and all subdomains if the path starts with the rule's; the
 longest fitting rule wins, of equally long ones the first in code point order.
 
 Defined results: null and URLs without ``://`` have an empty host and path, no rule, and the method's verdict on what text
-there is; repeated rows are judged one by one; an empty table gives no rows; input columns named like an added column are
-replaced.
+there is; very long URLs are judged whole; repeated rows are judged one by one; a score of exactly ``CUT`` blocks; an empty table
+gives no rows; input columns named like an added column are replaced, others are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -32,14 +35,14 @@ from . import common
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 #: Labelled rows that trees are fitted on at most.
 TRAIN_ROWS = 20_000
-TREES, DEPTH, RATE, LEAST_LEAF = 25, 3, 0.3, 10
+TREES, DEPTH, RATE, LEAST_LEAF = 40, 4, 0.2, 20
 #: A URL is blocked from this probability on.
 CUT = 0.5
 #: Labelled URLs a suffix needs as much as the prior's weight.
 PRIOR = 20
 #: Suffixes that get a statistic of their own; the others share the prior.
 MOST_SUFFIXES = 100
-FEATURES = ["f_length", "f_host", "f_path", "f_depth", "f_digits", "f_entropy", "f_params", "f_hyphens", "f_suffix"]
+FEATURES = ["f_length", "f_host", "f_path", "f_depth", "f_digits", "f_host_digits", "f_entropy", "f_host_entropy", "f_params", "f_suffix"]
 
 
 def host_of(url: str | Column) -> Column:
@@ -69,23 +72,31 @@ def rule_of(rules: dict[str, str], host: str = "host", path: str = "path") -> tu
 def with_features(df: DataFrame, suffixes: dict[str, float], prior: float, url: str = "url") -> DataFrame:
     """df, which has host and path, with FEATURES."""
     text = F.coalesce(F.col(url), F.lit(""))
-    length = F.length(text)
-    count = lambda pattern: F.size(F.split(text, pattern)) - 1
-    # Entropy over the distinct characters; a URL is short, so that this stays in the row.
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    entropy = F.aggregate(
-        F.array_distinct(chars), F.lit(0.0),
-        lambda a, c: a - (length - F.length(F.replace(text, c, F.lit("")))) / length * F.log2((length - F.length(F.replace(text, c, F.lit("")))) / length),
-    )
+
+    def digits(x: Column) -> Column:
+        return F.when(F.length(x) > 0, (F.length(x) - F.length(F.translate(x, "0123456789", ""))) / F.length(x)).otherwise(0.0)
+
+    def entropy(x: Column) -> Column:
+        # Over the sorted characters a run's length is its character's count.
+        chars = F.array_sort(F.filter(F.split(x, ""), lambda c: c != ""))
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit("").alias("last"), F.lit(0).alias("run"))
+        part = lambda n: n * F.log2(n.cast("double"))
+        step = lambda a, c: F.when(a["last"] == c, F.struct(a["sum"].alias("sum"), c.alias("last"), (a["run"] + 1).alias("run"))).otherwise(
+            F.struct((a["sum"] + F.when(a["run"] > 0, part(a["run"])).otherwise(0.0)).alias("sum"), c.alias("last"), F.lit(1).alias("run"))
+        )
+        total = F.aggregate(chars, start, step, lambda a: a["sum"] + F.when(a["run"] > 0, part(a["run"])).otherwise(0.0))
+        return F.when(F.length(x) > 0, F.log2(F.length(x).cast("double")) - total / F.length(x)).otherwise(0.0)
+
     suffix = F.element_at(F.split("host", r"\."), -1)
     stat = F.lit(prior)
     for name, share in sorted(suffixes.items()):
         stat = F.when(suffix == name, share).otherwise(stat)
+    # Parameters stand behind the first question mark, before a fragment.
+    query = F.regexp_extract(text, r"(?s)^[^?#]*\?([^#]*)", 1)
     made = {
-        "f_length": length, "f_host": F.length("host"), "f_path": F.length("path"), "f_depth": F.size(F.split("path", "/")) - 1,
-        "f_digits": F.when(length > 0, count("[0-9]") / length).otherwise(0.0), "f_entropy": entropy,
-        "f_params": F.when(text.contains("?"), F.size(F.split(F.element_at(F.split(text, r"\?"), -1), "&"))).otherwise(0),
-        "f_hyphens": count("-"), "f_suffix": stat,
+        "f_length": F.length(text), "f_host": F.length("host"), "f_path": F.length("path"), "f_depth": F.length("path") - F.length(F.replace(F.col("path"), F.lit("/"), F.lit(""))),
+        "f_digits": digits(text), "f_host_digits": digits(F.col("host")), "f_entropy": entropy(text), "f_host_entropy": entropy(F.col("host")),
+        "f_params": F.size(F.filter(F.split(query, "&"), lambda p: p != "")), "f_suffix": stat,
     }
     keep = [c for c in df.columns if c not in made]
     # Through the generator each feature is worked out once, however many trees test it.
@@ -160,8 +171,7 @@ def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray, depth:
 def fit(labelled: DataFrame, url: str = "url", label: str = "blocked") -> UrlModel:
     """Trees from labelled rows (label 1: block, 0: allow); of more than about TRAIN_ROWS rows those with small hashes."""
     rows = labelled.where(F.col(url).isNotNull() & F.col(label).isNotNull()).select(F.col(url).alias("url"), F.col(label).cast("int").alias("y")).withColumn("host", host_of("url")).withColumn("path", path_of("url"))
-    total = rows.count()
-    rows = rows.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(min(1, TRAIN_ROWS / max(total, 1)) * 1_000_000))
+    rows = rows.where(F.xxhash64("url") <= F.lit(common.least_hash(TRAIN_ROWS / max(rows.count(), 1))))
     suffix = F.element_at(F.split("host", r"\."), -1)
     stats = rows.groupBy(suffix.alias("s")).agg(F.sum("y").alias("bad"), F.count("*").alias("n")).orderBy(F.desc("n"), "s").limit(MOST_SUFFIXES).collect()
     n, bad = sum(r["n"] for r in stats), sum(r["bad"] for r in stats)
@@ -181,37 +191,52 @@ def fit(labelled: DataFrame, url: str = "url", label: str = "blocked") -> UrlMod
     return UrlModel(start, trees, suffixes, prior)
 
 
-def labelled_urls(spark: SparkSession, n: int = 2000, seed: int = 11) -> DataFrame:
-    """n URLs with blocked: even rows are ordinary, odd ones like link spam (long hyphenated hosts, digits, many parameters)."""
+def labelled_urls(spark: SparkSession, n: int = 8000, seed: int = 11) -> DataFrame:
+    """n URLs with blocked: even rows are ordinary, odd ones are link spam."""
     rng = np.random.default_rng(seed)
-    syllables = ["ka", "lo", "mi", "ren", "sta", "tor", "vel", "dan", "shu", "pri", "ne", "quo"]
-    word = lambda least, most: "".join(rng.choice(syllables, rng.integers(least, most + 1)))
-    token = lambda k: hashlib.sha256(rng.bytes(8)).hexdigest()[:k]
-    rows = []
-    for i in range(n):
-        spam = i % 2
-        suffix = str(rng.choice(["com", "org", "net", "info", "top", "xyz"], p=[0.2, 0.1, 0.1, 0.2, 0.2, 0.2] if spam else [0.45, 0.25, 0.15, 0.1, 0.03, 0.02]))
-        if spam:
-            host = "-".join([str(rng.choice(["spam", "cheap", "win", "bonus", "free", "casino"])), *(word(1, 3) for _ in range(rng.integers(1, 4)))]) + (str(rng.integers(10, 99999)) if rng.random() < 0.5 else "")
-            path = "/" + "/".join(token(int(rng.integers(4, 14))) for _ in range(rng.integers(1, 5)))
-            params = "&".join(f"{word(1, 2)}={token(8)}" for _ in range(rng.integers(0, 7)))
-        else:
-            host = ("www." if rng.random() < 0.4 else "blog." if rng.random() < 0.2 else "") + word(2, 4) + (".example" if rng.random() < 0.4 else "")
-            path = "/" + "/".join(word(1, 3) for _ in range(rng.integers(0, 4)))
-            path += "" if rng.random() < 0.4 else f"/{rng.integers(1, 300000)}" + str(rng.choice(["", "/", ".html"]))
-            params = str(rng.choice(["", "", "", "page=2", "page=2&ref=x", "utm_source=feed"]))
-        rows.append((f"http{'s' if rng.random() < 0.6 else ''}://{host}.{suffix}{path}{'?' + params if params else ''}", spam))
-    return spark.createDataFrame(rows, "url string, blocked int")
+    number = lambda least, most: int(rng.integers(least, most + 1))
+    pick = lambda *of: of[number(0, len(of) - 1)]
+    letters = lambda of, k: "".join(of[number(0, len(of) - 1)] for _ in range(k))
+    # Words alternate consonants and vowels, unlike random strings.
+    word = lambda least=1, most=4: "".join(letters("bcdfghjklmnprstvw", 1) + letters("aeiou", 1) + letters("nrst", number(0, 1)) for _ in range(number(least, most)))
+    slug = lambda least, most: "-".join(word(1, 3) for _ in range(number(least, most)))
+    token = lambda least, most: letters("abcdefghijklmnopqrstuvwxyz0123456789" if rng.random() < 0.6 else "abcdef0123456789", number(least, most))
+    values = lambda least, most, value: "&".join(f"{pick(word(1, 2), letters('abcdefgxyz', 1))}={value()}" for _ in range(number(least, most)))
+
+    def ordinary() -> str:
+        host = pick("", "", "www.", "www.", "blog.", "news.", word(1, 2) + ".") + pick(word(2, 4), word(2, 4), slug(2, 2), slug(2, 3), word(1, 2) + str(number(1, 99)))
+        if rng.random() < 0.25:
+            host += ".example"
+        kind = number(0, 7)
+        path = [
+            "", "/", f"/{number(1998, 2026)}/{number(1, 12):02}/{number(1, 28):02}/{slug(3, 8)}", "/" + "/".join(word(1, 3) for _ in range(number(1, 6))) + pick("", "/", ".html"),
+            f"/{word(1, 2)}/{number(1, 3000000)}", f"/{word(1, 2)}/{slug(2, 7)}{pick('', '-' + str(number(1, 99999)), '.html')}", f"/search?q={'+'.join(word(1, 3) for _ in range(number(1, 4)))}" + pick("", f"&page={number(1, 40)}", f"&lang={pick('en', 'de', 'fr')}&sort={word(1, 2)}&page={number(1, 9)}"),
+            f"/{word(1, 2)}?id={number(1, 99999)}{pick('', '&ref=' + word(1, 2), '&utm_source=' + word(1, 2) + '&utm_medium=' + word(1, 2))}",
+        ][kind]
+        suffix = rng.choice(["com", "org", "net", "edu", "de", "fr", "uk", "io", "info", "ru", "xyz", "top"], p=[0.38, 0.2, 0.1, 0.05, 0.07, 0.06, 0.04, 0.04, 0.02, 0.02, 0.01, 0.01])
+        return f"{host}.{suffix}{path}{pick('', '', '', '#' + word(1, 2))}"
+
+    def spam() -> str:
+        kind = number(0, 3)
+        host = [pick(word(2, 4), "www." + word(2, 3), slug(2, 2)), token(8, 24), slug(3, 6) + pick("", str(number(1, 9999))), word(1, 3) + str(number(10, 99999))][kind]
+        path = [
+            f"/{pick(word(1, 1), token(2, 6))}?" + values(4, 12, lambda: token(6, 24)), "/" + "/".join(token(4, 20) for _ in range(number(1, 4))) + pick("", "?" + values(1, 5, lambda: token(4, 16))),
+            "/" + slug(4, 10) + pick("", f"/{slug(3, 6)}.html", f"-{number(100, 9999999)}.html", "?" + values(2, 5, lambda: word(1, 2))), "/" + "/".join(letters("abcxyz", 1) if rng.random() < 0.5 else word(1, 2) for _ in range(number(0, 3))) + pick("", "?" + values(1, 6, lambda: str(number(1, 99999)))),
+        ][kind]
+        suffix = rng.choice(["com", "net", "org", "info", "top", "xyz", "club", "ru", "de", "io"], p=[0.24, 0.08, 0.04, 0.14, 0.17, 0.14, 0.08, 0.06, 0.03, 0.02])
+        return f"{host}.{suffix}{path}"
+
+    return spark.createDataFrame([(f"http{'s' if rng.random() < 0.6 else ''}://{spam() if i % 2 else ordinary()}", i % 2) for i in range(n)], "url string, blocked int")
 
 
 def judge(pages: DataFrame, model: UrlModel, rules: dict[str, str] | None = None, url: str = "url") -> DataFrame:
     """pages with host, path, rule, score (the method's probability of block) and verdict."""
-    base = pages.drop("host", "path", "rule", "score", "verdict", *FEATURES)
-    split = base.withColumn("host", host_of(url)).withColumn("path", path_of(url))
+    inner, back = common.inner_names(pages.drop("host", "path", "rule", "score", "verdict"), url)
+    split = inner.withColumn("host", host_of(url)).withColumn("path", path_of(url))
     scored = with_features(split, model.suffixes, model.prior, url).withColumn("score", model.score())
     rule, verdict = rule_of(RULES if rules is None else rules)
     named = scored.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, F.when(F.col("score") >= CUT, "block").otherwise("allow")))
-    return named.select(*base.columns, "host", "path", "rule", "verdict", "score")
+    return named.select(*back, "host", "path", "rule", "verdict", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -318,3 +318,70 @@ def test_documents_that_share_a_passage_make_no_pairs(spark):
         took.append(time.time() - began)
         assert got[n] == 7 and sum(d == c for d, c in got.items()) == n
     assert took[1] < 4 * took[0] + 10
+
+
+def exact_decision(text, sets, rates, usual):
+    """The decision by plain sets of n-grams: as the filter without false positives, and how far the second is behind."""
+    grams = [g for g in (lambda s: [s[i : i + 3] for i in range(len(s) - 2)])("".join(c if c.isalpha() else " " for c in f" {text.lower()} ")) if g[1] != " "]
+    hits = sorted(((sum(g in s for g in grams) / max(1, len(grams)), x) for x, s in sets.items()), key=lambda t: (-t[0], t[1]))
+    if not grams:
+        return "und", 1.0
+    return (hits[0][1] if hits[0][0] else usual), (hits[0][0] - hits[1][0] if hits[0][0] else 1.0)
+
+
+def test_decisions_match_exact_sets(spark):
+    sf = SF.replace("0.001", "0.01")
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = table.withColumn("held", language_id.held_out()).collect()
+    model = language_id.learn(table.where(~language_id.held_out()))
+    counts = {}
+    for r in rows:
+        if not r.held and r.lang and r.text:
+            s = "".join(c if c.isalpha() else " " for c in f" {r.text.lower()} ")
+            counts.setdefault(r.lang, {})
+            for i in range(len(s) - 2):
+                if s[i + 1] != " ":
+                    counts[r.lang][s[i : i + 3]] = counts[r.lang].get(s[i : i + 3], 0) + 1
+    total = {x: sum(c.values()) for x, c in counts.items()}
+    share = {x: {g: n / total[x] for g, n in c.items() if n >= max(2.0, total[x] * language_id.MIN_SHARE)} for x, c in counts.items()}
+    best = {}
+    for c in share.values():
+        for g, v in c.items():
+            best[g] = max(best.get(g, 0), v)
+    sets = {x: {g for g, v in c.items() if v >= language_id.MIN_RATIO * best[g]} for x, c in share.items()}
+    assert sorted(sets) == model.languages
+    names, _ = model.decide([r.text or "" for r in rows])
+    for r, got in zip(rows, names, strict=True):
+        want, margin = exact_decision(r.text or "", sets, model.false_positive, model.languages[model.usual])
+        assert got == want or margin < 0.02, (r.doc_id, got, want, margin)
+
+
+def test_slices_of_a_text_are_its_grams():
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcÄßжİ漢 \t.1") for _ in range(3000))
+    for size in (1, 2, 7, 100, 5000):
+        assert np.array_equal(np.concatenate(list(language_id.slices(text, size))), language_id.text_grams([text])[0])
+    assert list(language_id.slices("")) == []
+
+
+def test_prediction_keeps_columns_with_odd_names(spark):
+    model = language_id.learn(spark.createDataFrame([(i, "the cat and the dog", "en") for i in range(9)], "doc_id long, text string, lang string"))
+    df = spark.createDataFrame([("漢" * 3_000_000, 1, 2), ("the cat", 3, 4), ("the cat", 3, 4)], "text string, _found int, `a.b` int")
+    out = language_id.predict(df, model)
+    assert out.columns == ["text", "_found", "a.b", "lang_pred", "score"] and sorted(r._found for r in out.collect()) == [1, 3, 3]
+
+
+def test_a_block_of_items_takes_about_60_bytes_a_word():
+    rng = np.random.default_rng(0)
+    items = [(str(i), " ".join(f"w{x}ord" for x in rng.integers(0, 50_000, 500))) for i in range(100)]
+    s = decontaminate.NgramSet(items, 10)
+    held = s.data.nbytes + s.start.nbytes + s.end.nbytes + s.row.nbytes + sum(x.nbytes for w in s.windows.values() for x in w)
+    assert held < 60 * 50_000
+
+
+def test_clean_documents_keep_columns_with_odd_names(spark):
+    items = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x alpha beta y", ["mine"], 5), (2, "z", ["mine"], 6)], "doc_id long, text string, _items array<string>, `a.b` int")
+    clean = decontaminate.clean_documents(docs, items)
+    assert clean.columns == docs.columns and [tuple(r) for r in clean.collect()] == [(2, "z", ["mine"], 6)]
+    assert sorted(r.text for r in decontaminate.remove_spans(docs, items).collect()) == ["x  y", "z"]

@@ -130,25 +130,79 @@ def test_url_rules(spark):
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict or "block")
 
 
-def test_url_model_on_held_out_urls(spark):
-    model = url_filter.fit(url_filter.labelled_urls(spark))
-    rows = url_filter.judge(url_filter.labelled_urls(spark, 600, seed=77), model, {}).collect()
-    assert np.mean([(r.verdict == "block") == (r.blocked == 1) for r in rows]) > 0.97
-    frame = url_filter.with_features(url_filter.labelled_urls(spark, 50, seed=5).withColumn("host", url_filter.host_of("url")).withColumn("path", url_filter.path_of("url")), model.suffixes, model.prior)
-    native = {r.url: r.s for r in frame.select("url", model.score().alias("s")).collect()}
-    local = frame.toPandas()
-    assert np.allclose(model.predict(local[url_filter.FEATURES].to_numpy(float)), local["url"].map(native))
+ENGLISH = "house river stone garden winter market music history science travel kitchen mountain coffee letter window summer bridge story island paper".split()
+
+
+def other_urls(n, seed):
+    """URLs of another making than labelled_urls(): English words, other hosts and patterns."""
+    rng = np.random.default_rng(seed)
+    w = lambda: ENGLISH[rng.integers(len(ENGLISH))]
+    hexes = lambda k: "".join("0123456789abcdef"[i] for i in rng.integers(0, 16, k))
+    rows = []
+    for i in range(n):
+        if i % 2:
+            rows.append([
+                f"http://{hexes(12)}.{['info', 'top', 'com'][rng.integers(3)]}/{hexes(16)}/{hexes(8)}", f"https://{w()}{rng.integers(100, 9999)}.{['top', 'xyz', 'club'][rng.integers(3)]}/{w()[:1]}/?a={rng.integers(99)}&b={rng.integers(99)}&c={rng.integers(99)}",
+                f"http://click.{w()}.{['com', 'info'][rng.integers(2)]}/r?u={hexes(20)}&s={hexes(12)}&t={hexes(9)}&k={hexes(6)}&z={hexes(10)}", f"http://{w()}-{w()}-{w()}-{w()}.{['info', 'xyz', 'top'][rng.integers(3)]}/{w()}-{w()}-{w()}-{w()}-{w()}-{w()}-{rng.integers(1000, 99999)}.html",
+            ][rng.integers(4)])
+        else:
+            rows.append([
+                f"https://www.{w()}-{w()}.com/{w()}/{w()}", f"https://news.{w()}.org/{rng.integers(2001, 2025)}/{rng.integers(10, 13)}/{rng.integers(10, 29)}/{w()}-{w()}-{w()}-{w()}", f"https://{w()}{w()}.de/", f"http://{w()}.edu/{w()}/{w()}/{w()}/{w()}.html",
+                f"https://{w()}shop.com/item/{rng.integers(1, 99999)}?ref={w()}", f"https://en.{w()}.org/wiki/{w().title()}_{w()}",
+            ][rng.integers(6)])
+    return [(u, i % 2) for i, u in enumerate(rows)]
 
 
-def test_url_features_match_plain_python(spark):
+@pytest.fixture(scope="module")
+def url_model(spark):
+    return url_filter.fit(url_filter.labelled_urls(spark))
+
+
+def test_url_model_on_urls_of_other_making(spark, url_model):
+    for rows, least in ((url_filter.labelled_urls(spark, 1000, seed=77).collect(), 0.93), (other_urls(1000, 3), 0.9)):
+        judged = url_filter.judge(spark.createDataFrame(rows, "url string, blocked int"), url_model, {}).collect()
+        share = np.mean([(r.verdict == "block") == (r.blocked == 1) for r in judged])
+        print("share right:", share)
+        assert share > least
+    probes = {"https://www.merriam-webster.com/dictionary/tree": "allow", "https://news.example.com/2024/05/12/local-school-wins-award": "allow", "http://pills123.top/x/y?z=1&q=2&w=3": "block", "https://docs.some-site.org/guide/getting-started": "allow"}
+    got = url_filter.judge(spark.createDataFrame([(u,) for u in probes], "url string"), url_model).collect()
+    assert {r.url: r.verdict for r in got} == probes
+
+
+def python_url(url, suffixes, prior):
+    """Host, path and features of a URL."""
     import math
 
-    u = "http://a-b.example.com/x1/y22.html?p=1&q=2"
-    df = spark.createDataFrame([(u,)], "url string").withColumn("host", url_filter.host_of("url")).withColumn("path", url_filter.path_of("url"))
-    r = url_filter.with_features(df, {"com": 0.25}, 0.5).first()
-    entropy = -sum(n / len(u) * math.log2(n / len(u)) for n in Counter(u).values())
-    want = (len(u), len("a-b.example.com"), len("/x1/y22.html"), 2, sum(c.isdigit() for c in u) / len(u), entropy, 2, 1, 0.25)
-    assert [r[f] for f in url_filter.FEATURES] == pytest.approx(list(want))
+    u = url or ""
+    m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", u)
+    host, path = (re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]) if m else ("", "")
+    digits = lambda x: sum(c in "0123456789" for c in x) / len(x) if x else 0.0
+    entropy = lambda x: -sum(n / len(x) * math.log2(n / len(x)) for n in Counter(x).values()) if x else 0.0
+    query = u.split("#")[0].split("?", 1)[1] if "?" in u.split("#")[0] else ""
+    f = [len(u), len(host), len(path), path.count("/"), digits(u), digits(host), entropy(u), entropy(host), len([p for p in query.split("&") if p]), suffixes.get(host.split(".")[-1], prior)]
+    return host, path, f
+
+
+def test_urls_of_the_whole_table_match_plain_python(spark, url_model):
+    urls = {r.page_id: r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    rows = url_filter.query(spark, SF).collect()
+    assert len(rows) == len(urls)
+    for r in rows:
+        host, path, f = python_url(urls[r.page_id], url_model.suffixes, url_model.prior)
+        score = url_model.predict(np.array([f]))[0]
+        fits = [x for x in url_filter.RULES if ("." + host).endswith("." + x.split("/")[0]) and path.startswith("/" + x.split("/", 1)[1])]
+        rule = max(fits, key=len, default=None)
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.score == pytest.approx(score)
+        assert r.verdict == (url_filter.RULES[rule] if rule else "block" if score >= url_filter.CUT else "allow")
+
+
+def test_url_features_match_plain_python(spark):
+    urls = ["http://a-b.example.com/x1/y22.html?p=1&q=2#f?g&h", "x?y?z&w", "", "http://ÄÖ.de/ß/€#a?b=1&c", "a://" + "b1" * 40_000 + ".org/" + "c/" * 9000, "://n?&&a"]
+    df = spark.createDataFrame([(u,) for u in [*urls, None]], "url string").withColumn("host", url_filter.host_of("url")).withColumn("path", url_filter.path_of("url"))
+    for r in url_filter.with_features(df, {"com": 0.25}, 0.5).collect():
+        assert [r[f] for f in url_filter.FEATURES] == pytest.approx(python_url(r.url, {"com": 0.25}, 0.5)[2])
+    odd = spark.createDataFrame([("http://a.com/", 1, 2)], "url string, `a.b` int, f_path int")
+    assert url_filter.judge(odd, url_filter.UrlModel(0.0, [], {}, 0.0)).columns == ["url", "a.b", "f_path", "host", "path", "rule", "verdict", "score"]
 
 
 @pytest.fixture(scope="module")
@@ -291,3 +345,20 @@ def test_long_passages_recur_from_two_documents_on(spark):
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in line_dedup.drop_recurring(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
     assert {k: v[:2] for k, v in got.items()} == {1: (2, 1), 2: (2, 1), 3: (1, 0), 4: (1, 0), 5: (1, 0), 6: (2, 1)}
     assert got[1][2] == "own one" and got[2][2] == "own two" and got[3][2] == rows[2][1] and got[6][2] == "lonely " * 20_000
+
+
+def test_learned_list_does_not_depend_on_order(spark):
+    sf = SF.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    first = quality_rules.learn(docs, labels)
+    assert first.rules and str(quality_rules.learn(docs.repartition(7, "text").orderBy(F.desc("doc_id")), labels.repartition(5, F.rand(3)))) == str(first)
+    # kept is the list applied in Python.
+    frame = quality_rules.judge(docs, first).select(*(F.expr(e).cast("double").alias(f) for f, e in quality_rules.FEATURES.items()), "base_failed", "kept").toPandas()
+    drops = first.predict({f: frame[f].to_numpy() for f in quality_rules.FEATURES})
+    assert (frame["kept"] == ~(frame["base_failed"] | drops)).all()
+    assert len(quality_rules.learn(docs, labels, train_rows=1).rules) == 0
+
+
+def test_statistics_keep_columns_with_odd_names(spark):
+    df = spark.createDataFrame([("a b", 1, 2)], "text string, `a.b` int, _w int")
+    assert quality_rules.text_statistics(df).columns == ["text", "a.b", "_w", *quality_rules.BASE, "n_upper"]
