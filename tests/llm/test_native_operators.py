@@ -227,12 +227,82 @@ def test_licences_of_the_whole_table(spark, licences):
     assert got == want
 
 
-def test_licence_native_scores_match_numpy(spark, licences):
-    p = "Licensed under the Apache License, Version 2.0."
-    df = spark.createDataFrame([(p,)], "text string")
-    grams = set(license_scan.with_grams(df, "text").first()["_g"])
-    x = np.array([[g in grams for g in licences.grams]], float)
-    assert license_scan.scan(df, licences).first().probability == pytest.approx(licences.probabilities(x)[0, 1:].max())
+def python_paragraphs(text):
+    """First line's number and joined lines."""
+    lines = [x.strip(" \t\n\x0b\x0c\r") for x in (text or "").split("\n")] if text is not None else []
+    out, open_ = [], False
+    for i, x in enumerate(lines):
+        if x and open_:
+            out[-1][1].append(x)
+        elif x:
+            out.append((i, [x]))
+        open_ = bool(x) and len(x) <= 120 and x[-1] not in ".!?:;"
+    return [(i, " ".join(x)) for i, x in out]
+
+
+def python_grams(paragraph):
+    import struct
+
+    import xxhash
+
+    words = [w for w in re.split(r"[^\w]+|_", paragraph.lower()) if w]
+    pair = lambda a, b: xxhash.xxh64_intdigest(struct.pack("<Q", b), seed=xxhash.xxh64_intdigest(struct.pack("<Q", a), seed=42))
+    h = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words]
+    two = [pair(a, b) for a, b in zip(h, h[1:], strict=False)]
+    signed = lambda v: v - (1 << 64) if v >= 1 << 63 else v
+    return {signed(v) for v in [*two, *(pair(a, b) for a, b in zip(two, h[2:], strict=False))]}
+
+
+def python_scan(model, doc_id, text):
+    at = {g: i for i, g in enumerate(model.grams)}
+    for i, notice in python_paragraphs(text):
+        grams = python_grams(notice)
+        hits = [at[g] for g in grams if g in at]
+        if hits:
+            p = model.probabilities(np.bincount(hits, minlength=len(at))[None].astype(float))[0]
+            best = int(p[1:].argmax()) + 1
+            if p[best] > p[0]:
+                name = model.families[best]
+                held = max([len(grams & set(g)) / len(g) for f, g, d in model.templates if f == name and d and len(grams & set(d)) / len(d) >= license_scan.DISTINCT], default=0.0)
+                yield doc_id, i, name if p[best] >= model.cut and held >= license_scan.CONTAINED else "unknown", name, p[best], held
+
+
+def test_scan_of_the_whole_table_matches_plain_python(spark, licences):
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    want = {x[:2]: x[2:] for d, t in texts for x in python_scan(licences, d, t)}
+    rows = license_scan.query(spark, SF).collect()
+    assert {(r.doc_id, r.paragraph) for r in rows} == set(want) and len(rows) == len(want)
+    for r in rows:
+        family, name, p, held = want[r.doc_id, r.paragraph]
+        assert (r.family, r.predicted) == (family, name) and r.probability == pytest.approx(p, abs=1e-5) and r.contained == pytest.approx(held, abs=1e-8)
+
+
+NOTICES = {
+    "MIT": license_scan.TEMPLATES["MIT"][3], "AGPL": license_scan.TEMPLATES["AGPL"][1], "LGPL": license_scan.TEMPLATES["LGPL"][1], "GPL": license_scan.TEMPLATES["GPL"][1], "CC-BY-ND": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-SA": "Licensed under CC BY-SA 4.0.", "CC-BY-NC-SA": "Licensed under CC BY-NC-SA 4.0.", "CC-BY": "Licensed under CC BY 4.0.", "BSD": license_scan.TEMPLATES["BSD"][0], "ISC": license_scan.TEMPLATES["ISC"][0], "MPL-2.0": license_scan.TEMPLATES["MPL-2.0"][0], "BSD-3-Clause": license_scan.TEMPLATES["BSD-3-Clause"][0],
+    "Apache-2.0": " ".join(license_scan.TEMPLATES["Apache-2.0"][1:4]),
+}
+
+
+@pytest.mark.parametrize("width", [40, 72, 10_000])
+def test_wrapped_notices_and_like_families(spark, licences, width):
+    import textwrap
+
+    rows = [(i, "Some words of prose stand here.\n" + "\n".join(f"{mark}{x}" for x in textwrap.wrap(n, width)) + "\n\nMore prose.", f) for i, (f, n) in enumerate(NOTICES.items()) for mark in ([" * ", "// ", ""][i % 3],)]
+    got = {}
+    for r in license_scan.scan(spark.createDataFrame(rows, "doc_id int, text string, want string"), licences).collect():
+        if r.family != "unknown":
+            got.setdefault(r.want, set()).add(r.family)
+    assert got == {f: {f} for f in NOTICES}
+
+
+def test_other_licences_are_unknown(spark, licences):
+    texts = [*license_scan.UNSEEN, "Licensed under the European Union Public Licence, version 1.2.", "This font software is licensed under the SIL Open Font License, Version 1.1."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    assert {r.family for r in license_scan.scan(df, licences).collect()} <= {"unknown"}
+    odd = spark.createDataFrame([(None, 1, 2), ("x", 3, 4), ("Released under the MIT License.", 5, 6)], "text string, `a.b` int, _h int")
+    got = license_scan.scan(odd, licences)
+    assert got.columns[:2] == ["a.b", "_h"] and [(r["a.b"], r.family) for r in got.collect()] == [(5, "MIT")]
 
 
 def test_unknown_class_for_unconfirmed(spark, licences):
