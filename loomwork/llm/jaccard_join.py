@@ -130,7 +130,7 @@ def _features(n: int):
         seen: set[tuple[int, int]] = set()
         longs = pa.list_(pa.int64())
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), longs, longs, longs]
-        for batch in batches:
+        for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
             rows: tuple[list, ...] = ([], [], [], [], [], [], [])
             for grams in sets_of(batch.column(1), n):
                 key = key_of(grams)
