@@ -77,16 +77,27 @@ def mini_batch_kmeans(points: DataFrame, centroids: DataFrame, key: str, vector:
     return spark.createDataFrame([(c, m.tolist()) for c, (m, _) in sorted(state.items())], "cluster int, center array<double>")
 
 
-def distance_matrix(points: DataFrame, key: str, vector: str) -> DataFrame:
-    """a, b, distance of all pairs a < b of a bounded set of points."""
-    left = points.select(F.col(key).alias("a"), F.col(vector).alias("_a"))
+def distances(queries: DataFrame, points: DataFrame, key: str, vector: str) -> DataFrame:
+    """a, b, distance of each of queries to each other of points; queries should be a stated, small set."""
+    left = queries.select(F.col(key).alias("a"), F.col(vector).alias("_a"))
     right = points.select(F.col(key).alias("b"), F.col(vector).alias("_b"))
-    return left.join(right, F.col("a") < F.col("b")).select("a", "b", F.sqrt(squared_distance("_a", "_b")).alias("distance"))
+    return right.join(left, F.col("a") != F.col("b")).select("a", "b", F.sqrt(squared_distance("_a", "_b")).alias("distance"))
+
+
+def distance_matrix(points: DataFrame, key: str, vector: str) -> DataFrame:
+    """a, b, distance of all pairs a < b of a small set of points."""
+    return distances(points, points, key, vector).where("a < b")
+
+
+#: Points that a group of agglomerative() may have: its matrix of distances is held by one task.
+MOST_POINTS = 8000
 
 
 def _linkage(x: np.ndarray, k: int, method: str) -> np.ndarray:
     """Labels of k clusters by single, complete or average linkage."""
     n = len(x)
+    if n > MOST_POINTS:
+        raise ValueError(f"a group of {n} points; at most {MOST_POINTS} can be clustered in one task")
     d = np.sqrt(np.stack([((x - row) ** 2).sum(axis=1) for row in x]))
     np.fill_diagonal(d, np.inf)
     label, size = np.arange(n), np.ones(n)

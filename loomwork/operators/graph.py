@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.url import anchors, normalize_url, remove_dot_segments
-from ..plans.storage import cut_lineage
+from ..storage import cut_lineage
 
 
 def extract_links(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", dot_segments: bool = False) -> DataFrame:

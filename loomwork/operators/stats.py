@@ -91,15 +91,15 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     return one.select(((F.col("rc") - F.col("e")) / ((F.col("ra") + F.col("rb")) / 2 - F.col("e"))).alias("ari"))
 
 
-def silhouette(points: DataFrame, key: str, vector: str, cluster: str) -> DataFrame:
-    """One row: the mean silhouette by euclidean distance, a point's own cluster counted with itself.
+def silhouette(queries: DataFrame, points: DataFrame, key: str, vector: str, cluster: str) -> DataFrame:
+    """One row: the mean silhouette of queries, by euclidean distance to all points, a point's own cluster counted with itself.
 
-    All pairs are needed by definition: for point sets that were sampled to a bounded size.
+    Distances to each cluster are summed on the map side, so that a query leaves a task with one row for each cluster. Both
+    sides are read whole: queries should be few (a stated set of points, or all of a small table).
     """
-    side = lambda p: points.select(F.col(key).alias(f"{p}k"), F.col(vector).alias(f"{p}v"), F.col(cluster).alias(f"{p}c"))
-    pairs = side("a").crossJoin(side("b"))
+    side = lambda df, p: df.select(F.col(key).alias(f"{p}k"), F.col(vector).alias(f"{p}v"), F.col(cluster).alias(f"{p}c"))
     d = F.sqrt(F.aggregate(F.zip_with("av", "bv", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda a, x: a + x))
-    mean = pairs.groupBy("ak", "ac", "bc").agg(F.avg(d).alias("d"))
+    mean = side(points, "b").join(side(queries, "a")).groupBy("ak", "ac", "bc").agg(F.avg(d).alias("d"))
     own = mean.groupBy("ak").agg(F.max(F.when(F.col("ac") == F.col("bc"), F.col("d"))).alias("a"), F.min(F.when(F.col("ac") != F.col("bc"), F.col("d"))).alias("b"))
     s = F.when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)
     return own.agg(F.avg(s).alias("silhouette"))

@@ -92,11 +92,11 @@ def _clicks(book: Book) -> None:
              "SELECT l_orderkey, l_linenumber, s || ' ' || l_linenumber || ' ' || l_suppkey AS dense, s || ' ' || array_to_string(list_filter([CASE WHEN l_returnflag = 'A' THEN '1' END, CASE WHEN l_returnflag = 'N' THEN '2' END, CASE WHEN l_linestatus = 'O' THEN '3' END], lambda x: x IS NOT NULL), ' ') AS sparse FROM (SELECT *, CASE WHEN l_discount > 0.05 THEN '1' ELSE '-1' END AS s FROM lineitem)")
     book.add("j12_blend", lambda t: ctr.blend(t.customer.select(F.col("c_custkey").alias("id"), fx.sigmoid(F.col("c_acctbal") / 1e4).alias("click")), t.customer.select(F.col("c_custkey").alias("id"), fx.sigmoid(-F.col("c_acctbal") / 1e4).alias("click"))).select("id", F.round("click", 6).alias("click")),
              "SELECT c_custkey AS id, round(0.7 / (1 + exp(-c_acctbal / 1e4)) + 0.3 / (1 + exp(c_acctbal / 1e4)), 6) AS click FROM customer")
-    book.add("g8_ffm_score", lambda t: ctr.ffm_score(ffm_rows(t.lineitem.where("l_orderkey < 400")), ffm_weights(t)).select("id", F.round("p", 6).alias("p")),
-             """WITH r AS (SELECT l_orderkey || '-' || l_linenumber AS id, [CAST(l_linenumber AS BIGINT), 100 + l_suppkey % 10, 200 + CAST(l_quantity AS BIGINT) % 10] AS j FROM lineitem WHERE l_orderkey < 400),
+    book.add("g8_ffm_score", lambda t: ctr.ffm_score(ffm_rows(numbered_lines(t), "_twin"), ffm_weights(t)).select("id", F.round("p", 6).alias("p")),
+             """WITH r AS (SELECT l_orderkey || '-' || l_linenumber || '-' || row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS id,
+               [CAST(l_linenumber AS BIGINT), 100 + l_suppkey % 10, 200 + CAST(l_quantity AS BIGINT) % 10] AS j FROM lineitem),
              s AS (SELECT id, sum(list_sum([((j[a] * 7 + (b - 1) * 3 + k) % 11) / 10.0 * (((j[b] * 7 + (a - 1) * 3 + k) % 11) / 10.0) for k in [0, 1, 2, 3]])) / 3 AS t FROM r, (VALUES (1, 2), (1, 3), (2, 3)) x(a, b) GROUP BY id)
              SELECT id, round(1 / (1 + exp(-t)), 6) AS p FROM s""")
-    book.add("g8_ffm_score_all", lambda t: ctr.ffm_score(ffm_rows(numbered_lines(t), "_twin"), ffm_weights(t)).select("id", F.round("p", 6).alias("p")))
     book.add("e31_quadratic_pairs", lambda t: t.nation.select("n_nationkey", F.array_join(fx.quadratic_pairs(F.split("n_name", "")), " ").alias("pairs")).select("n_nationkey", F.md5("pairs").alias("pairs")))
     book.add("e28_levenshtein_kernel", lambda t: t.nation.select(F.col("n_name").alias("a")).crossJoin(t.nation.select(F.col("n_name").alias("b"))).select("a", "b", F.round(fx.rbf_levenshtein("a", "b"), 6).alias("k")),
              "SELECT a.n_name AS a, b.n_name AS b, round(exp(-0.1 * pow(levenshtein(a.n_name, b.n_name), 2)), 6) AS k FROM nation a, nation b")
@@ -130,9 +130,8 @@ def _stats(book: Book) -> None:
              f"WITH {JUDGED}, r AS (SELECT quality, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS r FROM j) SELECT round((sum(r) FILTER (WHERE quality = 1) - sum(quality) * (sum(quality) + 1) / 2) / (sum(quality) * (count(*) - sum(quality))), 6) AS auc FROM r")
     book.add("a27_adjusted_rand", lambda t: stats.adjusted_rand(near(t), "label", "cluster").select(F.round("ari", 6).alias("ari")),
              f"WITH {CENTERS}, {NEAR}, k AS (SELECT label, cluster, count(*)::DOUBLE AS n FROM near GROUP BY ALL), x AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM k) AS rc, (SELECT sum(s * (s - 1) / 2) FROM (SELECT sum(n) AS s FROM k GROUP BY label)) AS ra, (SELECT sum(s * (s - 1) / 2) FROM (SELECT sum(n) AS s FROM k GROUP BY cluster)) AS rb, (SELECT sum(n) * (sum(n) - 1) / 2 FROM k) AS a) SELECT round((rc - ra * rb / a) / ((ra + rb) / 2 - ra * rb / a), 6) AS ari FROM x")
-    book.add("a28_silhouette", lambda t: stats.silhouette(t.embeddings.where("vec_id < 200"), "vec_id", "embedding", "label").select(F.round("silhouette", 5).alias("silhouette")),
-             f"WITH e AS (SELECT * FROM embeddings WHERE vec_id < 200), m AS (SELECT a.vec_id, a.label AS la, b.label AS lb, avg(sqrt({DIST.format('a.embedding', 'b.embedding')})) AS d FROM e a, e b GROUP BY ALL), s AS (SELECT vec_id, max(CASE WHEN la = lb THEN d END) AS a, min(CASE WHEN la <> lb THEN d END) AS b FROM m GROUP BY vec_id) SELECT round(avg((b - a) / greatest(a, b)), 5) AS silhouette FROM s")
-    book.add("a28_silhouette_all", lambda t: stats.silhouette(t.embeddings, "vec_id", "embedding", "label").select(F.round("silhouette", 5).alias("silhouette")))
+    book.add("a28_silhouette", lambda t: stats.silhouette(t.embeddings.where("vec_id % 50 = 0"), t.embeddings, "vec_id", "embedding", "label").select(F.round("silhouette", 5).alias("silhouette")),
+             f"WITH q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0), m AS (SELECT a.vec_id, a.label AS la, b.label AS lb, avg(sqrt({DIST.format('a.embedding', 'b.embedding')})) AS d FROM q a, embeddings b GROUP BY ALL), s AS (SELECT vec_id, max(CASE WHEN la = lb THEN d END) AS a, min(CASE WHEN la <> lb THEN d END) AS b FROM m GROUP BY vec_id) SELECT round(avg((b - a) / greatest(a, b)), 5) AS silhouette FROM s")
     book.add("a30_mae", lambda t: stats.mae(judged(t), "quality", "p").select(F.round("mae", 6).alias("mae")), f"WITH {JUDGED} SELECT round(avg(abs(quality - p)), 6) AS mae FROM j")
     book.add("a31_trailing_mean", lambda t: stats.telemetry_trailing_mean(t.events, "event_id", "value").select("event_id", F.round("trailing_mean", 5).alias("trailing_mean")),
              "SELECT event_id, round(m, 5) AS trailing_mean FROM (SELECT event_id, avg(value) OVER w AS m, row_number() OVER (ORDER BY event_id) AS r FROM events WINDOW w AS (ORDER BY event_id ROWS 99 PRECEDING)) WHERE r % 100 = 0")
@@ -160,9 +159,8 @@ def _clusters(book: Book) -> None:
     book.add("j14_nearest_centroid", lambda t: near(t).select("vec_id", "cluster", F.round("distance", 5).alias("distance")), f"WITH {CENTERS}, {NEAR} SELECT vec_id, cluster, round(distance, 5) AS distance FROM near")
     book.add("g10_kmeans_step", lambda t: cluster.kmeans_step(t.embeddings, centers(t), "vec_id", "embedding").select("cluster", F.posexplode("center").alias("i", "x")).select("cluster", F.col("i").cast("long").alias("i"), F.round("x", 5).alias("x")),
              f"WITH {CENTERS}, {NEAR} SELECT cluster, i - 1 AS i, round(avg(x), 5) + 0.0 AS x FROM (SELECT cluster, unnest(embedding)::DOUBLE AS x, unnest(generate_series(1, len(embedding))) AS i FROM near) GROUP BY ALL")
-    book.add("j15_distance_matrix", lambda t: cluster.distance_matrix(t.embeddings.where("vec_id < 100"), "vec_id", "embedding").select("a", "b", F.round("distance", 5).alias("distance")),
-             f"SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt({DIST.format('a.embedding', 'b.embedding')}), 5) AS distance FROM embeddings a, embeddings b WHERE a.vec_id < 100 AND b.vec_id < 100 AND a.vec_id < b.vec_id")
-    book.add("j15_distance_matrix_all", lambda t: cluster.distance_matrix(t.embeddings, "vec_id", "embedding").select("a", "b", F.round("distance", 5).alias("distance")))
+    book.add("j15_distance_matrix", lambda t: cluster.distances(t.embeddings.where("vec_id % 50 = 0"), t.embeddings, "vec_id", "embedding").select("a", "b", F.round("distance", 5).alias("distance")),
+             f"SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt({DIST.format('a.embedding', 'b.embedding')}), 5) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id")
     book.add("g10_kmeans", lambda t: cluster.kmeans(t.embeddings, 5, "vec_id", "embedding", iterations=5))
     book.add("g10_mini_batch_kmeans", lambda t: cluster.mini_batch_kmeans(t.embeddings, centers(t), "vec_id", "embedding", batches=2))
     book.add("g11_agglomerative", lambda t: cluster.agglomerative(t.embeddings, "label", "vec_id", "embedding"))

@@ -1,15 +1,5 @@
-"""Cutting the lineage of iterative plans in the folder that all executors share."""
+"""Kept for callers: see loomwork.storage."""
 
-from __future__ import annotations
+from ..storage import cut_lineage, work_path
 
-import tempfile
-
-from pyspark.sql import DataFrame
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df as a reliable checkpoint in spark.checkpoint.dir; a temporary folder only where none is set."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="loomwork-"))
-    return df.checkpoint()
+__all__ = ["cut_lineage", "work_path"]

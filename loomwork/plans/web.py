@@ -31,8 +31,8 @@ a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(<a.*?href=")(.*?)("
 n AS (SELECT page_id, replace(replace(replace(url, 'https:', 'http:'), 'www.', ''), ' ', '') AS b, replace(replace(replace(link, 'https:', 'http:'), 'www.', ''), ' ', '') AS l FROM a WHERE NOT contains(whole, 'mailto:')),
 links AS (SELECT DISTINCT page_id, lower(regexp_replace(CASE WHEN starts_with(l, '//') THEN 'http:' || l
    WHEN starts_with(l, '/') THEN regexp_extract(b, '^([^/]*//[^/]*)', 1) || l WHEN contains(l, '://') THEN l ELSE regexp_replace(b, '/$', '') || '/' || l END, '/$', '')) AS link FROM n)"""
-#: Suppliers and the parts of every 40th order line: a graph with nodes that have no links.
-EDGES_SQL = "edges AS (SELECT DISTINCT l_suppkey AS src, 100000 + l_partkey % 300 AS dst FROM lineitem UNION SELECT DISTINCT 100000 + l_partkey % 300, l_suppkey FROM lineitem WHERE l_partkey % 300 < 120)"
+#: Suppliers link to the parts that they sold, parts that were returned link back: the others have no links.
+EDGES_SQL = "edges AS (SELECT l_suppkey AS src, -1 - l_partkey AS dst FROM lineitem UNION SELECT -1 - l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R')"
 
 
 def click_table(t: Tables) -> DataFrame:
@@ -51,16 +51,9 @@ def flagged_pages(t: Tables) -> DataFrame:
 
 
 def edge_table(t: Tables) -> DataFrame:
-    part = 100000 + F.col("l_partkey") % 300
+    part = -1 - F.col("l_partkey")
     one = t.lineitem.select(F.col("l_suppkey").alias("src"), part.alias("dst"))
-    two = t.lineitem.where(F.col("l_partkey") % 300 < 120).select(part.alias("src"), F.col("l_suppkey").alias("dst"))
-    return one.union(two).distinct()
-
-
-def whole_edges(t: Tables) -> DataFrame:
-    """Every supplier and part of lineitem, with links both ways; parts are numbered below zero."""
-    one = t.lineitem.select(F.col("l_suppkey").alias("src"), (-1 - F.col("l_partkey")).alias("dst")).distinct()
-    return one.union(one.select("dst", "src"))
+    return one.union(t.lineitem.where("l_returnflag = 'R'").select(part, "l_suppkey")).distinct()
 
 
 def _pagerank_sql(rounds: int) -> str:
@@ -114,7 +107,3 @@ def register(book: Book) -> None:
     book.add("g1_pagerank", lambda t: graph.pagerank(edge_table(t), max_iter=4, tol=0.0).select("id", F.round("rank", 9).alias("rank")), _pagerank_sql(4))
     book.add("g2_hits", lambda t: graph.hits(edge_table(t)), _hits_sql(3))
     book.add("t4_top_pagerank", lambda t: graph.top_nodes(graph.pagerank(edge_table(t), max_iter=4, tol=0.0).select("id", F.round("rank", 9).alias("rank")), "rank"), _pagerank_sql(4) + " ORDER BY rank DESC, id LIMIT 30")
-    book.add("a4_adjacency_all", lambda t: graph.adjacency_text(whole_edges(t)))
-    book.add("g1_pagerank_all", lambda t: graph.pagerank(whole_edges(t), max_iter=4, tol=0.0).select("id", F.round("rank", 9).alias("rank")))
-    book.add("g2_hits_all", lambda t: graph.hits(whole_edges(t)))
-    book.add("t4_top_pagerank_all", lambda t: graph.top_nodes(graph.pagerank(whole_edges(t), max_iter=4, tol=0.0).select("id", F.round("rank", 9).alias("rank")), "rank"))

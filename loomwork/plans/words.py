@@ -88,15 +88,9 @@ def register(book: Book) -> None:
     )
     book.add(
         "e29_float_list",
-        lambda t: t.embeddings.select("vec_id", F.concat(F.lit("[ "), F.array_join(F.transform(F.slice("embedding", 1, 5), lambda x: F.round(x.cast("double"), 3).cast("string")), "\n "), F.lit("]")).alias("s")).select("vec_id", F.round(F.aggregate(tx.float_list("s"), F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.size(tx.float_list("s")).cast("long").alias("n")),
-        "SELECT vec_id, round(list_sum(list_transform(embedding[1:5], lambda x: round(CAST(x AS DOUBLE), 3))), 6) + 0.0 AS total, CAST(5 AS BIGINT) AS n FROM embeddings",
+        lambda t: t.embeddings.select("vec_id", F.concat(F.lit("[ "), F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double"), 3).cast("string")), "\n "), F.lit("]")).alias("s")).select("vec_id", F.round(F.aggregate(tx.float_list("s"), F.lit(0.0), lambda a, x: a + x), 5).alias("total"), F.size(tx.float_list("s")).cast("long").alias("n")),
+        "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 3))), 5) + 0.0 AS total, CAST(len(embedding) AS BIGINT) AS n FROM embeddings",
     )
-    book.add(
-        "e29_float_list_all",
-        lambda t: t.embeddings.select("vec_id", F.concat(F.lit("[ "), F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double"), 3).cast("string")), "\n "), F.lit("]")).alias("s")).select("vec_id", F.round(F.aggregate(tx.float_list("s"), F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.size(tx.float_list("s")).cast("long").alias("n")),
-    )
-
-
     book.add("e10_posting_codec", lambda t: ops.build_postings(t.documents).select("term", F.size(codecs.unpack(codecs.pack("docs"))).cast("long").alias("n"), (codecs.unpack(codecs.pack("docs")) == F.col("docs")).alias("same")),
              f"WITH t AS ({TOKENS}), o AS (SELECT DISTINCT doc_id, unnest(w) AS term FROM t) SELECT term, count(*) AS n, true AS same FROM o GROUP BY term")
 

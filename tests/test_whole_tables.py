@@ -7,11 +7,12 @@ from statistics import median
 import numpy as np
 import pytest
 
+from loomwork.operators import cluster, stats
 from loomwork.plans.registry import QUERIES
 
 from .conftest import SF
 
-ITEMS = [(3, "apple banana cherry date elder fig"), (12, "banana apple"), (250, "grape banana date apple zebra cherry fig")]
+ITEMS = [(0, "apple banana cherry date elder fig"), (50, "banana apple"), (250, "grape banana date apple zebra cherry fig")]
 DOCS = [(i, " ".join("apple banana cherry date elder fig grape"[k:].split()[0] if (i + k) % 3 else f"w{i % 4}" for k in (0, 6, 13, 20, 25, 31))) for i in range(14)] + [(40, "nothing here"), (41, "banana apple banana apple")]
 
 
@@ -39,9 +40,9 @@ def test_every_item_is_ranked_against_every_document(spark, tmp_path):
     spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame(DOCS, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = python_scores(ITEMS, DOCS)
-    got = {(r.query_id, r.doc_id): r.score for r in QUERIES["g5_relevance_score_all"](spark, str(tmp_path)).collect()}
+    got = {(r.query_id, r.doc_id): r.score for r in QUERIES["g5_relevance_score"](spark, str(tmp_path)).collect()}
     assert got == pytest.approx(want, abs=2e-5) and len(got) == len(ITEMS) * len(DOCS)
-    rank = {(r.query_id, r.doc_id): r["rank"] for r in QUERIES["t3_ranked_documents_all"](spark, str(tmp_path)).collect()}
+    rank = {(r.query_id, r.doc_id): r["rank"] for r in QUERIES["t3_ranked_documents"](spark, str(tmp_path)).collect()}
     for q, _ in ITEMS:
         order = sorted((d for d, _ in DOCS), key=lambda d: (-round(want[q, d], 9), d))
         assert [rank[q, d] for d in order] == list(range(1, len(DOCS) + 1))
@@ -56,16 +57,6 @@ def test_every_line_is_scored(spark, name):
     assert QUERIES[name](spark, SF).count() == table(spark, "lineitem").count()
 
 
-def test_every_line_has_its_own_ffm_score(spark):
-    def p(r):
-        j = [r.l_linenumber, 100 + r.l_suppkey % 10, 200 + int(r.l_quantity) % 10]
-        w = lambda x, f: np.array([(x * 7 + f * 3 + k) % 11 / 10 for k in range(4)])
-        return round(1 / (1 + math.exp(-sum(w(j[a], b) @ w(j[b], a) for a, b in ((0, 1), (0, 2), (1, 2))) / 3)), 6)
-
-    want = Counter((f"{r.l_orderkey}-{r.l_linenumber}", p(r)) for r in table(spark, "lineitem").collect())
-    assert Counter((r.id.rsplit("-", 1)[0], r.p) for r in QUERIES["g8_ffm_score_all"](spark, SF).collect()) == want
-
-
 def test_training_reads_every_line(spark):
     made = {r.j for r in QUERIES["g8_train_ffm"](spark, SF).collect()}
     want = {x for r in table(spark, "lineitem").collect() for x in (r.l_linenumber, 100 + r.l_suppkey % 10, 200 + int(r.l_quantity) % 10)}
@@ -78,7 +69,7 @@ def test_every_vector_is_compared(spark):
     ids = sorted(rows)
     x, y = np.stack([rows[i][1] for i in ids]), np.array([rows[i][0] for i in ids])
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
-    got = {(r.a, r.b): r.distance for r in QUERIES["j15_distance_matrix_all"](spark, SF).collect()}
+    got = {(r.a, r.b): r.distance for r in cluster.distance_matrix(table(spark, "embeddings"), "vec_id", "embedding").collect()}
     assert len(got) == len(ids) * (len(ids) - 1) // 2
     assert all(abs(got[ids[i], ids[j]] - d[i, j]) < 2e-5 for i in range(len(ids)) for j in range(i + 1, len(ids)))
     mean = np.stack([d[:, y == c].mean(axis=1) for c in np.unique(y)], axis=1)
@@ -86,22 +77,7 @@ def test_every_vector_is_compared(spark):
     a = mean[np.arange(len(ids)), own]
     mean[np.arange(len(ids)), own] = np.inf
     b = mean.min(axis=1)
-    assert QUERIES["a28_silhouette_all"](spark, SF).first().silhouette == pytest.approx(np.mean((b - a) / np.maximum(a, b)), abs=2e-5)
-    totals = {r.vec_id: (r.total, r.n) for r in QUERIES["e29_float_list_all"](spark, SF).collect()}
-    assert all(n == len(rows[i][1]) and abs(t - sum(np.round(rows[i][1], 3))) < 2e-3 for i, (t, n) in totals.items())
-
-
-def test_graph_of_every_part(spark):
-    links = {(r.l_suppkey, -1 - r.l_partkey) for r in table(spark, "lineitem").collect()}
-    links |= {(b, a) for a, b in links}
-    lines = {r.value for r in QUERIES["a4_adjacency_all"](spark, SF).collect()}
-    assert sum(len(x.split("\t")[1].split()) for x in lines) == len(links)
-    nodes = {a for a, _ in links}
-    degree, rank = Counter(a for a, _ in links), dict.fromkeys(nodes, 1 / len(nodes))
-    for _ in range(4):
-        given = Counter()
-        for a, b in links:
-            given[b] += rank[a] / degree[a]
-        rank = {v: 0.1 / len(nodes) + 0.9 * given[v] for v in nodes}
-    assert {r.id: r["rank"] for r in QUERIES["g1_pagerank_all"](spark, SF).collect()} == pytest.approx(rank, abs=2e-9)
-    assert {r.id for r in QUERIES["g2_hits_all"](spark, SF).collect()} == nodes and QUERIES["t4_top_pagerank_all"](spark, SF).count() == 30
+    every = table(spark, "embeddings")
+    assert stats.silhouette(every, every, "vec_id", "embedding", "label").first().silhouette == pytest.approx(np.mean((b - a) / np.maximum(a, b)), abs=2e-5)
+    with pytest.raises(ValueError):
+        cluster._linkage(np.zeros((cluster.MOST_POINTS + 1, 1)), 2, "single")
