@@ -4,23 +4,46 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, FeatureHasher, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut_lineage
+from .ctr import ffm_score
+from .stats import logloss
+
+
+def gbt_model(df: DataFrame, features: list[str], label: str, trees: int = 30, depth: int = 7, seed: int = 1) -> PipelineModel:
+    """Gradient-boosted trees on features; labels are 0 and 1."""
+    assembler = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep")
+    model = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=trees, maxDepth=depth, seed=seed, leafCol="_leaf").fit(assembler.transform(df))
+    return PipelineModel([assembler, model])
+
 
 def gbt_leaves(df: DataFrame, features: list[str], label: str, trees: int = 30, depth: int = 7, seed: int = 1) -> DataFrame:
-    """df with leaves, the node that each tree ends in, and p; labels are 0 and 1."""
-    ready = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(df)
-    model = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=trees, maxDepth=depth, seed=seed, leafCol="_leaf").fit(ready)
-    out = model.transform(ready).withColumn("leaves", vector_to_array("_leaf")).withColumn("p", F.get(vector_to_array("probability"), F.lit(1)))
+    """df with leaves, the node that each tree ends in, and p."""
+    return with_leaves(df, gbt_model(df, features, label, trees, depth, seed))
+
+
+def with_leaves(df: DataFrame, model: PipelineModel) -> DataFrame:
+    out = model.transform(df).withColumn("leaves", vector_to_array("_leaf")).withColumn("p", F.get(vector_to_array("probability"), F.lit(1)))
     return out.select(*df.columns, "leaves", "p")
 
 
+def save_pipeline(model: PipelineModel, path: str) -> None:
+    """Writes any fitted pipeline below path, replacing what is there."""
+    model.write().overwrite().save(path)
+
+
+def load_pipeline(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def hashed_logistic(df: DataFrame, cols: list[str], label: str, bits: int = 18, l2: float = 2e-8, passes: int = 6) -> DataFrame:
     """df with p of a logistic regression on hashed values of cols."""
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_h_{c}") for c in cols]
@@ -76,46 +99,87 @@ def lda_predict(df: DataFrame, key: str, vector: str, label: str, ridge: float =
     return df.select(key, label, F.array_max(scores)["c"].alias("pred"))
 
 
-def train_ffm(rows: DataFrame, label: str, nodes: str, k: int = 4, epochs: int = 5, eta: float = 0.2, l2: float = 2e-5, seed: int = 1) -> DataFrame:
-    """Weights (j, f, w) of a field-aware factorization machine by averaged passes: each task runs AdaGrad over its rows from
-    the common weights, and each epoch averages the tasks' weights by a shuffle on (j, f)."""
-    spark = rows.sparkSession
-    weights = spark.createDataFrame([], "j int, f int, w array<double>")
-    from ..plans.storage import cut_lineage
-
-    for epoch in range(epochs):
-        # The model goes to tasks in one piece; its size is that of the feature space.
-        start = spark.sparkContext.broadcast({(r["j"], r["f"]): np.array(r["w"]) for r in weights.toLocalIterator()})
-
-        def run(batches, start=start, epoch=epoch):
-            rng = np.random.default_rng(seed)
-            w: dict[tuple[int, int], np.ndarray] = {}
-            g: dict[tuple[int, int], np.ndarray] = {}
-
-            def at(j, f):
-                if (j, f) not in w:
-                    own = np.random.default_rng([seed, j, f]).random(k) / np.sqrt(k)
-                    w[j, f], g[j, f] = start.value.get((j, f), own).copy(), np.ones(k)
-                return w[j, f]
-
-            for b in batches:
-                for y, xs in zip(b[label], b[nodes], strict=True):
-                    y, xs = (1.0 if y > 0 else -1.0), list(xs)
-                    r = 1.0 / max(sum(x["v"] ** 2 for x in xs), 1e-12)
-                    pairs = [(p, q, p["v"] * q["v"] * r) for i, p in enumerate(xs) for q in xs[i + 1 :]]
-                    t = sum(float(at(p["j"], q["f"]) @ at(q["j"], p["f"])) * v for p, q, v in pairs)
-                    kappa = -y / (1 + np.exp(min(y * t, 50)))
-                    for p, q, v in pairs:
-                        one, two = (p["j"], q["f"]), (q["j"], p["f"])
-                        d1, d2 = l2 * w[one] + kappa * v * w[two], l2 * w[two] + kappa * v * w[one]
-                        g[one] += d1**2
-                        g[two] += d2**2
-                        w[one] -= eta * d1 / np.sqrt(g[one])
-                        w[two] -= eta * d2 / np.sqrt(g[two])
-            del rng
-            yield pd.DataFrame([(j, f, x.tolist()) for (j, f), x in w.items()], columns=["j", "f", "w"])
-
-        moved = rows.select(label, nodes).mapInPandas(run, "j int, f int, w array<double>")
-        mean = moved.select("j", "f", F.posexplode("w").alias("i", "x")).groupBy("j", "f", "i").agg(F.avg("x").alias("x"))
-        weights = cut_lineage(mean.groupBy("j", "f").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("w")))
-    return weights
+#: Rows that a task trains a factorization machine on at once, and rows in a step.
+PART_ROWS, STEP_ROWS = 20_000, 32
+
+
+def _ffm_pass(rows: pd.DataFrame, known: pd.DataFrame, label: str, nodes: str, k: int, eta: float, l2: float, seed: int) -> pd.DataFrame:
+    """One AdaGrad pass over rows in steps of STEP_ROWS from the known weights of their features."""
+    start = dict(zip(zip(known["j"], known["f"], strict=True), known["w"], strict=True))
+    keys: dict[tuple[int, int], int] = {}
+    at, one, two, value, labels = [], [], [], [], np.where(rows[label].to_numpy() > 0, 1.0, -1.0)
+    for i, xs in enumerate(rows[nodes]):
+        r = 1.0 / max(sum(x["v"] ** 2 for x in xs), 1e-12)
+        for n, p in enumerate(xs):
+            for q in xs[n + 1 :]:
+                at.append(i)
+                one.append(keys.setdefault((p["j"], q["f"]), len(keys)))
+                two.append(keys.setdefault((q["j"], p["f"]), len(keys)))
+                value.append(p["v"] * q["v"] * r)
+    at, one, two, value = np.array(at, np.int64), np.array(one, np.int64), np.array(two, np.int64), np.array(value)
+    w = np.stack([np.array(start[key]) if key in start else np.random.default_rng([seed, *key]).random(k) / np.sqrt(k) for key in keys]) if keys else np.zeros((0, k))
+    g = np.ones_like(w)
+    for first in range(0, len(labels), STEP_ROWS):
+        a, b = np.searchsorted(at, [first, first + STEP_ROWS])
+        row, u, v, x = at[a:b] - first, one[a:b], two[a:b], value[a:b, None]
+        y = labels[first : first + STEP_ROWS]
+        t = np.bincount(row, weights=(w[u] * w[v]).sum(axis=1) * x[:, 0], minlength=len(y))
+        kappa = (-y / (1 + np.exp(np.clip(y * t, -50, 50))))[row][:, None] * x
+        used, where = np.unique(np.concatenate((u, v)), return_inverse=True)
+        step = np.zeros((len(used), k))
+        np.add.at(step, where, np.concatenate((l2 * w[u] + kappa * w[v], l2 * w[v] + kappa * w[u])))
+        g[used] += step**2
+        w[used] -= eta * step / np.sqrt(g[used])
+    return pd.DataFrame([(j, f, x.tolist()) for (j, f), x in zip(keys, w, strict=True)], columns=["j", "f", "w"])
+
+
+def train_ffm(rows: DataFrame, label: str, nodes: str, k: int = 4, epochs: int = 5, eta: float = 0.2, l2: float = 2e-5, seed: int = 1, validation: DataFrame | None = None) -> DataFrame:
+    """Weights (j, f, w) of a field-aware factorization machine by averaged passes.
+
+    Rows are dealt to parts of about PART_ROWS by hash. In each epoch a part gets its rows and, by a join on feature and field,
+    the weights that they use, runs AdaGrad over them, and the parts' weights are averaged; no task and not the driver ever
+    holds the whole model. With validation rows (label, nodes), training ends after the first epoch whose log loss there is
+    above the least so far, and gives the weights of that least loss.
+    """
+    parts = max(1, -(-rows.count() // PART_ROWS))
+    dealt = cut_lineage(rows.select(F.col(label).alias("_y"), F.col(nodes).alias("_x"), F.pmod(F.xxhash64(nodes, label, F.monotonically_increasing_id()), F.lit(parts)).alias("_part")))
+    pairs = F.flatten(F.transform("_x", lambda a, i: F.transform(F.filter("_x", lambda b, n: n != i), lambda b: F.struct(a["j"].alias("j"), b["f"].alias("f")))))
+    needs = cut_lineage(dealt.select(F.col("_part").alias("_p"), F.explode(pairs).alias("q")).select("_p", "q.j", "q.f").distinct())
+    kind = "j int, f int, w array<double>"
+    weights = best = rows.sparkSession.createDataFrame([], kind)
+    least = np.inf
+    for _ in range(epochs):
+        own = needs.join(weights, ["j", "f"])
+        moved = dealt.groupBy("_part").cogroup(own.groupBy("_p")).applyInPandas(lambda x, w: _ffm_pass(x, w, "_y", "_x", k, eta, l2, seed), kind)
+        mean = F.array(*(F.avg(F.get("w", F.lit(i))) for i in range(k)))
+        weights = cut_lineage(moved.groupBy("j", "f").agg(mean.alias("w")))
+        if validation is None:
+            best = weights
+            continue
+        loss = ffm_loss(validation, weights, label, nodes)
+        if loss > least:
+            break
+        least, best = loss, weights
+    return best
+
+
+def ffm_loss(rows: DataFrame, weights: DataFrame, label: str, nodes: str) -> float:
+    """The mean log loss of rows under weights."""
+    numbered = cut_lineage(rows.select(F.monotonically_increasing_id().alias("id"), F.col(label).alias("_y"), F.col(nodes).alias("nodes")))
+    scored = ffm_score(numbered, weights).join(numbered.select("id", "_y"), "id")
+    return logloss(scored, "_y", "p").first()["logloss"]
+
+
+def ffm_folds(rows: DataFrame, label: str, nodes: str, folds: int = 5, **how) -> list[float]:
+    """The log loss of each fold under weights trained on the others; rows are dealt to folds by hash."""
+    dealt = cut_lineage(rows.select(label, nodes, F.pmod(F.xxhash64(F.lit("fold"), nodes, label, F.monotonically_increasing_id()), F.lit(folds)).alias("_fold")))
+    return [ffm_loss(dealt.where(f"_fold = {i}"), train_ffm(dealt.where(f"_fold <> {i}"), label, nodes, **how), label, nodes) for i in range(folds)]
+
+
+def save_ffm(weights: DataFrame, path: str) -> None:
+    """Writes weights below path."""
+    weights.write.mode("overwrite").parquet(path)
+
+
+def load_ffm(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("j int, f int, w array<double>").parquet(path)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -104,3 +106,12 @@ def stump(df: DataFrame, x: str, y: str, step: float = 0.1, low: float = 0.0, hi
     neg = F.col("n") - F.col("p")
     scored = grid.select("c", ((F.sum("p").over(w) + F.sum(neg).over(every) - F.sum(neg).over(w)) / F.sum("n").over(every)).alias("error")).where(F.col("c") < n)
     return scored.agg(F.min(F.struct(F.round("error", 12).alias("r"), "c", "error")).alias("b")).select((F.lit(low) + F.col("b.c") * step).alias("threshold"), "b.error")
+
+
+def save_tree(spark: SparkSession, nodes: list[dict], path: str) -> None:
+    """Writes the nodes of grow_tree() as JSON lines below path."""
+    spark.createDataFrame([(json.dumps(n),) for n in nodes], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_tree(spark: SparkSession, path: str) -> list[dict]:
+    return sorted((json.loads(r["value"]) for r in spark.read.text(path).collect()), key=lambda n: n["id"])

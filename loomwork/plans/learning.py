@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import features as fx
 from ..operators import cluster, ctr, models, stats, tree
 from ..sources.readers import rename_columns
+from ..storage import work_path
 from .book import Book, Tables
 
 FIELDS = ["l_returnflag", "l_linestatus", "l_quantity", "l_suppkey"]
@@ -196,8 +197,36 @@ def _tree_rows(t: Tables) -> DataFrame:
 def _models(book: Book) -> None:
     book.add("g7_gbt_leaves", lambda t: models.gbt_leaves(clicks(t).select("l_orderkey", "l_quantity", "l_extendedprice", "y"), ["l_quantity", "l_extendedprice"], "y", trees=5, depth=3))
     book.add("g8_train_ffm", lambda t: models.train_ffm(ffm_rows(t.lineitem), "y", "nodes", epochs=1))
+    book.add("s22_saved_trees", _saved_trees, "SELECT count(*) AS n, count(*) AS same FROM lineitem")
+    book.add("s22_saved_weights", _saved_weights, "SELECT count(*) AS n, count(*) AS same FROM lineitem")
+    book.add("s22_saved_tree", _saved_tree, "SELECT count(*) AS n, count(*) AS same FROM documents JOIN labels USING (doc_id)")
     book.add("g9_hashed_logistic", lambda t: models.hashed_logistic(clicks(t).select("l_orderkey", "l_returnflag", "l_suppkey", "y"), ["l_returnflag", "l_suppkey"], "y", bits=12))
     book.add("g13_l1_logistic", lambda t: models.l1_logistic(clicks(t).select("l_orderkey", "l_quantity", "l_extendedprice", "y"), ["l_quantity", "l_extendedprice"], "y"))
     book.add("g14_svm_grid", lambda t: models.svm_grid(t.embeddings.select("embedding", F.when(F.col("label") < 5, 1).otherwise(0).alias("y")), "embedding", "y", (0.1, 1.0), folds=2))
     book.add("g15_pca", lambda t: models.principal_components(t.embeddings, "vec_id", "embedding"))
     book.add("g15_lda", lambda t: models.lda_predict(t.embeddings, "vec_id", "embedding", "label"))
+
+
+def _saved_trees(t: Tables) -> DataFrame:
+    """How many rows a model and its saved copy judge, and how many alike."""
+    rows, path = clicks(t).select("l_quantity", "l_extendedprice", "y"), work_path(t.spark, "trees")
+    model = models.gbt_model(rows, ["l_quantity", "l_extendedprice"], "y", trees=3, depth=3)
+    models.save_pipeline(model, path)
+    both = models.with_leaves(models.with_leaves(rows, model).withColumnsRenamed({"leaves": "l", "p": "q"}), models.load_pipeline(path))
+    return both.agg(F.count("*").alias("n"), F.count_if((F.col("l") == F.col("leaves")) & (F.col("p") == F.col("q"))).alias("same"))
+
+
+def _saved_weights(t: Tables) -> DataFrame:
+    rows, path = ffm_rows(numbered_lines(t), "_twin"), work_path(t.spark, "weights")
+    weights = models.train_ffm(rows, "y", "nodes", epochs=1)
+    models.save_ffm(weights, path)
+    one, two = (ctr.ffm_score(rows, w) for w in (weights, models.load_ffm(t.spark, path)))
+    return one.join(two.withColumnRenamed("p", "q"), "id").agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("p") - F.col("q")) < 1e-12).alias("same"))
+
+
+def _saved_tree(t: Tables) -> DataFrame:
+    rows, path = t.documents.join(t.labels, "doc_id"), work_path(t.spark, "tree")
+    nodes = tree.grow_tree(rows, ["n_chars"], "quality", [0, 1], max_depth=2, min_samples=5)
+    tree.save_tree(t.spark, nodes, path)
+    one, two = (tree.tree_column(x, [0, 1]) for x in (nodes, tree.load_tree(t.spark, path)))
+    return rows.agg(F.count("*").alias("n"), F.count_if(one.eqNullSafe(two)).alias("same"))

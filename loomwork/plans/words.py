@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs
 from ..functions import text as tx
+from ..operators import index
 from ..operators import text as ops
+from ..storage import work_path
 from .book import Book
 
 TOKENS = r"SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+'), lambda x: lower(x)) AS w FROM documents"
@@ -91,8 +93,34 @@ def register(book: Book) -> None:
         lambda t: t.embeddings.select("vec_id", F.concat(F.lit("[ "), F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double"), 3).cast("string")), "\n "), F.lit("]")).alias("s")).select("vec_id", F.round(F.aggregate(tx.float_list("s"), F.lit(0.0), lambda a, x: a + x), 5).alias("total"), F.size(tx.float_list("s")).cast("long").alias("n")),
         "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 3))), 5) + 0.0 AS total, CAST(len(embedding) AS BIGINT) AS n FROM embeddings",
     )
-    book.add("e10_posting_codec", lambda t: ops.build_postings(t.documents).select("term", F.size(codecs.unpack(codecs.pack("docs"))).cast("long").alias("n"), (codecs.unpack(codecs.pack("docs")) == F.col("docs")).alias("same")),
-             f"WITH t AS ({TOKENS}), o AS (SELECT DISTINCT doc_id, unnest(w) AS term FROM t) SELECT term, count(*) AS n, true AS same FROM o GROUP BY term")
+    for codec in codecs.CODECS:
+        # How long the packed bytes are follows from the format, and the values have to come back.
+        book.add(
+            f"e10_{codec}_postings",
+            lambda t, codec=codec: ops.build_postings(t.documents).select("term", "docs", codecs.pack("docs", codec).alias("b")).select("term", F.length("b").cast("long").alias("bytes"), F.array_join(F.transform(codecs.unpack("b", codec), lambda x: x.cast("string")), " ").alias("docs")),
+            f"WITH t AS ({TOKENS}), o AS (SELECT DISTINCT doc_id, unnest(w) AS term FROM t), p AS (SELECT term, list(doc_id ORDER BY doc_id) AS d FROM o GROUP BY term) SELECT term, {CODEC_BYTES[codec]} AS bytes, array_to_string(d, ' ') AS docs FROM p" if codec in CODEC_BYTES else None,
+        )
+    book.add("s12_stored_index", _stored_index, f"WITH t AS ({TOKENS}) SELECT doc_id FROM t WHERE (list_contains(w, 'the') OR list_contains(w, 'der')) AND NOT (list_contains(w, 'and') AND list_contains(w, 'of'))")
+    book.add("s12_stored_postings", _stored_postings, f"WITH t AS ({TOKENS}) SELECT DISTINCT term, doc_id FROM (SELECT doc_id, unnest(w) AS term FROM t) WHERE term IN ('the', 'der', 'que')")
+
+
+#: Bytes of a packed list d by the format of its codec.
+CODEC_BYTES = {
+    "varbyte": "CAST(list_sum(list_transform(d, lambda x: 1 + (x >= 128)::INT + (x >= 16384)::INT + (x >= 2097152)::INT + (x >= 268435456)::INT)) AS BIGINT)",
+    "raw": "CAST(4 * len(d) AS BIGINT)",
+}
+
+
+def _stored_index(t):
+    path = work_path(t.spark, "index")
+    index.write_index(t.documents, path, codec="simple9")
+    return index.search_index(t.spark, path, "(the | der) & !(and & of)")
+
+
+def _stored_postings(t):
+    path = work_path(t.spark, "index")
+    index.write_index(t.documents, path, block=64)
+    return index.read_postings(t.spark, path, ["the", "der", "que"])
 
 
 def _clip(word: str) -> str:

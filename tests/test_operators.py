@@ -181,3 +181,44 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert words.document_frequency(docs).count() == 0 and search.boolean_search(docs, "a").count() == 0
     assert graph.pagerank(spark.createDataFrame([], "src int, dst int")).count() == 0
+
+
+def test_codecs_round_trip():
+    import random
+
+    from loomwork.functions import codecs
+
+    rng = random.Random(4)
+    lists = [[], [0], [1] * 16, [1] * 27, [1] * 28, [1] * 29, [0] * 100, [127, 128, 16383, 16384, (1 << 28) - 1], list(range(5000)), [3, 1 << 27, 1, 1, 12] * 7]
+    lists += [[rng.randrange(1 << rng.randrange(1, 29)) for _ in range(rng.randrange(80))] for _ in range(300)]
+    for pack, unpack in codecs.CODECS.values():
+        assert all(unpack(pack(x)) == x for x in lists)
+    assert varbyte_pack([5, 300]) == bytes([133, 2, 172]) and codecs.simple9_unpack(codecs.simple9_pack([1] * 28)) == [1] * 28
+    assert len(codecs.simple9_pack([1] * 28)) == 8 and varbyte_unpack(varbyte_pack([1 << 40])) == [1 << 40]
+    for pack, bad in ((codecs.simple9_pack, 1 << 28), (codecs.raw_pack, 1 << 32), (varbyte_pack, -1)):
+        with pytest.raises(ValueError):
+            pack([bad])
+
+
+def test_stored_index_answers_queries(spark, tmp_path):
+    from loomwork.operators import index
+
+    docs = spark.createDataFrame([(0, "a b"), (1, "b"), (2, "c a"), (300_000, "a c"), (5, None), (None, "a")], "doc_id long, text string")
+    for codec in ("varbyte", "simple9", "raw"):
+        index.write_index(docs, f"{tmp_path}/{codec}", codec=codec, buckets=4)
+        ask = lambda q, codec=codec: sorted(r.doc_id for r in index.search_index(spark, f"{tmp_path}/{codec}", q).collect())
+        assert ask("a & b") == [0] and ask("a | b") == [0, 1, 2, 300_000] and ask("!b") == [2, 5, 300_000] and ask("zebra") == [] and ask("a & !(b | c)") == []
+    plan = index.read_postings(spark, f"{tmp_path}/raw", ["a"])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
+
+
+def test_ffm_learns_a_pair_and_stops(spark):
+    rows = [(int((i % 4 < 2) == (i % 6 < 3)), [(0, i % 4 // 2, 1.0), (1, 10 + i % 6 // 3, 1.0)]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "y int, nodes array<struct<f:int,j:int,v:double>>")
+    weights = models.train_ffm(df, "y", "nodes", epochs=8, seed=3)
+    assert models.ffm_loss(df, weights, "y", "nodes") < 0.35
+    noise = spark.createDataFrame([(i * 7919 % 2, [(0, i, 1.0), (1, 1000 + i, 1.0)]) for i in range(60)], df.schema)
+    turned = noise.selectExpr("1 - y AS y", "nodes")
+    stopped, full = (models.train_ffm(noise, "y", "nodes", epochs=6, validation=v) for v in (turned, None))
+    assert models.ffm_loss(turned, stopped, "y", "nodes") < models.ffm_loss(turned, full, "y", "nodes")
+    assert len(models.ffm_folds(df, "y", "nodes", folds=2, epochs=2)) == 2
