@@ -31,3 +31,9 @@ def best_query_per_host(clicks: DataFrame, min_clicks: int = 100) -> DataFrame:
 def queries_in_order(clicks: DataFrame) -> DataFrame:
     """host, query, cnt, place: all queries of each host in order of their text (secondary sort)."""
     return host_query_counts(clicks).withColumn("place", F.row_number().over(Window.partitionBy("host").orderBy("query")).cast("long"))
+
+
+def partition_by_letter(df: DataFrame, col: str, parts: int) -> DataFrame:
+    """df dealt to parts by the first letter of col: a to z spread evenly in order, what sorts before them first, behind them last."""
+    letter = F.ascii(F.substring(F.lower(F.coalesce(F.col(col), F.lit(""))), 1, 1)) - ord("a")
+    return df.repartitionById(parts, F.least(F.greatest(F.floor(letter * parts / 26), F.lit(0)), F.lit(parts - 1)).cast("int"))

@@ -33,13 +33,18 @@ def kmeans_step(points: DataFrame, centroids: DataFrame, key: str, vector: str)
 
 
 def kmeans(points: DataFrame, k: int, key: str, vector: str, iterations: int = 20, tol: float = 1e-6, init: str = "++", seed: int = 1, power: int = 1) -> DataFrame:
-    """cluster, center by Lloyd steps from ++ or random starts (power: of the distance that weighs ++ draws).
+    """cluster, center by Lloyd steps from ++ or random starts, or random places in the points' box (init: ++, random or box; power: of the distance that weighs ++ draws).
 
     Each step brings k centres to the driver, never the points.
     """
     spark = points.sparkSession
-    first = points.orderBy(F.xxhash64(F.lit(seed), F.col(key))).select(vector).limit(k if init == "random" else 1).collect()
-    centers = [list(map(float, r[0])) for r in first]
+    if init == "box":
+        sides = points.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.min("x").alias("low"), F.max("x").alias("high")).orderBy("i").collect()
+        rng = np.random.default_rng(seed)
+        centers = [[float(rng.uniform(s["low"], s["high"])) for s in sides] for _ in range(k)]
+    else:
+        first = points.orderBy(F.xxhash64(F.lit(seed), F.col(key))).select(vector).limit(k if init == "random" else 1).collect()
+        centers = [list(map(float, r[0])) for r in first]
     frame = lambda: spark.createDataFrame([(i, c) for i, c in enumerate(centers)], "cluster int, center array<double>")
     rank = 0
     while init == "++" and 0 < len(centers) < k:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.features import soft_log_bins
+from .ordered import numbered
 
 
 def unpivot(df: DataFrame, fields: list[str], *keep: str) -> DataFrame:
@@ -99,4 +100,4 @@ def train_test_split_at(df: DataFrame, time: str, cut) -> DataFrame:
 
 def row_numbers(df: DataFrame, *order: str) -> DataFrame:
     """df with row from 0 in order, for joins of tables by position."""
-    return df.withColumn("row", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
+    return numbered(df, *order, name="row")

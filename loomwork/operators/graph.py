@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.url import anchors, normalize_url, remove_dot_segments
 from ..storage import cut_lineage
+from .ordered import numbered
 
 
 def extract_links(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", dot_segments: bool = False) -> DataFrame:
@@ -21,15 +22,7 @@ def build_link_ids(links: DataFrame, link: str = "link") -> DataFrame:
 
     Ranges of URLs are numbered apart and shifted by the totals of those before, so that no task holds them all.
     """
-    spark = links.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    urls = links.select(F.col(link).alias("url")).distinct()
-    ranged = urls.repartitionByRange(parts, "url").withColumn("_part", F.spark_partition_id())
-    ranged = cut_lineage(ranged)
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_before")
-    place = F.row_number().over(Window.partitionBy("_part").orderBy("url")) - 1
-    return ranged.withColumn("_at", place).join(F.broadcast(before), "_part").select((F.col("_before") + F.col("_at")).cast("long").alias("id"), "url")
+    return numbered(links.select(F.col(link).alias("url")).distinct(), "url", name="id").select("id", "url")
 
 
 def build_graph(links: DataFrame, ids: DataFrame) -> DataFrame:
@@ -37,14 +30,21 @@ def build_graph(links: DataFrame, ids: DataFrame) -> DataFrame:
     return links.join(ids.select(F.col("url").alias("link"), F.col("id").alias("dst")), "link").select(F.col("page_id").alias("src"), "dst").distinct()
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """id, nbrs: each source's targets in order."""
-    return edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("nbrs"))
+#: Targets in a piece of an adjacency list.
+PIECE = 1 << 16
 
 
-def adjacency_text(edges: DataFrame) -> DataFrame:
-    """One line a source: id, tab, targets joined by spaces."""
-    return adjacency(edges).select(F.concat_ws("\t", F.col("id").cast("string"), F.array_join(F.transform("nbrs", lambda x: x.cast("string")), " ")).alias("value"))
+def adjacency(edges: DataFrame, piece: int = PIECE) -> DataFrame:
+    """id, piece, nbrs: each source's targets in order, those of a hub in pieces of about ``piece`` by hash, so that no list is unbounded."""
+    degree = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("_n"))
+    placed = edges.withColumnRenamed("src", "id").join(degree, "id")
+    own = F.pmod(F.xxhash64("dst"), F.ceil(F.col("_n") / piece)).cast("int")
+    return placed.groupBy("id", own.alias("piece")).agg(F.sort_array(F.collect_list("dst")).alias("nbrs"))
+
+
+def adjacency_text(edges: DataFrame, piece: int = PIECE) -> DataFrame:
+    """A line a source (a piece of one): id, tab, targets joined by spaces."""
+    return adjacency(edges, piece).select(F.concat_ws("\t", F.col("id").cast("string"), F.array_join(F.transform("nbrs", lambda x: x.cast("string")), " ")).alias("value"))
 
 
 def pagerank(edges: DataFrame, n: int | None = None, n0: int | None = None, alpha: float = 0.9, max_iter: int = 15, tol: float = 0.005) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut_lineage
+
 
 def _placed(df: DataFrame, qid: str, rel: str, score: str, doc: str) -> DataFrame:
     base = df.select(F.col(qid).alias("qid"), F.col(doc).alias("doc"), F.col(rel).cast("double").alias("rel"), F.col(score).cast("double").alias("score"))
@@ -41,3 +46,25 @@ def lambda_gradients(df: DataFrame, qid: str = "qid", rel: str = "rel", score: s
     sums = pairs.groupBy("qid", "doc").agg(F.sum(sign * F.col("_d") * F.col("_r")).alias("g"), F.sum(F.col("_d") * F.col("_r") * (1 - F.col("_r"))).alias("h"))
     out = rows.select("qid", "doc").join(sums, ["qid", "doc"], "left")
     return out.select("qid", "doc", F.coalesce("g", F.lit(0.0)).alias("gradient"), F.when(F.coalesce("h", F.lit(0.0)) == 0, 1.0).otherwise(F.col("h")).alias("hessian"))
+
+
+def boost(df: DataFrame, features: list[str], rounds: int = 10, depth: int = 4, rate: float = 0.3, qid: str = "qid", rel: str = "rel", doc: str = "doc", seed: int = 1) -> tuple[DataFrame, list[PipelineModel]]:
+    """df with score, and the trees that made it: each round fits a regression tree to the pairwise gradients over hessians
+    (weighted by hessian) at the scores so far, and adds its prediction times rate. All scores are 0 at first."""
+    assembler = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep")
+    rows, trees = cut_lineage(assembler.transform(df).withColumn("score", F.lit(0.0))), []
+    for r in range(rounds):
+        pulled = lambda_gradients(rows, qid, rel, "score", doc).select(F.col("qid").alias("_q"), F.col("doc").alias("_d"), (-F.col("gradient") / F.col("hessian")).alias("_t"), F.col("hessian").alias("_w"))
+        train = rows.join(pulled, (F.col(qid) == F.col("_q")) & (F.col(doc) == F.col("_d")))
+        tree = DecisionTreeRegressor(featuresCol="_x", labelCol="_t", weightCol="_w", predictionCol="_p", maxDepth=depth, seed=seed + r).fit(train)
+        rows = cut_lineage(tree.transform(rows).withColumn("score", F.col("score") + rate * F.col("_p")).drop("_p"))
+        trees.append(PipelineModel([assembler, tree]))
+    return rows.drop("_x"), trees
+
+
+def boosted_scores(df: DataFrame, trees: list[PipelineModel], rate: float = 0.3) -> DataFrame:
+    """df with score under the trees of boost()."""
+    out = df.withColumn("score", F.lit(0.0))
+    for tree in trees:
+        out = tree.transform(out).withColumn("score", F.col("score") + rate * F.col("_p")).drop("_p", "_x")
+    return out

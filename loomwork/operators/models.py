@@ -13,9 +13,11 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import tokenize
 from ..storage import cut_lineage
 from .ctr import ffm_score
 from .stats import logloss
+from .text import bag_of_words
 
 
 def gbt_model(df: DataFrame, features: list[str], label: str, trees: int = 30, depth: int = 7, seed: int = 1) -> PipelineModel:
@@ -183,3 +185,14 @@ def save_ffm(weights: DataFrame, path: str) -> None:
 
 def load_ffm(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("j int, f int, w array<double>").parquet(path)
+
+
+def vocabulary(docs: DataFrame, size: int, text: str = "text", least: int = 1) -> DataFrame:
+    """word, n: the size most frequent words of the texts that occur least times, ties in their order; a top-k, not a sort of all."""
+    words = docs.select(F.explode(tokenize(text)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return words.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(size)
+
+
+def learned_bag(docs: DataFrame, size: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and a count column for each word of the learned vocabulary."""
+    return bag_of_words(docs, [r["word"] for r in vocabulary(docs, size, text).collect()], doc_id, text)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import neighbour, numbered, running
+
 
 def zscore(df: DataFrame, cols: list[str]) -> DataFrame:
     """df with z_<col>: less the mean, by the population deviation (0 where that is 0)."""
@@ -71,11 +73,10 @@ def topk_hit_rate(df: DataFrame, true_index: str, probabilities: str, k: int = 3
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """One row: auc by the rank sum, ties at their mean rank.
 
-    Rows are first counted by score, so that the window runs over distinct scores only.
+    Rows are first counted by score, so that ranks are worked out over distinct scores, in ranges.
     """
     by_score = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(F.when(F.col(label) > 0, 1).otherwise(0)).alias("p"), F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("s")) - F.col("n")
-    ranked = by_score.withColumn("r", before + (F.col("n") + 1) / 2)
+    ranked = running(by_score, ["s"], {"_until": "n"}).withColumn("r", F.col("_until") - F.col("n") + (F.col("n") + 1) / 2)
     sums = ranked.agg(F.sum(F.col("r") * F.col("p")).alias("rp"), F.sum("p").cast("double").alias("p"), F.sum("n").cast("double").alias("n"))
     return sums.select(((F.col("rp") - F.col("p") * (F.col("p") + 1) / 2) / F.nullif(F.col("p") * (F.col("n") - F.col("p")), F.lit(0.0))).alias("auc"))
 
@@ -115,21 +116,28 @@ def mae(df: DataFrame, y: str, yhat: str) -> DataFrame:
     return df.agg(F.avg(F.abs(F.col(y) - F.col(yhat))).alias("mae"))
 
 
-def telemetry_trailing_mean(df: DataFrame, order: str, value: str, n: int = 100) -> DataFrame:
-    """order, mean over the last n rows, at each n-th row. The series of one training run is short: one ordered window."""
-    w = Window.orderBy(order)
-    rows = df.select(order, F.avg(value).over(w.rowsBetween(1 - n, 0)).alias("trailing_mean"), F.row_number().over(w).alias("_r"))
-    return rows.where(F.col("_r") % n == 0).drop("_r")
+def telemetry_trailing_mean(df: DataFrame, order: str, value: str, n: int = 100, chunk: int = 10_000) -> DataFrame:
+    """order, mean over the last n rows, at each n-th row.
+
+    Rows are numbered and cut to chunks, each with the last rows of the one before, so that no window runs over all rows.
+    """
+    size = max(n, chunk)
+    rows = numbered(df.select(order, F.col(value).alias("_x")), order, name="_r")
+    own = F.floor(F.col("_r") / size)
+    copies = F.when(F.col("_r") % size >= size - n + 1, F.array(own, own + 1)).otherwise(F.array(own))
+    dealt = rows.withColumn("_own", own).withColumn("_chunk", F.explode(copies))
+    w = Window.partitionBy("_chunk").orderBy("_r").rowsBetween(1 - n, 0)
+    return dealt.withColumn("trailing_mean", F.avg("_x").over(w)).where((F.col("_chunk") == F.col("_own")) & ((F.col("_r") + 1) % n == 0)).select(order, "trailing_mean")
 
 
 def best_so_far(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
-    """df with best, the least value up to each row."""
-    return df.withColumn("best", F.min(value).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    """df with best, the least value up to each row; a group's rows may be in several ranges."""
+    return running(df, [order], keys=[group], least={"best": value}).select(*df.columns, "best")
 
 
 def adjacent_differences(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
     """df with diff, the value less the one before."""
-    return df.withColumn("diff", F.col(value) - F.lag(value).over(Window.partitionBy(group).orderBy(order)))
+    return neighbour(df, [order], F.col(value), "_before", [group]).withColumn("diff", F.col(value) - F.col("_before")).select(*df.columns, "diff")
 
 
 def step_decay(epoch: str | Column, factor: float, period: int) -> Column:
@@ -140,8 +148,8 @@ def step_decay(epoch: str | Column, factor: float, period: int) -> Column:
 
 def label_encode(df: DataFrame, col: str) -> DataFrame:
     """df with code, the value's place in alphabetical order from 0; null has none."""
-    codes = df.where(F.col(col).isNotNull()).select(F.col(col).alias("_v")).distinct().withColumn("code", F.row_number().over(Window.orderBy("_v")).cast("long") - 1)
-    return df.join(codes, F.col(col) == F.col("_v"), "left").drop("_v")
+    codes = numbered(df.where(F.col(col).isNotNull()).select(F.col(col).alias("_v")).distinct(), "_v", name="code")
+    return df.join(codes, F.col(col) == F.col("_v"), "left").select(*df.columns, "code")
 
 
 def one_hot(df: DataFrame, key: str, col: str, values: list[str]) -> DataFrame:
@@ -151,14 +159,15 @@ def one_hot(df: DataFrame, key: str, col: str, values: list[str]) -> DataFrame:
 
 def class_borders(df: DataFrame, x: str, y: str) -> DataFrame:
     """threshold between neighbours in order of x (then y) whose classes differ, half way between their values."""
-    w = Window.orderBy("x", "y")
-    rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).alias("y")).withColumn("_px", F.lag("x").over(w)).withColumn("_py", F.lag("y").over(w))
-    return rows.where("y <> _py").select(((F.col("x") + F.col("_px")) / 2).alias("threshold"))
+    pairs = df.select(F.col(x).cast("double").alias("x"), F.col(y).alias("y")).distinct()
+    beside = neighbour(pairs, ["x", "y"], F.struct("x", "y"), "_b")
+    return beside.where(F.col("y") != F.col("_b.y")).select(((F.col("x") + F.col("_b.x")) / 2).alias("threshold"))
 
 
 def sample_rows(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
     """About share of the rows, the same ones each time."""
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < int(share * 1_000_000))
+    bound = int(min(1.0, share) * 2**64) - 2**63
+    return df.where(F.xxhash64(F.lit(seed), F.col(key)) < F.lit(bound)) if share < 1 else df
 
 
 def elite(df: DataFrame, score: str, key: str, n: int) -> DataFrame:
@@ -174,3 +183,11 @@ def crop_windows(vector: str | Column, skip: int, size: int, seed: int = 0) -> C
     groups = F.sequence(F.lit(0), F.greatest(F.ceil(count / 4) - 1, F.lit(0)).cast("int"))
     pick = F.transform(groups, lambda g: (g * 4 + F.pmod(F.xxhash64(F.lit(seed), g), F.greatest(F.least(F.lit(4), count - g * 4), F.lit(1)))).cast("int"))
     return F.when(count > 0, F.transform(pick, lambda i: F.slice(inner, i * size + 1, F.lit(size)))).otherwise(F.array(v))
+
+
+def es_update(df: DataFrame, reward: str, noise: str, sigma: float = 0.1, rate: float = 0.01) -> DataFrame:
+    """i, step: an evolution-strategy step, the noise vectors weighted by their standardized rewards; one pass after the rewards' mean."""
+    scale = df.agg(F.avg(reward).alias("_m"), F.stddev_pop(reward).alias("_s"), F.count("*").alias("_n"))
+    weighed = df.crossJoin(F.broadcast(scale)).withColumn("_w", F.when(F.col("_s") > 0, (F.col(reward) - F.col("_m")) / F.col("_s")).otherwise(0.0))
+    long = weighed.select("_w", "_n", F.posexplode(noise).alias("i", "x"))
+    return long.groupBy("i").agg((F.lit(rate / sigma) * F.sum(F.col("_w") * F.col("x")) / F.max("_n")).alias("step"))

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import json
+import math
+import random
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ordered import neighbour, running
+
 
 def impurity(counts: list[Column], criterion: str = "gini") -> Column:
     """gini, entropy (base 2) or misclass of class counts; 0 for none."""
@@ -25,14 +29,15 @@ def impurity(counts: list[Column], criterion: str = "gini") -> Column:
 def split_scores(df: DataFrame, x: str, y: str, classes: list, criterion: str = "gini", min_samples: int = 1, group: str | None = None) -> DataFrame:
     """group?, threshold, impurity (weighted) of each border between different values where both sides have min_samples.
 
-    Rows are first counted by value, so windows run over distinct values.
+    Rows are first counted by value; sums over values in order are worked out in ranges, so that no task has them all.
     """
     keys = [group] if group else []
     counts = df.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("x")).agg(*(F.sum(F.when(F.col(y) == c, 1).otherwise(0)).alias(f"c{i}") for i, c in enumerate(classes)))
-    w = Window.partitionBy(*keys).orderBy("x")
-    every = Window.partitionBy(*keys)
     ids = range(len(classes))
-    rows = counts.select(*keys, "x", F.lead("x").over(w).alias("_next"), *(F.sum(f"c{i}").over(w).alias(f"l{i}") for i in ids), *(F.sum(f"c{i}").over(every).alias(f"t{i}") for i in ids))
+    rows = neighbour(running(counts, ["x"], {f"l{i}": f"c{i}" for i in ids}, keys), ["x"], F.col("x"), "_next", keys, ahead=True)
+    # One row for each group.
+    totals = counts.groupBy(*[F.col(k).alias("_g") for k in keys]).agg(*(F.sum(f"c{i}").alias(f"t{i}") for i in ids))
+    rows = rows.join(F.broadcast(totals), F.col(group).eqNullSafe(F.col("_g"))) if group else rows.crossJoin(F.broadcast(totals))
     left = [F.col(f"l{i}") for i in ids]
     right = [F.col(f"t{i}") - F.col(f"l{i}") for i in ids]
     nl, nr = sum(left[1:], left[0]), sum(right[1:], right[0])
@@ -48,9 +53,19 @@ def best_split(df: DataFrame, x: str, y: str, classes: list, criterion: str = "g
     return (scores.groupBy(group).agg(best) if group else scores.agg(best)).select(*([group] if group else []), "b.threshold", "b.impurity")
 
 
-def grow_tree(df: DataFrame, features: list[str], y: str, classes: list, max_depth: int = 3, min_samples: int = 2, criterion: str = "gini") -> list[dict]:
+def features_tried(features: list[str], how: str | int | None, node: int, seed: int = 1) -> list[str]:
+    """The features that a node may split on: all, or sqrt, log2 or a number of them, drawn for each node."""
+    n = len(features)
+    k = {None: n, "sqrt": max(1, int(n**0.5)), "log2": max(1, int(math.log2(n)))}.get(how, how)
+    return sorted(random.Random(seed * 1_000_003 + node).sample(features, min(n, k)))
+
+
+def grow_tree(df: DataFrame, features: list[str], y: str, classes: list, max_depth: int = 3, min_samples: int = 2, criterion: str = "gini", max_features: str | int | None = None, heuristic: bool = False, seed: int = 1) -> list[dict]:
     """Nodes (id, feature, threshold, counts); children of i are 2i+1 (at or below the threshold) and 2i+2.
 
+    max_features: features_tried() at each node. heuristic: the only threshold tried is half way between the means of a feature
+    over the first class and over the others, which takes one aggregate and no order.
+
     A level is one pass over all rows and features; the driver holds one row a node.
     """
     nodes: list[dict] = []
@@ -63,8 +78,11 @@ def grow_tree(df: DataFrame, features: list[str], y: str, classes: list, max_dep
         sums = {r["_node"]: [r[f"c{i}"] for i in range(len(classes))] for r in rows.groupBy("_node").agg(*(F.sum(F.when(F.col(y) == c, 1).otherwise(0)).alias(f"c{i}") for i, c in enumerate(classes))).collect()}
         best: dict[int, tuple] = {}
         if depth < max_depth:
+            tried = {i: features_tried(features, max_features, i, seed) for i in where}
             for f in features:
-                for r in best_split(rows, f, y, classes, criterion, min_samples, "_node").collect():
+                open_ = rows.where(F.col("_node").isin([i for i in where if f in tried[i]]))
+                split = _mean_split if heuristic else best_split
+                for r in split(open_, f, y, classes, criterion, min_samples, "_node").collect() if any(f in t for t in tried.values()) else ():
                     best[r["_node"]] = min(best.get(r["_node"], (9.0,)), (round(r["impurity"], 12), f, r["threshold"]))
         below: dict[int, Column] = {}
         for i, counts in sorted(sums.items()):
@@ -79,6 +97,21 @@ def grow_tree(df: DataFrame, features: list[str], y: str, classes: list, max_dep
     return nodes
 
 
+def _mean_split(df: DataFrame, x: str, y: str, classes: list, criterion: str, min_samples: int, group: str) -> DataFrame:
+    """group, threshold, impurity of the threshold between two classes' means."""
+    rows = df.where(F.col(x).isNotNull()).select(F.col(group), F.col(x).cast("double").alias("x"), F.col(y).alias("y"))
+    first = F.col("y") == classes[0]
+    cut = rows.groupBy(group).agg(((F.avg(F.when(first, F.col("x"))) + F.avg(F.when(~first, F.col("x")))) / 2).alias("threshold")).where("threshold is not null")
+    ids = range(len(classes))
+    side = lambda name, holds: [F.sum(F.when(holds & (F.col("y") == classes[i]), 1).otherwise(0)).alias(f"{name}{i}") for i in ids]
+    above = F.col("x") > F.col("threshold")
+    sums = rows.join(F.broadcast(cut), group).groupBy(group, "threshold").agg(*side("l", ~above), *side("r", above))
+    left, right = ([F.col(f"{n}{i}") for i in ids] for n in "lr")
+    nl, nr = sum(left[1:], left[0]), sum(right[1:], right[0])
+    score = (impurity(left, criterion) * nl + impurity(right, criterion) * nr) / (nl + nr)
+    return sums.where((nl >= min_samples) & (nr >= min_samples)).select(group, "threshold", score.alias("impurity"))
+
+
 def tree_column(nodes: list[dict], classes: list) -> Column:
     """The class that a tree gives, as one conditional."""
     by_id = {n["id"]: n for n in nodes}

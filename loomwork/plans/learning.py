@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import features as fx
-from ..operators import cluster, ctr, models, stats, tree
+from ..operators import cluster, ctr, kernels, ltr, models, stats, tree
 from ..sources.readers import rename_columns
 from ..storage import work_path
 from .book import Book, Tables
@@ -40,6 +40,13 @@ def judged(t: Tables) -> DataFrame:
 JUDGED = "j AS (SELECT *, 0.05 + 0.9 * (n_chars % 97) / 97 AS p FROM documents JOIN labels USING (doc_id))"
 
 
+def judged_lists(t: Tables) -> DataFrame:
+    """Documents of a source and tens of ids as candidates of one query."""
+    upper = F.length("text") - F.length(F.regexp_replace("text", "[A-Z]", ""))
+    lists = F.concat_ws("-", "source", F.floor(F.col("doc_id") / 10).cast("string"))
+    return t.documents.join(t.labels, "doc_id").select(lists.alias("qid"), F.col("doc_id").alias("doc"), (F.col("quality") + F.col("toxic")).cast("double").alias("rel"), F.col("n_chars").cast("double").alias("score0"), (upper / F.greatest("n_chars", F.lit(1))).alias("upper"))
+
+
 def ffm_rows(lineitem: DataFrame, *twin: str) -> DataFrame:
     node = lambda f, j: F.struct(F.lit(f).cast("int").alias("f"), j.cast("int").alias("j"), F.lit(1.0).alias("v"))
     return lineitem.select(F.concat_ws("-", "l_orderkey", "l_linenumber", *twin).alias("id"), F.when(F.col("l_discount") > 0.05, 1).otherwise(0).alias("y"),
@@ -80,8 +87,8 @@ def _clicks(book: Book) -> None:
     book.add("e20_group_buckets", lambda t: t.orders.select("o_orderkey", F.array(*((F.col("o_orderkey") * k + k) % 60 for k in (1, 3, 7, 11))).alias("v")).select("o_orderkey", *(c.alias(f"b{i}") for i, c in enumerate(fx.bucket_groups("v", [list(range(s, s + 10)) for s in range(0, 50, 10)])))),
              "WITH v AS (SELECT o_orderkey, list_transform([1, 3, 7, 11], lambda k: (o_orderkey * k + k) % 60) AS v FROM orders) SELECT o_orderkey, " + ", ".join(f"array_to_string(list_sort(list_transform(list_filter(v, lambda x: x BETWEEN {s} AND {s + 9}), lambda x: CAST(x AS VARCHAR))), ',') AS b{i}" for i, s in enumerate(range(0, 60, 10))) + " FROM v")
     book.add("e20_crc32", lambda t: t.orders.select("o_orderkey", fx.crc32_text("o_orderpriority").alias("crc")))
-    book.add("e21_soft_log_bins", lambda t: t.customer.select("c_custkey", fx.soft_log_bins(F.floor("c_acctbal") % 100).alias("bins")).select("c_custkey", F.split(F.split("bins", " ")[0], ":")[0].alias("low")),
-             "SELECT c_custkey, CASE WHEN x < 0 THEN 'NA' WHEN x = 0 THEN '0' ELSE CAST(CAST(floor(1.4 * ln(1 + x)) AS BIGINT) AS VARCHAR) END AS low FROM (SELECT c_custkey, CAST(floor(c_acctbal) AS BIGINT) % 100 AS x FROM customer)")
+    book.add("e21_soft_log_bins", lambda t: _soft_bins(t),
+             "WITH x AS (SELECT c_custkey, CAST(floor(c_acctbal) AS BIGINT) % 100 AS v, s FROM customer, (VALUES (0), (3)) z(s)), y AS (SELECT *, v + s AS x, 1.4 * ln(1 + greatest(v + s, 0)) AS y FROM x) SELECT c_custkey, s AS shift, CASE WHEN x < 0 THEN 'NA' WHEN x = 0 THEN '0' ELSE CAST(CAST(floor(y) AS BIGINT) AS VARCHAR) END AS low, CASE WHEN x > 0 THEN round(1 - (y - floor(y)), 4) END AS low_weight, CASE WHEN x > 0 THEN CAST(floor(y) AS BIGINT) + 1 END AS up, CASE WHEN x > 0 THEN round(y - floor(y), 4) END AS up_weight FROM y")
     book.add("e22_rare_replace", lambda t: t.orders.join(t.orders.groupBy("o_custkey").agg(F.count("*").alias("n")), "o_custkey").select("o_orderkey", fx.rare_replace("o_custkey", "n", "C1", 12).alias("v")),
              "SELECT o_orderkey, CASE WHEN count(*) OVER (PARTITION BY o_custkey) >= 12 THEN CAST(o_custkey AS VARCHAR) ELSE 'C1less' END AS v FROM orders")
     book.add("e23_ffm_features", lambda t: t.orders.select("o_orderkey", fx.ffm_features({"0": "o_orderstatus", "1": "o_orderpriority"}).alias("line")),
@@ -98,7 +105,8 @@ def _clicks(book: Book) -> None:
                [CAST(l_linenumber AS BIGINT), 100 + l_suppkey % 10, 200 + CAST(l_quantity AS BIGINT) % 10] AS j FROM lineitem),
              s AS (SELECT id, sum(list_sum([((j[a] * 7 + (b - 1) * 3 + k) % 11) / 10.0 * (((j[b] * 7 + (a - 1) * 3 + k) % 11) / 10.0) for k in [0, 1, 2, 3]])) / 3 AS t FROM r, (VALUES (1, 2), (1, 3), (2, 3)) x(a, b) GROUP BY id)
              SELECT id, round(1 / (1 + exp(-t)), 6) AS p FROM s""")
-    book.add("e31_quadratic_pairs", lambda t: t.nation.select("n_nationkey", F.array_join(fx.quadratic_pairs(F.split("n_name", "")), " ").alias("pairs")).select("n_nationkey", F.md5("pairs").alias("pairs")))
+    book.add("e31_quadratic_pairs", lambda t: t.nation.select("n_nationkey", F.array_join(fx.quadratic_pairs(F.filter(F.split("n_name", ""), lambda x: x != "")), " ").alias("pairs")).select("n_nationkey", F.md5("pairs").alias("pairs")),
+             "WITH s AS (SELECT n_nationkey, string_split(n_name, '') AS v FROM nation) SELECT n_nationkey, md5(array_to_string(flatten(list_transform(range(1, len(v) + 1), lambda i: list_transform(range(i + 1, len(v) + 1), lambda j: v[i] || '*' || v[j]))), ' ')) AS pairs FROM s")
     book.add("e28_levenshtein_kernel", lambda t: t.nation.select(F.col("n_name").alias("a")).crossJoin(t.nation.select(F.col("n_name").alias("b"))).select("a", "b", F.round(fx.rbf_levenshtein("a", "b"), 6).alias("k")),
              "SELECT a.n_name AS a, b.n_name AS b, round(exp(-0.1 * pow(levenshtein(a.n_name, b.n_name), 2)), 6) AS k FROM nation a, nation b")
     book.add("q16_split_by_time", lambda t: ctr.train_test_split_at(t.orders, "o_orderkey", 500).groupBy("part").agg(F.count("*").alias("n")), "SELECT CASE WHEN o_orderkey < 500 THEN 'train' ELSE 'test' END AS part, count(*) AS n FROM orders GROUP BY 1")
@@ -106,6 +114,13 @@ def _clicks(book: Book) -> None:
     book.add("j12_row_numbers", lambda t: ctr.row_numbers(t.nation.select("n_name"), "n_name"), "SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS row FROM nation")
 
 
+def _soft_bins(t: Tables) -> DataFrame:
+    value = F.floor(F.col("c_acctbal")) % 100
+    rows = t.customer.select("c_custkey", F.explode(F.array(*(F.struct(F.lit(s).alias("shift"), fx.soft_log_bins(value, s).alias("b")) for s in (0, 3)))).alias("x")).select("c_custkey", "x.shift", F.split("x.b", "[ :]").alias("p"))
+    number = lambda i, kind: F.get("p", F.lit(i)).cast(kind)
+    return rows.select("c_custkey", "shift", F.get("p", F.lit(0)).alias("low"), number(1, "double").alias("low_weight"), number(2, "long").alias("up"), number(3, "double").alias("up_weight"))
+
+
 def _stats(book: Book) -> None:
     book.add("a17_zscore", lambda t: stats.zscore(t.customer.select("c_custkey", "c_acctbal"), ["c_acctbal"]).select("c_custkey", F.round("z_c_acctbal", 6).alias("z")), "SELECT c_custkey, round((c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER (), 6) + 0.0 AS z FROM customer")
     book.add("a18_group_profile", lambda t: stats.group_profile(t.customer, "c_mktsegment", ["c_acctbal", "c_nationkey"]).select("c_mktsegment", "n", F.round("mean_c_acctbal", 6).alias("b"), F.round("mean_c_nationkey", 6).alias("k")),
@@ -203,6 +218,11 @@ def _models(book: Book) -> None:
     book.add("g9_hashed_logistic", lambda t: models.hashed_logistic(clicks(t).select("l_orderkey", "l_returnflag", "l_suppkey", "y"), ["l_returnflag", "l_suppkey"], "y", bits=12))
     book.add("g13_l1_logistic", lambda t: models.l1_logistic(clicks(t).select("l_orderkey", "l_quantity", "l_extendedprice", "y"), ["l_quantity", "l_extendedprice"], "y"))
     book.add("g14_svm_grid", lambda t: models.svm_grid(t.embeddings.select("embedding", F.when(F.col("label") < 5, 1).otherwise(0).alias("y")), "embedding", "y", (0.1, 1.0), folds=2))
+    book.add("g14_kernel_grid", lambda t: kernels.grid(t.embeddings.select("embedding", F.when(F.col("label") < 5, 1).otherwise(0).alias("y")), "embedding", "y", c_values=(1.0,), folds=2, most=300))
+    book.add("g6_boosted_ranking", lambda t: ltr.boost(judged_lists(t), ["score0", "upper"], rounds=2, depth=2)[0].select("qid", "doc", F.round("score", 6).alias("score")))
+    book.add("g17_es_step", lambda t: stats.es_update(t.embeddings, "label", "embedding").select(F.col("i").cast("long").alias("i"), F.round("step", 6).alias("step")),
+             "WITH m AS (SELECT avg(label) AS m, stddev_pop(label) AS s, count(*) AS n FROM embeddings), l AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(generate_series(1, len(embedding))) AS i FROM embeddings) SELECT i - 1 AS i, round(0.1 * sum((label - m) / s * x) / max(n), 6) + 0.0 AS step FROM l, m GROUP BY i")
+    book.add("e27_learned_vocabulary", lambda t: models.vocabulary(t.documents, 50), r"""SELECT word, count(*) AS n FROM (SELECT lower(unnest(regexp_extract_all(text, '\p{L}+'))) AS word FROM documents) GROUP BY word ORDER BY n DESC, word LIMIT 50""")
     book.add("g15_pca", lambda t: models.principal_components(t.embeddings, "vec_id", "embedding"))
     book.add("g15_lda", lambda t: models.lda_predict(t.embeddings, "vec_id", "embedding", "label"))
 

@@ -191,3 +191,47 @@ def read_document_stream(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["url", "body", "text"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "url string, body string, text string")
+
+
+def write_positional_tf(tf: DataFrame, path: str) -> None:
+    """doc_id, word, positions as text: a folder for each document, a line for each word (word, count, places), its length last."""
+    lines = tf.select("doc_id", F.lit(0).alias("_o"), "word", F.concat_ws("\t", "word", F.size("positions").cast("string"), F.array_join(F.transform("positions", lambda x: x.cast("string")), " ")).alias("value"))
+    length = tf.groupBy("doc_id").agg(F.sum(F.size(F.filter("positions", lambda p: p > 0))).cast("string").alias("value")).select("doc_id", F.lit(1).alias("_o"), F.lit("").alias("word"), "value")
+    rows = lines.union(length).repartition("doc_id").sortWithinPartitions("doc_id", "_o", "word")
+    rows.select("doc_id", "value").write.mode("overwrite").partitionBy("doc_id").text(path)
+
+
+def read_positional_tf(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, word, positions of what write_positional_tf() wrote; lines that hold a length alone are left out."""
+    parts = F.split("value", "\t")
+    rows = spark.read.text(path).where(F.size(parts) == 3)
+    return rows.select("doc_id", parts[0].alias("word"), F.transform(F.split(parts[2], " "), lambda x: x.cast("int")).alias("positions"))
+
+
+def write_corpus_stats(stats: DataFrame, path: str) -> None:
+    """word, count_documents, count_in_corpus as tab-separated lines, the total last in a file of its own."""
+    stats.select("word", "count_documents", "count_in_corpus").write.mode("overwrite").csv(path, sep="\t")
+    stats.agg(F.sum("count_in_corpus").cast("string").alias("value")).coalesce(1).write.mode("append").text(path)
+
+
+def read_wave(spark: SparkSession, path: str) -> DataFrame:
+    """path, label (its folder), samplerate, duration in seconds and samples (mono, as doubles from -1 to 1) of 16-bit wave files."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+        import wave
+
+        import numpy as np
+
+        for batch in batches:
+            rows = []
+            for name, raw in zip(batch["path"], batch["content"], strict=True):
+                with wave.open(io.BytesIO(raw)) as w:
+                    if w.getsampwidth() != 2:
+                        raise ValueError(f"{name}: {8 * w.getsampwidth()} bits a sample, not 16")
+                    x = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels()).mean(axis=1) / 32768
+                    rows.append((name, w.getframerate(), w.getnframes() / w.getframerate(), x.tolist()))
+            yield pd.DataFrame(rows, columns=["path", "samplerate", "duration", "samples"])
+
+    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, samplerate int, duration double, samples array<double>")
+    return found.select("path", path_label("path").alias("label"), "samplerate", "duration", "samples")
