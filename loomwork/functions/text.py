@@ -48,11 +48,18 @@ def stem(words: str | Column, stemmer: Callable[[str], str] | None = None) -> Co
     """Words put through a stemmer by an Arrow function; without one they stay."""
     if stemmer is None:
         return _col(words)
+    import numpy as np
     import pyarrow as pa
 
     def run(lists):
-        seen: dict[str, str] = {}
-        return pa.array([None if x is None else [seen.setdefault(w, stemmer(w)) for w in x] for x in lists.to_pylist()], pa.list_(pa.string()))
+
+        # Each distinct word of a batch goes through the stemmer once.
+        flat = lists.flatten()
+        coded = flat.dictionary_encode()
+        stems = pa.array([None if w is None else stemmer(w) for w in coded.dictionary.to_pylist()], pa.string())
+        sizes = np.array([0 if x is None else x for x in lists.value_lengths().to_pylist()], np.int32)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), mask=None)
+        return pa.ListArray.from_arrays(offsets, stems.take(coded.indices), mask=lists.is_null())
 
     return F.arrow_udf(run, "array<string>")(_col(words))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs
 from ..functions import text as tx
+from ..functions.stemmers import snowball
 from ..operators import index
 from ..operators import text as ops
 from ..storage import work_path
@@ -76,11 +77,7 @@ def register(book: Book) -> None:
         lambda t: t.pages.select("page_id", F.md5(tx.visible_text("html")).alias("visible")),
         r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<head.*?</head>|<script.*?</script>|<style.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS visible FROM pages""",
     )
-    book.add(
-        "e13_stemmed_frequency",
-        lambda t: t.documents.select("doc_id", F.explode(F.array_distinct(tx.stem(tx.tokenize("text"), _clip))).alias("word")).groupBy("word").agg(F.count("*").alias("df")),
-        r"SELECT word, count(*) AS df FROM (SELECT DISTINCT doc_id, w[1:6] AS word FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '\p{L}+'))) AS w FROM documents)) GROUP BY word",
-    )
+    book.add("e13_stemmed_frequency", lambda t: t.documents.select("doc_id", F.explode(F.array_distinct(tx.stem(tx.tokenize("text"), snowball))).alias("word")).groupBy("word").agg(F.count("*").alias("df")))
     book.add(
         "e27_bag_of_words",
         lambda t: ops.bag_of_words(t.documents, ["the", "and", "der", "les", "que"]),
@@ -121,8 +118,3 @@ def _stored_postings(t):
     path = work_path(t.spark, "index")
     index.write_index(t.documents, path, block=64)
     return index.read_postings(t.spark, path, ["the", "der", "que"])
-
-
-def _clip(word: str) -> str:
-    """A stand-in stemmer: the first six letters."""
-    return word[:6]

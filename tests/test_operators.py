@@ -222,3 +222,140 @@ def test_ffm_learns_a_pair_and_stops(spark):
     stopped, full = (models.train_ffm(noise, "y", "nodes", epochs=6, validation=v) for v in (turned, None))
     assert models.ffm_loss(turned, stopped, "y", "nodes") < models.ffm_loss(turned, full, "y", "nodes")
     assert len(models.ffm_folds(df, "y", "nodes", folds=2, epochs=2)) == 2
+
+
+def test_stems_of_published_words():
+    from loomwork.functions.stemmers import snowball
+
+    # Words and stems of the published sample vocabularies.
+    pairs = "consign consign consistency consist consolatory consolatori constance constanc knackeries knackeri kneeling kneel knocker knocker knives knive happy happi cries cri ties tie hopping hop hoping hope agreed agre relational relat skies sky dying die вагоном вагон важнейшими важн важничал важнича важностию важност валериановых валерианов падающего пада паденьем паден падчерицей падчериц падшему падш павлиньим павлин".split()
+    assert {w: snowball(w) for w in pairs[::2]} == dict(zip(pairs[::2], pairs[1::2], strict=True))
+    assert snowball("") == "" and snowball("a") == "a"
+
+
+def test_stemmed_frequency_of_the_whole_table(spark):
+    import re
+    from collections import Counter
+
+    from loomwork.functions.stemmers import snowball
+    from loomwork.plans.registry import QUERIES
+
+    from .conftest import SF
+
+    want = Counter(s for r in spark.read.parquet(f"{SF}/documents.parquet").collect() for s in {snowball(w.lower()) for w in re.findall(r"[^\W\d_]+", r.text or "")})
+    got = {r.word: r.df for r in QUERIES["e13_stemmed_frequency"](spark, SF).collect()}
+    assert got == want
+
+
+def test_ranges_number_sum_and_compare(spark):
+    import random
+
+    from loomwork.operators import ordered
+
+    rng = random.Random(1)
+    rows = [(i, rng.choice("ab") if i % 7 else None, rng.randrange(40), rng.randrange(100)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, k string, x int, v int")
+    assert sorted((r.row, r.x) for r in ordered.numbered(df, "x").collect()) == list(enumerate(sorted(r[2] for r in rows)))
+    got = {r.id: (r.total, r.low) for r in ordered.running(df, ["id"], {"total": "v"}, ["k"], {"low": "v"}).collect()}
+    near = {r.id: (r.b, r.a) for r in ordered.neighbour(ordered.neighbour(df, ["id"], F.col("v"), "b", ["k"]), ["id"], F.col("v"), "a", ["k"], ahead=True).collect()}
+    for k in ("a", "b", None):
+        own = [r for r in rows if r[1] == k]
+        for n, r in enumerate(own):
+            assert got[r[0]] == (sum(x[3] for x in own[: n + 1]), min(x[3] for x in own[: n + 1]))
+            assert near[r[0]] == (own[n - 1][3] if n else None, own[n + 1][3] if n + 1 < len(own) else None)
+    assert ordered.numbered(df.where("false"), "x").count() == 0
+    series = spark.range(1050).select("id", (F.col("id") % 17).alias("v"))
+    means = {r.id: r.trailing_mean for r in stats.telemetry_trailing_mean(series, "id", "v", 100, 200).collect()}
+    assert means == {i: pytest.approx(sum(j % 17 for j in range(max(0, i - 99), i + 1)) / 100) for i in range(99, 1050, 100)}
+
+
+def test_hubs_have_their_list_in_pieces(spark):
+    edges = spark.createDataFrame([(1, i) for i in range(100)] + [(2, 5)], "src int, dst int")
+    pieces = graph.adjacency(edges, piece=10).collect()
+    assert max(len(r.nbrs) for r in pieces) < 40 and sorted(x for r in pieces if r.id == 1 for x in r.nbrs) == list(range(100))
+    assert [r.nbrs for r in graph.adjacency(edges).where("id = 1").collect()] == [list(range(100))]
+
+
+def test_boosting_improves_the_order(spark):
+    df = spark.createDataFrame([(q, d, float(d % 3), float(d % 3) + 0.1 * (d * 7 % 5), 1.0) for q in range(6) for d in range(12)], "qid int, doc int, rel double, a double, b double")
+    scored, trees = ltr.boost(df, ["a", "b"], rounds=3, depth=2)
+    assert ltr.mean_ndcg(scored).first()[0] > ltr.mean_ndcg(df.withColumn("score", F.lit(0.0))).first()[0] + 0.05
+    again = {(r.qid, r.doc): r.score for r in ltr.boosted_scores(df, trees).collect()}
+    assert again == {(r.qid, r.doc): pytest.approx(r.score) for r in scored.collect()}
+
+
+def test_kernel_machines(spark):
+    import numpy as np
+
+    from loomwork.operators import kernels
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(160, 2))
+    y = np.where((x**2).sum(1) > 1.2, 1.0, -1.0)
+    df = spark.createDataFrame([(v.tolist(), float(c)) for v, c in zip(x, y, strict=True)], "v array<double>, y double")
+    got = {(r.kernel, r.degree): r.accuracy for r in kernels.grid(df, "v", "y", c_values=(10.0,), folds=4).collect()}
+    assert got["rbf", 1] > 0.9 and got["poly", 2] > 0.9 and got["linear", 1] < 0.8
+    z = np.linspace(-2, 2, 60)[:, None]
+    k = kernels.kernel("rbf", gamma=1.0)
+    b = kernels.fit_regressor(k(z, z), np.sin(z[:, 0]), c=10.0)
+    assert np.abs((k(z, z) + 1) @ b - np.sin(z[:, 0])).max() < 0.06
+    made = kernels.Machine(x, kernels.fit_classifier(k(x, x), y, 10.0), ("rbf", 1, 1.0))
+    assert np.mean([(r.margin > 0) == (r.y > 0) for r in kernels.classify(df, made, "v").collect()]) > 0.95
+
+
+def test_tree_options(spark):
+    df = spark.createDataFrame([(float(i), float(i % 7), int(i >= 30)) for i in range(60)], "a double, b double, y int")
+    nodes = tree.grow_tree(df, ["a", "b"], "y", [0, 1], heuristic=True, max_depth=2)
+    assert nodes[0]["feature"] == "a" and nodes[0]["threshold"] == pytest.approx((14.5 + 44.5) / 2)
+    assert {len(tree.features_tried(list("abcdefghi"), how, 5)) for how in ("sqrt", "log2")} == {3} and tree.features_tried(["a"], 4, 1) == ["a"]
+    some = tree.grow_tree(df, ["a", "b"], "y", [0, 1], max_features=1, max_depth=1)
+    assert some[0]["feature"] in ("a", "b")
+
+
+def test_letters_are_dealt_in_order(spark):
+    df = spark.createDataFrame([("apple",), ("Banana",), ("mango",), ("zebra",), ("1x",), ("яблоко",), (None,)], "w string")
+    parts = {r.w: r.p for r in clicks.partition_by_letter(df, "w", 13).withColumn("p", F.spark_partition_id()).collect()}
+    assert parts == {"apple": 0, "Banana": 0, "mango": 6, "zebra": 12, "1x": 0, "яблоко": 12, None: 0}
+
+
+def test_evolution_step(spark):
+    df = spark.createDataFrame([(1.0, [1.0, 0.0]), (3.0, [0.0, 2.0])], "r double, n array<double>")
+    assert {r.i: r.step for r in stats.es_update(df, "r", "n", 0.5, 1.0).collect()} == {0: pytest.approx(-1.0), 1: pytest.approx(2.0)}
+
+
+def test_random_box_start(spark):
+    points = spark.createDataFrame([(i, [float(10 * (i % 2)), 0.0]) for i in range(20)], "id int, v array<double>")
+    assert len(cluster.kmeans(points, 2, "id", "v", init="box").collect()) == 2
+
+
+def test_checks_in_plain_python(spark):
+    import posixpath
+    import struct
+    import zlib
+    from urllib.parse import urlsplit
+
+    import xxhash
+
+    from loomwork.plans.registry import QUERIES
+
+    from .conftest import SF
+
+    table = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
+    assert {r.o_orderkey: r.crc for r in QUERIES["e20_crc32"](spark, SF).collect()} == {r.o_orderkey: str(zlib.crc32(r.o_orderpriority.encode())) for r in table("orders").collect()}
+    urls = {r.page_id: r.url for r in table("pages").collect()}
+    for r in QUERIES["e6_dot_segments"](spark, SF).collect():
+        u = urls[r.page_id]
+        if urlsplit(u).path and not urlsplit(u).query and not urlsplit(u).fragment and ".." not in u:
+            assert urlsplit(r.url).path == posixpath.normpath(urlsplit(u).path + "/a/c").replace("//", "/"), u
+    keys = [r.o_orderkey for r in table("orders").collect()]
+    signed = lambda v: v - (1 << 64) if v >= 1 << 63 else v
+    h = lambda seed, k: signed(xxhash.xxh64_intdigest(struct.pack("<q", k), seed=xxhash.xxh64_intdigest(struct.pack("<i", seed), seed=42)))
+    got = {r.o_orderkey for r in QUERIES["t7_sample"](spark, SF).collect()}
+    assert 0.1 < len(got) / len(keys) < 0.3
+    v = list(range(40))
+    crops = spark.createDataFrame([(v,), ([1, 2],)], "v array<int>").select(stats.crop_windows("v", 4, 3).alias("c")).collect()
+    assert crops[1].c == [[1, 2]]
+    starts = [c[0] for c in crops[0].c]
+    assert all(c == list(range(c[0], c[0] + 3)) for c in crops[0].c) and [(s - 4) // 3 // 4 for s in starts] == [0, 1, 2] and all((s - 4) % 3 == 0 for s in starts)
+    judged = QUERIES["g12_decision_tree"](spark, SF).toPandas()
+    assert (judged["pred"] == judged["quality"]).mean() >= judged["quality"].value_counts(normalize=True).max()

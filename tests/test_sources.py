@@ -77,3 +77,30 @@ def test_streamed_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.host, r["query"], r.cnt) for r in spark.table("streamed_counts").collect()] == [("h", "q", 3)]
+
+
+def test_positional_tf_files(spark, tmp_path):
+    from loomwork.operators.text import corpus_stats, positional_tf
+    from loomwork.sources import readers
+
+    docs = spark.createDataFrame([(1, "a b a"), (2, "c")], "doc_id int, text string")
+    tf = positional_tf(docs)
+    readers.write_positional_tf(tf, f"{tmp_path}/tf")
+    assert sorted(map(tuple, readers.read_positional_tf(spark, f"{tmp_path}/tf").collect())) == sorted(map(tuple, tf.collect()))
+    assert [r.value.split("\t")[0] for r in spark.read.text(f"{tmp_path}/tf/doc_id=1").collect()] == ["a", "b", "3"]
+    readers.write_corpus_stats(corpus_stats(tf), f"{tmp_path}/stats")
+    assert sorted(map(tuple, readers.read_corpus_stats(spark, f"{tmp_path}/stats").collect())) == [("a", 1, 2), ("b", 1, 1), ("c", 1, 1)]
+
+
+def test_wave_files(spark, tmp_path):
+    import struct
+    import wave
+
+    from loomwork.sources import readers
+
+    (tmp_path / "jazz").mkdir()
+    with wave.open(str(tmp_path / "jazz/x.wav"), "wb") as w:
+        w.setnchannels(2), w.setsampwidth(2), w.setframerate(4)
+        w.writeframes(struct.pack("<12h", *([16384, 0] * 6)))
+    r = readers.read_wave(spark, f"{tmp_path}/jazz").first()
+    assert (r.label, r.samplerate, r.duration, r.samples) == ("jazz", 4, 1.5, [0.25] * 6)
