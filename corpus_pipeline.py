@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; all but the last return the
 columns of documents. ``run`` applies them to the documents table, writing and rereading each stage's result.
+
+Defined results: an empty table stays empty in every stage; columns that are not of documents, whatever their names, pass through
+all stages; repeated rows are judged alike by the first stage, and the second keeps one row of each id. A null text has no
+words and is rejected by the first stage; of a stage by itself, null texts are no copies, hold no passage and have size 0. A
+null id keeps a row from the removal of copies, a null source is a source like any other and the last. Very long texts go
+through every stage whole.
 """
 
 from __future__ import annotations
