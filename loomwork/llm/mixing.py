@@ -11,11 +11,12 @@
 4. Slots join the pieces of documents that lie in their block.
 
 Ranks and running sums are worked out in two steps (within buckets of bounded size, then over bucket totals), so no source's
-rows meet in one task. Everything is built-in expressions; only the number of slots reaches the driver.
+rows meet in one task; the list of sources, a row each, is ordered in one. Everything is built-in expressions; only the number
+of slots reaches the driver.
 
 Defined results: null or wordless texts have size 0 and are never taken; a null source is one source, the last; repeated rows
 are documents of their own (which of them a cut falls on is arbitrary, the set of results is not); an empty table gives no
-rows; ``mixed_documents`` keeps other columns as they are, whatever their names.
+rows; very long texts are cut over many blocks and come back whole but for a source's last; ``mixed_documents`` keeps other columns as they are, whatever their names.
 """
 
 from __future__ import annotations

@@ -5,8 +5,9 @@ the shards take turns to claim their next free slot, a shard of weight w claimin
 (``table_size`` rows, a parameter of at most ``MAX_TABLE``) and a row goes to slot ``hash(key) mod table_size``: no shuffle,
 and no shard gets more than its part of the keys, however they are distributed.
 
-Defined results: keys are placed by their string form, so repeated rows share a shard; a null key is placed like the empty
-string; an empty table gives no rows; input columns named ``slot`` or ``shard`` are replaced.
+Defined results: keys are placed by their string form, so repeated rows and ties share a shard; a null key is placed like the
+empty string; very long keys and texts are of no account; an empty table gives no rows; input columns named ``slot`` or ``shard``
+are replaced, others are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -73,8 +74,8 @@ def place(df: DataFrame, key: str = "doc_id", shards: list[str] | dict[str, int]
     # The table travels as one array of a few hundred kilobytes and is unfolded by Spark.
     slots = spark.createDataFrame([(filled, names)], "filled array<int>, names array<string>").select(F.posexplode("filled").alias("slot", "_i"), "names")
     lookup = slots.select("slot", F.get("names", F.col("_i")).alias("shard"))
-    base = df.drop("slot", "shard")
-    return base.withColumn("slot", slot(key, table_size)).join(F.broadcast(lookup), "slot", "left").select(*base.columns, "slot", "shard")
+    base, back = common.inner_names(df.drop("slot", "shard"), key)
+    return base.withColumn("slot", slot(F.col(f"`{key}`"), table_size)).join(F.broadcast(lookup), "slot", "left").select(*back, "slot", "shard")
 
 
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", shards: list[str] | dict[str, int] | None = None, table_size: int = TABLE_SIZE) -> None:

@@ -13,7 +13,7 @@ splits where a digest is frequent.
 
 Defined results: a null payload is empty; rows that repeat a key and payload are each a record of the same kind; a null key
 never is what others refer to unless all are null, and is read back as null; an empty table gives no rows; other columns are
-not archived. A faulty record is read as a row with ``error`` and nulls, and a damaged frame ends its file with such a row
+not archived; very long payloads are records like any other, held one at a time. A faulty record is read as a row with ``error`` and nulls, and a damaged frame ends its file with such a row
 (``strict`` raises instead).
 """
 
@@ -274,13 +274,17 @@ def read_archives(archives: DataFrame, payloads: bool = True, strict: bool = Fal
         out = pd.DataFrame(rows, columns=names)
         return out.astype({c: "Int64" for c in ("record_id", "refers_to", "payload_bytes")})
 
-    spark = archives.sparkSession
-    tasks = max(1, spark.sparkContext.defaultParallelism)
-    return archives.select("archive").repartition(tasks).mapInPandas(run, RECORD)
+    # A task an archive: those are of about the same size, whatever the number of cores.
+    return archives.select("archive").repartition(max(1, archives.count())).mapInPandas(run, RECORD)
 
 
 def list_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """archive: the .warc.zst files below folder, found by Spark's own listing."""
+    """The manifest (archive, records, bytes) of what write_archives() wrote to folder: files of tasks that ran twice aren't in it."""
+    return spark.read.parquet(folder + "-manifest")
+
+
+def find_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """archive: all .warc.zst files below a folder that others wrote, found by Spark's own listing."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").option("recursiveFileLookup", "true").load(folder)
     return found.select(F.col("path").alias("archive"))
 

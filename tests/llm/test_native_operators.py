@@ -432,3 +432,35 @@ def test_learned_list_does_not_depend_on_order(spark):
 def test_statistics_keep_columns_with_odd_names(spark):
     df = spark.createDataFrame([("a b", 1, 2)], "text string, `a.b` int, _w int")
     assert quality_rules.text_statistics(df).columns == ["text", "a.b", "_w", *quality_rules.BASE, "n_upper"]
+
+
+def plain_fill(names, size):
+    """The table by whole preference orders: shards in turn take the first slot of theirs that is free."""
+    import hashlib
+
+    number = lambda name, seed: int(hashlib.sha256(f"{seed}:{name}".encode()).hexdigest()[:16], 16)
+    orders = [[(number(n, "offset") + k * (number(n, "stride") % (size - 1) + 1)) % size for k in range(size)] for n in names]
+    table = {}
+    while len(table) < size:
+        for i, order in enumerate(orders):
+            free = next((s for s in order if s not in table), None)
+            if free is not None:
+                table[free] = i
+    return [table[s] for s in range(size)]
+
+
+@pytest.mark.parametrize(("shards", "size"), [(1, 2), (3, 7), (7, 101), (16, 499)])
+def test_table_is_filled_by_turns(shards, size):
+    names = sharding.shard_names(shards)
+    assert sharding.lookup_table(names, size) == plain_fill(names, size)
+
+
+def test_operators_keep_columns_with_odd_names(spark):
+    df = spark.createDataFrame([(1, "a b", "s", 2, "x" * 400_000), (None, "c " * 70_000, None, 3, "y")], "doc_id long, text string, source string, `a.b` int, slot string")
+    placed = sharding.place(df)
+    assert placed.columns == ["doc_id", "text", "source", "a.b", "slot", "shard"] and placed.count() == 2
+    mixed = mixing.mixed_documents(df)
+    assert mixed.columns == df.columns and {r["a.b"] for r in mixed.collect()} == {2, 3}
+    assert sum(len(WORD.findall(r.text)) for r in mixed.collect()) == pytest.approx(1.5 * 70_002, abs=300)
+    dropped = line_dedup.drop_recurring(df)
+    assert dropped.columns == [*df.columns, "n_lines", "n_dropped"]
