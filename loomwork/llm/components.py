@@ -8,17 +8,27 @@ from pyspark.sql import functions as F
 from . import common
 
 
+#: Joins run on ids XOR this: Spark then deals out both sides anew, and can split the rows of a hub that many nodes link to, which
+#: it can't where one side comes straight from an aggregate.
+_KEY = 0x5A5A5A5A5A5A5A5A
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    key = F.col("u").bitwiseXOR(F.lit(_KEY)).alias("_key")
+    return edges.select("u", "v", key).join(least.select(key, "m"), "_key")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours go to the smallest of it and its neighbours."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return _with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours go to the smallest of those; edges have u > v."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    moved = _with_least(edges, least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
