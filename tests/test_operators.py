@@ -15,6 +15,7 @@ def column(spark, rows, schema, expr):
     return [r[0] for r in spark.createDataFrame(rows, schema).select(expr).collect()]
 
 
+# Worked cases of rules, paths and whether these are allowed.
 RULES = [
     ("Disallow: /users", "/company/about.html", True), ("Disallow: /users", "/users/jan", False), ("Disallow: /users", "/users/", False), ("Disallow: /users", "/users", False),
     ("Disallow: /users", "/another/prefix/users/about.html", True), ("Disallow: /users", "/another/prefix/users", True), ("", "/company/about.html", True), (None, "any_url", True),
@@ -359,3 +360,20 @@ def test_checks_in_plain_python(spark):
     assert all(c == list(range(c[0], c[0] + 3)) for c in crops[0].c) and [(s - 4) // 3 // 4 for s in starts] == [0, 1, 2] and all((s - 4) % 3 == 0 for s in starts)
     judged = QUERIES["g12_decision_tree"](spark, SF).toPandas()
     assert (judged["pred"] == judged["quality"]).mean() >= judged["quality"].value_counts(normalize=True).max()
+
+
+def test_pagerank_stops_when_ranks_settle(spark):
+    pairs = [(1, 2), (1, 3), (2, 3), (3, 1), (4, 1), (3, 5)]
+    nodes, out = {1, 2, 3, 4, 5}, {1: 2, 2: 1, 3: 2, 4: 1}
+    rank, rounds = {v: 0.25 if v in out else 0.0 for v in nodes}, 0
+    while rounds < 15:
+        rounds += 1
+        lost = sum(rank[v] for v in nodes if v not in out)
+        new = {v: 0.1 / 5 + 0.9 * lost / 5 + 0.9 * sum(rank[a] / out[a] for a, b in pairs if b == v) for v in nodes}
+        change = sum(abs(new[v] - rank[v]) / rank[v] for v in nodes if rank[v] > 0)
+        rank = new
+        if change / 4 < 0.05:
+            break
+    assert 1 < rounds < 15
+    got = {r.id: r["rank"] for r in graph.pagerank(spark.createDataFrame(pairs, "src int, dst int"), tol=0.05).collect()}
+    assert got == {v: pytest.approx(x) for v, x in rank.items()}

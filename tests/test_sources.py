@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwork.sources import indexed_deflate, readers
 
+# The documents of two sample files.
 F1 = ["abc", "xqwerty\nabc\ndef\ndef", "dfsdf", "2389\nsdfjfffk"]
 F2 = ["mnbvpoi\nabc\ndef", "asdf", "dsdf", "wefo\ndfj"]
 
