@@ -30,12 +30,13 @@ class Split(InputPartition):
 
 
 def plan_splits(path: str, sizes: list[int], split_bytes: int = SPLIT_BYTES) -> list[Split]:
-    out, at, held = [], 0, []
+    out, at, held, total = [], 0, [], 0
     for size in sizes:
         held.append(size)
-        if sum(held) >= split_bytes:
+        total += size
+        if total >= split_bytes:
             out.append(Split(path, at, held))
-            at, held = at + sum(held), []
+            at, held, total = at + total, [], 0
     return [*out, Split(path, at, held)] if held else out
 
 

@@ -105,3 +105,13 @@ def test_wave_files(spark, tmp_path):
         w.writeframes(struct.pack("<12h", *([16384, 0] * 6)))
     r = readers.read_wave(spark, f"{tmp_path}/jazz").first()
     assert (r.label, r.samplerate, r.duration, r.samples) == ("jazz", 4, 1.5, [0.25] * 6)
+
+
+def test_side_files(spark, tmp_path):
+    (tmp_path / "ids").write_text("1\thttp://a\n2\thttp://b\n")
+    assert [tuple(r) for r in readers.read_dictionary(spark, str(tmp_path / "ids")).collect()] == [(1, "http://a"), (2, "http://b")]
+    ranked = spark.createDataFrame([(2, 7, 1), (1, 9, 2), (1, 8, 1)], "query_id int, doc_id int, rank int")
+    readers.write_ranking(ranked, f"{tmp_path}/ranking")
+    assert [tuple(r) for r in spark.read.csv(f"{tmp_path}/ranking", header=True).collect()] == [("1", "8"), ("1", "9"), ("2", "7")]
+    pairs = readers.read_candidates(spark, f"{tmp_path}/ranking")
+    assert {r.query_id: sorted(r.docs) for r in pairs.collect()} == {1: [8, 9], 2: [7]}
