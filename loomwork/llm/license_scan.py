@@ -164,26 +164,30 @@ def with_paragraphs(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
     return starts.select(*keep, F.inline(whole))
 
 
-def grams_of(paragraph: Column) -> Column:
-    """Hashes of the distinct word bigrams and trigrams."""
+def word_hashes(paragraph: Column) -> Column:
     words = F.filter(F.split(F.lower(paragraph), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _pairs(h: str) -> Column:
-    def shifted(k: int) -> Column:
-        return F.slice(h, F.lit(k + 1), F.greatest(F.size(h), F.lit(1)))
+def _shifted(h: str, k: int) -> Column:
+    return F.slice(h, F.lit(k + 1), F.greatest(F.size(h), F.lit(1)))
 
-    def cut(grams: Column, k: int) -> Column:
-        return F.slice(grams, F.lit(1), F.greatest(F.size(h) - k, F.lit(0)))
 
-    two = F.zip_with(F.col(h), shifted(1), lambda a, b: F.xxhash64(a, b))
-    three = F.zip_with(F.zip_with(F.col(h), shifted(1), lambda a, b: F.xxhash64(a, b)), shifted(2), lambda a, b: F.xxhash64(a, b))
-    return F.array_distinct(F.concat(cut(two, 1), cut(three, 2)))
+def _bigrams(h: str) -> Column:
+    """A hash for each two words; zip_with() adds one for the last word alone, which is cut."""
+    two = F.zip_with(F.col(h), _shifted(h, 1), lambda a, b: F.xxhash64(a, b))
+    return F.slice(two, F.lit(1), F.greatest(F.size(h) - 1, F.lit(0)))
+
+
+def _trigrams(h: str, two: str) -> Column:
+    three = F.zip_with(F.col(two), _shifted(h, 2), lambda a, b: F.xxhash64(a, b))
+    return F.slice(three, F.lit(1), F.greatest(F.size(h) - 2, F.lit(0)))
 
 
 def with_grams(df: DataFrame, paragraph: str) -> DataFrame:
-    return df.withColumn("_h", grams_of(F.col(paragraph))).withColumn("_g", _pairs("_h")).drop("_h")
+    """df with _g, the hashes of the distinct word bigrams and trigrams, _two and _three, those of each place."""
+    two = df.withColumn("_h", word_hashes(F.col(paragraph))).withColumn("_two", _bigrams("_h"))
+    return two.withColumn("_three", _trigrams("_h", "_two")).withColumn("_g", F.array_distinct(F.concat("_two", "_three"))).drop("_h")
 
 
 def labelled_paragraphs(seed: int = 5) -> list[tuple[str, str, int]]:
@@ -209,7 +213,8 @@ def labelled_paragraphs(seed: int = 5) -> list[tuple[str, str, int]]:
 
 @dataclass
 class LicenceModel:
-    """Weights of each n-gram and family, temperature, cut, and of each sentence all n-grams and those of its family alone."""
+    """Weights of each n-gram and family, temperature, cut, of each sentence all n-grams and those of its family alone, and the
+    gate: bigrams of which every paragraph with a known n-gram has one (the bigrams, and those that trigrams begin with)."""
 
     families: list[str]
     grams: list[int]
@@ -218,6 +223,7 @@ class LicenceModel:
     temperature: float
     cut: float
     templates: list[tuple[str, list[int], list[int]]]
+    gate: list[int]
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         return _softmax((x @ self.weights + self.bias) / self.temperature)
@@ -247,7 +253,7 @@ def _descend(x: np.ndarray, y: np.ndarray, k: int, penalty: float, steps: int =
 def fit(spark: SparkSession, labelled: list[tuple[str, str, int]] | None = None, penalty: float = 2e-4) -> LicenceModel:
     """A model from labelled paragraphs (text, family, sentence), a bounded list on the driver; Spark itself makes the features."""
     rows = labelled if labelled is not None else labelled_paragraphs()
-    frame = with_grams(spark.createDataFrame([(i, t, f, k) for i, (t, f, k) in enumerate(rows)], "i int, t string, f string, k int"), "t").select("i", "f", "k", "_g").orderBy("i").toPandas()
+    frame = with_grams(spark.createDataFrame([(i, t, f, k) for i, (t, f, k) in enumerate(rows)], "i int, t string, f string, k int"), "t").orderBy("i").toPandas()
     flat = [(i, f, t) for i, (f, t) in enumerate((f, t) for f, texts in sorted(TEMPLATES.items()) for t in texts)]
     made = [(r["f"], [int(g) for g in r["_g"]]) for r in with_grams(spark.createDataFrame(flat, "i int, f string, t string"), "t").orderBy("i").collect()]
     templates = [(f, gs, [g for g in gs if not any(g in other for name, other in made if name != f)]) for f, gs in made]
@@ -282,7 +288,9 @@ def fit(spark: SparkSession, labelled: list[tuple[str, str, int]] | None = None,
     named = p[:, 0] < top
     cut = next((float(c) for c in np.linspace(0.1, 0.99, 90) if wrong[named & (top >= c)].mean() <= WRONG_SHARE), 0.99)
     at, w, b = fitted(known)
-    return LicenceModel(families, [vocabulary[i] for i in at], w, b, float(temperature), cut, templates)
+    grams = [vocabulary[i] for i in at]
+    begins = {int(g): int(g) for two in frame["_two"] for g in two} | {int(g): int(p) for two, three in zip(frame["_two"], frame["_three"], strict=True) for p, g in zip(two, three, strict=False)}
+    return LicenceModel(families, grams, w, b, float(temperature), cut, templates, sorted({begins[g] for g in grams}))
 
 
 def _longs(values: list[int]) -> Column:
@@ -306,9 +314,12 @@ def scan(docs: DataFrame, model: LicenceModel, text: str = "text") -> DataFrame:
     back = [c for c, name in zip(back, inner.columns, strict=True) if name != text]
     keep = [c for c in inner.columns if c != text]
     lines = with_paragraphs(inner, keep, text)
+    # Bigrams first: most paragraphs have none of the gate, and go before trigrams and sets are made.
+    two = _held(lines.withColumn("_h", word_hashes(F.col("notice"))).withColumn("_two", _bigrams("_h")), [*keep, "paragraph", "notice"], ["_h", "_two"])
+    some = two.where(F.exists("_two", lambda g: g.isin(model.gate))) if model.gate else two.where("false")
+    whole = some.withColumn("_g", F.array_distinct(F.concat(F.col("_two"), _trigrams("_h", "_two")))).drop("_h", "_two")
     hits = F.array_intersect(_longs(model.grams), F.col("_g"))
-    known = with_grams(lines, "notice").select(*keep, "paragraph", "notice", "_g", hits.alias("_hits"))
-    known = _held(known, keep, ["paragraph", "notice", "_g", "_hits"]).where(F.size("_hits") > 0)
+    known = _held(whole.withColumn("_hits", hits), keep, ["paragraph", "notice", "_g", "_hits"]).where(F.size("_hits") > 0)
     placed = known.withColumn("_at", F.transform("_hits", lambda g: (F.array_position(_longs(model.grams), g) - 1).cast("int")))
 
     def margin(k: int) -> Column:
