@@ -284,10 +284,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     gone = common.stored(components(docs).where("doc_id <> component_id").select("doc_id").distinct(), common.work_folder(docs.sparkSession, "copies"))
     twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    columns = [f"`{c}`" for c in docs.columns]
     if twice.isEmpty():
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+        return docs.join(gone, "doc_id", "left_anti").select(*columns)
     single = docs.join(gone.union(twice), "doc_id", "left_anti")
-    columns = [f"`{c}`" for c in docs.columns]
     keys = common.row_key(*(f"`{c}`" for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))))
     # Summed on the map side, however often an id repeats.
     repeated = docs.join(twice, "doc_id", "left_semi").join(gone, "doc_id", "left_anti").groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.struct(*keys)).alias("_row")).select("_row.*")

@@ -218,7 +218,7 @@ def test_components_match_all_pairs(spark, seed):
 def test_components_with_long_texts_repeats_and_clashing_columns(spark):
     long = " ".join(f"w{i * i}" for i in range(30_000))
     rows = [(5, long), (3, long + " end"), (3, long + " end"), (7, "other " + long[:60_000]), (8, "a b c d e f")]
-    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(1) for c in ("k1", "cells", "component_id", "count")})
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(1) for c in ("k1", "cells", "component_id", "count", "a.b", "_row")})
     assert sorted(map(tuple, jaccard_join.components(docs).select("doc_id", "component_id").collect())) == [(3, 3), (3, 3), (5, 3), (7, 7), (8, 8)]
     kept = jaccard_join.one_of_each(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 7, 8]
