@@ -62,9 +62,13 @@ def robots_changes(pages: DataFrame, sites: DataFrame, strict: bool = False) ->
 
 
 def apply_changes(pages: DataFrame, changes: DataFrame) -> DataFrame:
-    """pages with the flags that changes ask for."""
-    op = changes.select("url", "op")
-    return pages.join(op, "url", "left").withColumn("disabled", F.when(F.col("op") == "put", "Y").when(F.col("op").isNull(), F.col("disabled"))).drop("op").select(*pages.columns)
+    """pages with the flags that changes ask for: one row a page, however many pages and changes name the same url, also a null one.
+
+    Changes of a url agree, as its rules are the same for all its pages; of others, put is taken.
+    """
+    op = changes.groupBy(F.col("url").alias("_url")).agg(F.max("op").alias("_op"))
+    flag = F.when(F.col("_op") == "put", "Y").when(F.col("_op").isNull(), F.col("disabled"))
+    return pages.join(op, F.col("url").eqNullSafe(F.col("_url")), "left").withColumn("disabled", flag).select(*pages.columns)
 
 
 def duplicate_sites(sites: DataFrame) -> DataFrame:

@@ -377,3 +377,10 @@ def test_pagerank_stops_when_ranks_settle(spark):
     assert 1 < rounds < 15
     got = {r.id: r["rank"] for r in graph.pagerank(spark.createDataFrame(pairs, "src int, dst int"), tol=0.05).collect()}
     assert got == {v: pytest.approx(x) for v, x in rank.items()}
+
+
+def test_changes_of_a_repeated_url_keep_one_row_a_page(spark):
+    pages = spark.createDataFrame([(1, "http://a/x", None), (2, "http://a/x", None), (3, "http://a/x", "Y"), (4, "http://b/x", "Y"), (5, "http://b/x", "Y"), (6, None, "Y"), (7, None, "Y")], "page_id long, url string, disabled string")
+    sites = spark.createDataFrame([("a", "Disallow: /x"), ("b", None)], "site string, robots string")
+    got = sorted(map(tuple, robots.apply_changes(pages, robots.robots_changes(pages, sites)).select("page_id", "disabled").collect()))
+    assert got == [(1, "Y"), (2, "Y"), (3, "Y"), (4, None), (5, None), (6, None), (7, None)]
