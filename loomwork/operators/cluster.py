@@ -94,12 +94,14 @@ def distance_matrix(points: DataFrame, key: str, vector: str) -> DataFrame:
     return distances(points, points, key, vector).where("a < b")
 
 
-#: Points that a group of agglomerative() may have: its matrix of distances is held by one task.
+#: Points that _linkage() takes, which holds a matrix of all distances.
 MOST_POINTS = 8000
+#: Distances that a task of agglomerative() holds at once.
+HELD = 16_000_000
 
 
 def _linkage(x: np.ndarray, k: int, method: str) -> np.ndarray:
-    """Labels of k clusters by single, complete or average linkage."""
+    """Labels of k clusters by single, complete or average linkage, the plain way: tests hold _chains() against it."""
     n = len(x)
     if n > MOST_POINTS:
         raise ValueError(f"a group of {n} points; at most {MOST_POINTS} can be clustered in one task")
@@ -122,12 +124,127 @@ def _linkage(x: np.ndarray, k: int, method: str) -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
+class _Rows:
+    """Linkage of a cluster to all others, worked out from the points when asked for; of the clusters of most points it is kept."""
+
+    def __init__(self, x: np.ndarray, weight: np.ndarray, method: str, held: int):
+        n = len(x)
+        self.x, self.weight, self.norm = x, weight, (x * x).sum(axis=1)
+        self.join, self.none = {"single": (np.minimum, np.inf), "complete": (np.maximum, -np.inf), "average": (np.add, 0.0)}[method]
+        self.sums = method == "average"
+        self.label, self.members, self.alive = np.arange(n), [[i] for i in range(n)], np.ones(n, bool)
+        self.kept = np.empty((min(n, max(2, held // max(1, n))), n))
+        self.place: dict[int, int] = {}
+        self.free = list(range(len(self.kept)))
+        self.block = max(1, held // 8 // max(1, n))
+
+    def _distances(self, some: np.ndarray) -> np.ndarray:
+        square = self.norm[some, None] + self.norm - 2 * (self.x[some] @ self.x.T)
+        # Small differences of large numbers are worked out from the coordinates.
+        for i, j in np.argwhere(square <= 1e-6 * (self.norm[some, None] + self.norm)):
+            square[i, j] = ((self.x[some[i]] - self.x[j]) ** 2).sum()
+        return np.sqrt(square)
+
+    def row(self, c: int) -> np.ndarray:
+        """Sum (average linkage), least or largest of the distances to each cluster."""
+        if c in self.place:
+            return self.kept[self.place[c]]
+        own, points = np.array(self.members[c]), np.full(len(self.x), self.none)
+        for at in range(0, len(own), self.block):
+            some = own[at : at + self.block]
+            d = self._distances(some)
+            points = self.join(points, self.weight[some] @ d if self.sums else self.join.reduce(d, axis=0))
+        if self.sums:
+            out = np.bincount(self.label, points * self.weight, len(points))
+        else:
+            out = np.full(len(points), self.none)
+            self.join.at(out, self.label, points)
+        return self._keep(c, out)
+
+    def _keep(self, c: int, row: np.ndarray) -> np.ndarray:
+        if not self.free:
+            least = min(self.place, key=lambda x: len(self.members[x]))
+            if len(self.members[least]) > len(self.members[c]):
+                return row
+            self.free.append(self.place.pop(least))
+        self.place[c] = self.free.pop()
+        self.kept[self.place[c]] = row
+        return self.kept[self.place[c]]
+
+    def merge(self, a: int, b: int) -> None:
+        """b becomes part of a."""
+        one = self.row(a).copy()
+        row = self.join(one, self.row(b))
+        for c in (a, b):
+            if c in self.place:
+                self.free.append(self.place.pop(c))
+        self.label[self.members[b]] = a
+        self.members[a] += self.members[b]
+        self.members[b] = []
+        self.alive[b] = False
+        self.kept[:, a] = self.join(self.kept[:, a], self.kept[:, b])
+        row[a] = self.join(row[a], row[b])
+        self._keep(a, row)
+
+
+def _chains(x: np.ndarray, k: int, method: str, held: int = HELD) -> np.ndarray:
+    """Labels of k clusters as of _linkage(), ties apart, in memory that is bounded but for the points: by chains of nearest neighbours.
+
+    A cluster that is the nearest of its nearest is merged with it at once, as no other merge can come between; all merges in order
+    of their distances are those that the nearest pair at each time makes. Equal points are merged first.
+    """
+    n = len(x)
+    values, first, same = np.unique(x, axis=0, return_index=True, return_inverse=True)
+    same = same.reshape(-1)
+    parent = np.arange(n)
+
+    def top(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    joins = sorted((0.0, int(first[u]), i) for i, u in enumerate(same) if first[u] != i)
+    if n - k > len(joins):
+        weight = np.bincount(same).astype(float)
+        rows, size, height = _Rows(values - values.mean(axis=0), weight, method, held), weight.copy(), np.zeros(len(values))
+        chain: list[tuple[int, float]] = []
+        merges, next_start = [], 0
+        while len(merges) < len(values) - 1:
+            if not chain:
+                while not rows.alive[next_start]:
+                    next_start += 1
+                chain.append((next_start, np.inf))
+            c, last = chain[-1]
+            d = np.where(rows.alive, rows.row(c) / (size * size[c]) if rows.sums else rows.row(c), np.inf)
+            d[c] = np.inf
+            near = int(np.argmin(d))
+            if len(chain) == 1 or (d[near] < last and all(near != x for x, _ in chain)):
+                chain.append((near, float(d[near])))
+                continue
+            a, b = sorted((chain[-2][0], c))
+            del chain[-2:]
+            rows.merge(a, b)
+            size[a] += size[b]
+            height[a] = max(last, height[a], height[b])
+            merges.append((height[a], int(first[a]), int(first[b])))
+        # A merge comes after those within it: equal distances stay in the order in which they were made.
+        joins += sorted(merges, key=lambda m: m[0])
+    for _, a, b in joins[: max(0, n - k)]:
+        low, high = sorted((top(a), top(b)))
+        parent[high] = low
+    return np.unique([top(i) for i in range(n)], return_inverse=True)[1]
+
+
 def agglomerative(points: DataFrame, group: str, key: str, vector: str, k: int = 3, method: str = "average") -> DataFrame:
-    """group, key, cluster: each group of bounded size is clustered by itself, groups in parallel."""
+    """group, key, cluster: each group, of any size, is clustered by itself in one task, groups in parallel.
+
+    The time is quadratic in a group; memory holds a group's points and HELD distances.
+    """
     kinds = dict(points.dtypes)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(key)
-        return pd.DataFrame({group: rows[group], key: rows[key], "cluster": _linkage(np.stack(rows[vector].to_numpy()).astype(float), k, method)})
+        return pd.DataFrame({group: rows[group], key: rows[key], "cluster": _chains(np.stack(rows[vector].to_numpy()).astype(float), k, method)})
 
     return points.select(group, key, vector).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, cluster long")

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -384,3 +385,19 @@ def test_changes_of_a_repeated_url_keep_one_row_a_page(spark):
     sites = spark.createDataFrame([("a", "Disallow: /x"), ("b", None)], "site string, robots string")
     got = sorted(map(tuple, robots.apply_changes(pages, robots.robots_changes(pages, sites)).select("page_id", "disabled").collect()))
     assert got == [(1, "Y"), (2, "Y"), (3, "Y"), (4, None), (5, None), (6, None), (7, None)]
+
+
+@pytest.mark.parametrize("method", ["single", "complete", "average"])
+def test_chains_cluster_like_the_matrix(method):
+    rng = np.random.default_rng(4)
+    for n, k, held in ((1, 3, 100), (2, 1, 100), (90, 3, 200), (200, 1, 700), (200, 7, 100_000)):
+        x = rng.normal(size=(n, 5)) + 1000
+        x[n // 2 :][::3] = x[0]
+        assert cluster._chains(x, k, method, held).tolist() == cluster._linkage(x, k, method).tolist()
+
+
+def test_a_group_beyond_the_matrix_is_clustered(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "MOST_POINTS", 10)
+    points = spark.createDataFrame([(i, [float(i % 2) * 9 + i * 0.01, 1.0]) for i in range(40)], "id long, v array<double>").withColumn("g", F.lit(1))
+    got = cluster.agglomerative(points, "g", "id", "v", k=2).toPandas()
+    assert got.groupby(got["id"] % 2)["cluster"].nunique().tolist() == [1, 1] and len(got) == 40 and got["cluster"].nunique() == 2
