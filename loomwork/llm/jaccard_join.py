@@ -12,17 +12,21 @@ case; the whole sequence where there are fewer words). Linked sets A and B (simi
 3. Cells are counted over all sets, and a set keeps its d + 1 rarest (by count, then key): as the order is the same for all, the
    rarest cell that two linked sets share is among those of both. Cells that nobody else has come first and make no pairs, so
    that documents that share a passage, but not most of their text, don't meet at all.
+   Of cells that the same classes keep, one stays, with their number.
 4. In a bucket of equal cells every class is first paired with the first by three orders of keys only; pairs whose 1024-bit
    parity sketches (each shingle flips one bit) differ in more than d bits are dropped, since that distance is a lower bound
    of the symmetric difference; of what is left each class keeps, by order, the partner that it shares most buckets with,
    those pairs are verified on the whole sets, and links are joined to components. (Large sets, for which 1024 bits say
    little, have a sketch of as many bits as shingles besides.)
 5. What remains are buckets whose classes are in different components: there all pairs across components whose sketches
-   pass are verified too. So no link is lost, though a group of near copies never expands into all its pairs.
+   pass are verified too. So no link is lost, though a group of near copies never expands into all its pairs. Two classes may
+   share hundreds of buckets: each has a list of its largest, in an order that is the same for all, and where two lists have a
+   bucket in common, the pair is made in the first such only.
 
 A cell, hub, class or text that a third of the rows share is summed on the map side, and joined from stored tables on both
 sides, which Spark splits; no window runs over a cell. Cells are counted in two halves, so that only half of them are in a
-shuffle at once. Intermediate tables are stored in the shared folder; only check sums and whether a table is empty reach the driver.
+shuffle at once. Intermediate tables are stored in the shared folder; only check sums, the number of classes
+and whether a table is empty reach the driver.
 
 Defined results: null and wordless texts have empty sets, linked with nothing; repeated ids are compared by their text and
 share the component of either; a row without id links others like any row, and its component is null if no id is reachable;
@@ -53,6 +57,8 @@ _U = np.uint64
 WIDE_FROM = 64 * SKETCH_WORDS
 #: Orders of classes by which hubs are chosen: that of k1 XOR each of these.
 ORDERS = (0, -1, 0x5555555555555555)
+#: Buckets in the list by which a pair is made once.
+FIRST = 8
 FEATURES = "doc_id long, n_shingles long, k1 long, k2 long, tag long, allow array<int>, sketch array<long>, wide array<long>, cells array<long>"
 
 
@@ -189,6 +195,30 @@ def _wide_allows() -> Column:
     return F.col("a_wide").isNull() | F.col("b_wide").isNull() | (7 * distance <= F.col("a_n") + F.col("b_n"))
 
 
+def _across(rest: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes of different components in a bucket that sizes and sketches allow, as a rule once each.
+
+    list is the beginning of a class's buckets in one order, so no bucket before the first that two lists have in common is shared.
+    """
+    side = lambda p: rest.select("cell", *(F.col(x).alias(f"{p}{x}") for x in rest.columns if x != "cell"))
+    first = F.get(F.array_intersect("a_list", "b_list"), F.lit(0))
+    here = first.isNull() | (first == F.col("cell"))
+    met = side("a_").join(side("b_"), "cell").where((F.col("a_c") != F.col("b_c")) & (F.col("a_k1") < F.col("b_k1")) & _may_link("a_", "b_") & here)
+    return met.select(F.col("a_k1").alias("a"), F.col("b_k1").alias("b"))
+
+
+def _may_be_among(rows: DataFrame, keys: DataFrame, key: str, path: str) -> DataFrame:
+    """rows without most of those whose key, an even 64-bit hash, is not among keys: by a table of bits, at least 8 for each of keys up to 8 MB."""
+    power = min(26, max(12, (8 * keys.count()).bit_length()))
+    place = F.shiftrightunsigned(key, 64 - power)
+    word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
+    filled = keys.select(word.alias("id"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bit")).groupBy("id").agg(F.bit_or("_bit").alias("_bits"))
+    every = rows.sparkSession.range(1 << power - 6).join(filled, "id", "left").select(F.struct("id", F.coalesce("_bits", F.lit(0).cast("long")).alias("bits")).alias("x"))
+    table = common.stored(every.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["bits"]).alias("_bits")), path)
+    held = F.call_function("shiftright", F.get("_bits", word.cast("int")), bit).bitwiseAND(F.lit(1)) == 1
+    return rows.crossJoin(F.broadcast(table)).where(held).drop("_bits")
+
+
 def _sketched(pairs: DataFrame, classes: DataFrame, narrow: bool = True) -> DataFrame:
     """Those of pairs(a, b, ...) that sizes and sketches allow."""
     words = [f"s{i}" for i in range(SKETCH_WORDS)] if narrow else []
@@ -237,26 +267,33 @@ def linked_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     for name in ("raw", "often0", "often1", "met0", "met1"):
         common.delete(spark, f"{folder}/{name}")
     ordered = lambda i, k1="k1": F.col(k1).bitwiseXOR(F.lit(ORDERS[i]).cast("long"))
-    buckets = kept.groupBy("cell").agg(F.count("*").alias("_m"), *(F.min(ordered(i)).alias(f"h{i}") for i in range(len(ORDERS)))).where("_m > 1")
-    buckets = common.stored(buckets.select("cell", *(ordered(i, f"h{i}").alias(f"hub{i}") for i in range(len(ORDERS)))), f"{folder}/buckets")
+    firsts = [F.min(ordered(i)).alias(f"h{i}") for i in range(len(ORDERS))]
+    buckets = kept.groupBy("cell").agg(F.count("*").alias("_m"), F.bit_xor(F.xxhash64("k1")).alias("_own"), *firsts).where("_m > 1")
+    buckets = buckets.groupBy("_m", "_own", *(f"h{i}" for i in range(len(ORDERS)))).agg(F.min("cell").alias("cell"), F.count("*").alias("cells"))
+    buckets = common.stored(buckets.select("cell", "cells", *(ordered(i, f"h{i}").alias(f"hub{i}") for i in range(len(ORDERS)))), f"{folder}/buckets")
     live = common.stored(kept.join(buckets, "cell"), f"{folder}/live")
     # Classes that share a cell with another, with their sketch and the text of one document.
     sketches = features.where("is_first").select("k1", "tag", F.col("n_shingles").alias("n"), "wide", *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)))
     classes = common.stored(sketches.join(live.select("k1").distinct(), "k1", "left_semi").dropDuplicates(["k1"]), f"{folder}/classes")
-    texts = common.stored(base.select("tag", "text").join(classes.select("tag", "k1"), "tag").select("k1", "text").dropDuplicates(["k1"]), f"{folder}/texts")
+    # Most texts have no class, and stay where they are.
+    texts = common.stored(_may_be_among(base.select("tag", "text"), classes.select("tag"), "tag", f"{folder}/tags").join(classes.select("tag", "k1"), "tag").select("k1", "text").dropDuplicates(["k1"]), f"{folder}/texts")
     # By each order the hub of a class is that first member of its buckets with which it shares most of them.
-    hubs = F.explode(F.array(*(F.struct(F.lit(i).alias("r"), F.col(f"hub{i}").alias("a")) for i in range(len(ORDERS))))).alias("x")
-    counted = live.select(F.col("k1").alias("b"), hubs).select("x.a", "b", "x.r").where("a <> b").groupBy("a", "b", "r").agg(F.count("*").alias("m"))
-    best = _sketched(counted, classes).groupBy("b", "r").agg(F.max(F.struct("m", "a")).alias("hub")).select(F.least("hub.a", "b").alias("a"), F.greatest("hub.a", "b").alias("b"))
+    hubs = [f"hub{i}" for i in range(len(ORDERS))]
+    met = live.select(F.col("k1").alias("b"), "cells", *hubs).repartition("b").withColumn("a", F.explode(F.array_distinct(F.array(*hubs)))).where("a <> b")
+    counted = met.groupBy("a", "b").agg(*(F.sum(F.when(F.col(h) == F.col("a"), F.col("cells"))).alias(f"m{i}") for i, h in enumerate(hubs)))
+    most = F.array(*(F.max(F.when(F.col(f"m{i}").isNotNull(), F.struct(F.col(f"m{i}").alias("m"), "a"))) for i in range(len(ORDERS))))
+    best = _sketched(counted, classes).groupBy("b").agg(most.alias("most")).select("b", F.explode("most").alias("hub")).where("hub is not null")
+    best = best.select(F.least("hub.a", "b").alias("a"), F.greatest("hub.a", "b").alias("b"))
     stars = common.stored(best.distinct(), f"{folder}/stars")
     first = common.stored(connected_components(_verified(stars, texts, n, f"{folder}/links"), f"{folder}/cc1"), f"{folder}/first")
     # Buckets that still hold several components: one row for each class in them.
     named = common.stored(live.join(first.select(F.col("id").alias("k1"), "component"), "k1", "left").select("cell", "k1", F.coalesce("component", "k1").alias("c")), f"{folder}/named")
-    several = common.stored(named.groupBy("cell").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low < _high").select("cell"), f"{folder}/several")
-    rest = common.stored(named.join(several, "cell").join(classes.drop("tag", "wide"), "k1"), f"{folder}/open")
-    side = lambda p: rest.select("cell", *(F.col(x).alias(f"{p}{x}") for x in rest.columns if x != "cell"))
-    across = side("a_").join(side("b_"), "cell").where((F.col("a_c") != F.col("b_c")) & (F.col("a_k1") < F.col("b_k1")) & _may_link("a_", "b_"))
-    across = common.stored(across.select(F.col("a_k1").alias("a"), F.col("b_k1").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), f"{folder}/across")
+    several = common.stored(named.groupBy("cell").agg(F.min("c").alias("_low"), F.max("c").alias("_high"), F.count("*").alias("m")).where("_low < _high").select("cell", "m"), f"{folder}/several")
+    shared = common.stored(named.join(several, "cell"), f"{folder}/shared")
+    largest = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("m")).alias("o"), "cell"))), 1, FIRST)
+    first_cells = shared.groupBy("k1").agg(F.transform(largest, lambda x: x["cell"]).alias("list"))
+    rest = common.stored(shared.drop("m").join(classes.drop("tag", "wide").join(first_cells, "k1"), "k1"), f"{folder}/open")
+    across = common.stored(_across(rest).distinct().join(stars, ["a", "b"], "left_anti"), f"{folder}/across")
     more = _verified(_sketched(across, classes, narrow=False), texts, n, f"{folder}/more")
     if more.isEmpty():
         return features.select("doc_id", "n_shingles", "k1", "k2"), first.select(F.col("id").alias("k1"), "component")

@@ -385,3 +385,33 @@ def test_clean_documents_keep_columns_with_odd_names(spark):
     clean = decontaminate.clean_documents(docs, items)
     assert clean.columns == docs.columns and [tuple(r) for r in clean.collect()] == [(2, "z", ["mine"], 6)]
     assert sorted(r.text for r in decontaminate.remove_spans(docs, items).collect()) == ["x  y", "z"]
+
+
+def test_a_pair_of_many_buckets_is_made_once(spark):
+    """Two classes of 50 common buckets make one row, and lists with nothing in common still let a pair meet."""
+    words = [0] * jaccard_join.SKETCH_WORDS
+    own = {1: list(range(60)), 2: list(range(10, 70)), 3: [5, 69]}
+    lists = {1: list(range(10, 18)), 2: list(range(10, 18)), 3: [5, 69]}
+    rows = [(c, k, k, 100, *words, lists[k]) for k, cells in own.items() for c in cells]
+    kinds = ", ".join(f"s{i} long" for i in range(len(words)))
+    rest = spark.createDataFrame(rows, f"cell long, k1 long, c long, n long, {kinds}, list array<long>")
+    assert sorted(map(tuple, jaccard_join._across(rest).collect())) == [(1, 2), (1, 3), (2, 3)]
+
+
+def test_few_texts_without_a_class_are_dealt_out(spark, tmp_path):
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("tag"), "id")
+    for n in (0, 1, 300):
+        kept = {r.id for r in jaccard_join._may_be_among(rows, rows.where(f"id < {n}").select("tag"), "tag", f"file://{tmp_path}/{n}").collect()}
+        assert kept >= set(range(n)) and len(kept) <= n + 0.15 * 20_000
+
+
+def test_buckets_of_the_same_classes_are_kept_once(spark, tmp_path, monkeypatch):
+    """Two classes that share all their cells are in one bucket, and the link is found."""
+    stored = {}
+    keep = jaccard_join.common.stored
+    monkeypatch.setattr(jaccard_join.common, "stored", lambda df, path: stored.setdefault(path.rsplit("/", 1)[-1], keep(df, path)))
+    text = [f"w{i}" for i in range(600)]
+    docs = [(1, " ".join(text)), (2, " ".join([*text[:-3], "a", "b", "c"])), (3, "nothing like the others at all here")]
+    _, linked = jaccard_join.linked_classes(spark.createDataFrame(docs, DOCS))
+    assert linked.count() == 2 and linked.select("component").distinct().count() == 1
+    assert stored["live"].count() == 2 and stored["buckets"].first().cells > 50
